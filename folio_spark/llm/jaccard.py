@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,30 +39,53 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: bytes | None, powers: Powers, size: int = 5) -> np.ndarray:
-    """The distinct shingles of `size` words as sorted int64 hashes; with fewer words, the whole sequence as one."""
-    raw = np.frombuffer((text or b"").lower(), dtype=np.uint8)  # of bytes, A-Z only
+def shingle_sets(texts: list[bytes | None], powers: Powers, size: int = 5) -> list[np.ndarray]:
+    """For each text its distinct shingles of `size` words as sorted int64 hashes; with fewer words, the whole sequence as one.
+
+    The words of all texts are hashed at once: a word's hash is a difference of
+    running sums of bytes times powers, moved to power 0.
+    """
+    joined = b" ".join(t or b"" for t in texts).lower()  # of bytes: A-Z only
+    raw = np.frombuffer(joined, dtype=np.uint8)
+    begins = np.concatenate([[0], np.cumsum([len(t or b"") + 1 for t in texts])])
     space = np.concatenate([[True], IS_SPACE[raw], [True]])
     edges = np.flatnonzero(space[1:] != space[:-1])
-    if not len(edges):
-        return np.zeros(0, dtype=np.int64)
     starts, ends = edges[::2], edges[1::2]
     up, down = powers.upto(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
     words = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    n = min(size, len(words))
-    total = np.full(len(words) - n + 1, n, dtype=np.uint64)
-    for j in range(n):
-        total += mixed(words[j : len(words) - n + 1 + j] + np.uint64(j + 1)) * np.uint64(2 * j + 3)
-    return np.unique(mixed(total).view(np.int64))
+    first = np.searchsorted(starts, begins)  # the first word of each text
+    count = np.diff(first)
+
+    def run(w: np.ndarray, n: int) -> np.ndarray:
+        total = np.full(len(w) - n + 1, n, dtype=np.uint64)
+        for j in range(n):
+            total += mixed(w[j : len(w) - n + 1 + j] + np.uint64(j + 1)) * np.uint64(2 * j + 3)
+        return mixed(total).view(np.int64)
+
+    whole = run(words, size) if len(words) >= size else np.zeros(0, dtype=np.int64)
+    out = []
+    for i, k in zip(first[:-1], count, strict=True):
+        if k >= size:
+            t = np.sort(whole[i : i + k - size + 1])
+            t = t[np.concatenate([[True], t[1:] != t[:-1]])] if len(t) > 1 else t
+        else:
+            t = run(words[i : i + k], k) if k else np.zeros(0, dtype=np.int64)
+        out.append(t)
+    return out
 
 
-def node_of(tokens: np.ndarray) -> int:
-    """The id of a set: equal sets are one node."""
-    x = tokens.view(np.uint64)
-    h = np.array([(int(mixed(x + np.uint64(7)).sum()) * 0x2545F4914F6CDD1D + int(np.bitwise_xor.reduce(mixed(x ^ np.uint64(BASE)))) + len(x)) & MASK], dtype=np.uint64)
-    return int(mixed(h).view(np.int64)[0])
+def nodes_of(sets: list[np.ndarray]) -> list[int | None]:
+    """The id of each set: equal sets are one node; none for an empty one."""
+    sizes = np.array([len(t) for t in sets], dtype=np.int64)
+    if not sizes.any():
+        return [None] * len(sets)
+    x = np.concatenate(sets).view(np.uint64)
+    at = (np.cumsum(sizes) - sizes)[sizes > 0]
+    total = np.add.reduceat(mixed(x + np.uint64(7)), at) * np.uint64(MIX1) + np.bitwise_xor.reduceat(mixed(x ^ np.uint64(BASE)), at) + sizes[sizes > 0].astype(np.uint64)
+    found = iter(mixed(total).view(np.int64).tolist())
+    return [next(found) if n else None for n in sizes]
 
 
 def slack(n: int) -> int:
@@ -69,28 +93,136 @@ def slack(n: int) -> int:
     return n - -(-3 * n // 4)
 
 
-def mapped(docs: DataFrame, schema: str, rows, bitmap: np.ndarray | None = None, wanted: str = "node") -> DataFrame:
-    """rows(doc_id, node, tokens) of every document whose node may be in the bitmap; equal nodes of a batch once, unless all are wanted."""
-    names = [c.split()[0] for c in schema.split(", ")]
-    types = [pa.list_(pa.int64()) if "array<long>" in c else pa.int64() for c in schema.split(", ")]
+def slices(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[tuple[list[int | None], list[int | None], list[np.ndarray]]]:
+    """(doc ids, nodes, sets) of rows (doc_id, text) in slices of about 1 MB of text."""
+    powers = Powers()
+    for b in batches:
+        ids, texts = b.column(0), b.column(1).cast(pa.binary())
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = 0
+        while at < len(ids):
+            end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), most)) + at)
+            sets = shingle_sets(texts.slice(at, end - at).to_pylist(), powers)
+            yield ids.slice(at, end - at).to_pylist(), nodes_of(sets), sets
+            at = end
+
+
+def batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    columns = [c.split() for c in schema.split(", ")]
+    types = [pa.list_(pa.int64()) if t == "array<long>" else pa.int64() for _, t in columns]
+    values = zip(*rows, strict=True) if rows else [[]] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(values, types, strict=True)], names=[n for n, _ in columns])
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def survey(docs: DataFrame, group: int = 4_000_000, least: int = 3) -> DataFrame:
+    """One pass: rows (doc_id, node, n) of all documents, and rows (token, count) of tokens that `least` different sets of a group of about `group` tokens hold.
+
+    The second kind finds the tokens that are frequent everywhere, in bounded
+    memory; it decides on cost only, never on results.
+    """
+    schema = "doc_id long, node long, n long, token long, count long"
+
+    def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
+        token, count = np.unique(np.concatenate(held), return_counts=True)
+        often = count >= least
+        nothing = pa.nulls(int(often.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array(token[often]), pa.array(count[often].astype(np.int64))], names=[c.split()[0] for c in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part, seen = b.slice(at, 1000), set()
-                out: list[tuple] = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    tokens = shingle_set(text, powers)
-                    node = node_of(tokens) if len(tokens) else None
-                    if wanted != "doc" and (node is None or node in seen or bitmap is not None and not in_bitmap(bitmap, node)):
-                        continue
+        held: list[np.ndarray] = []
+        seen: set[int] = set()
+        size = 0
+        for ids, nodes, sets in slices(batches):
+            yield batch([(i, node, len(t), None, None) for i, node, t in zip(ids, nodes, sets, strict=True)], schema)
+            for node, t in zip(nodes, sets, strict=True):
+                if node is not None and node not in seen:
                     seen.add(node)
-                    out.append(rows(doc_id, node, tokens))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    held.append(t)
+                    size += len(t)
+            if size >= group:
+                yield frequent(held)
+                held, seen, size = [], set(), 0
+        if held:
+            yield frequent(held)
+
+    return texts_of(docs).mapInArrow(run, schema)
+
+
+INDEX = "node long, cluster long, n long, p long, f long, singles long, sigs array<long>"
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+def signatures(tokens: np.ndarray, often: np.ndarray) -> tuple[int, int, int, np.ndarray]:
+    """(p, f, singles, signatures) of a set: rare tokens singly, frequent ones in pairs.
+
+    Order: rare tokens by hash, then frequent ones by hash. Frequent tokens are
+    dealt into classes, about one for every 8 tokens of a set, and pairs are made
+    within a class. With r rare tokens and n_c of class c in its prefix, a set
+    that lacks at most slack tokens of another shares a rare token or two of one
+    class with it once r + sum(n_c - 1) > slack; the prefix is extended up to
+    there. Classes depend on a level of sizes; as two near sets are at most one
+    level apart, each makes the pairs of its own level and of the next. p: tokens
+    of the prefix, f: the frequent ones among them.
+    """
+    n = len(tokens)
+    need = slack(n) + 1
+    single = tokens[~often][:need]
+    if len(single) == need:
+        return need, 0, need, single
+    common, most, out = tokens[often], 0, [single]
+    level = int(np.log(n) / np.log(4 / 3))
+    x = common.view(np.uint64)
+    for at in (level, level + 1):
+        classes = max(1, int((4 / 3) ** at / 8))
+        kind = (mixed(x + np.uint64(at + 1)) % np.uint64(classes)).tolist()
+        held: dict[int, list[int]] = {}
+        left, right, gained, used = [], [], 0, len(kind)
+        for k, c in enumerate(kind):
+            if gained >= need - len(single):
+                used = k
+                break
+            have = held.setdefault(c, [])
+            gained += bool(have)
+            left += have
+            right += [k] * len(have)
+            have.append(k)
+        most = max(most, used)
+        out.append(mixed(x[left] * np.uint64(MIX1) ^ mixed(x[right] + np.uint64(at))).view(np.int64) if left else np.zeros(0, dtype=np.int64))
+    return len(single) + most, most, len(single), np.concatenate(out)
+
+
+def first_index(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """INDEX rows of all sets of 3 tokens or more (smaller ones have no near copies but themselves); equal sets of a slice once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, nodes, sets in slices(batches):
+            own = {node: t for node, t in zip(nodes, sets, strict=True) if len(t) > 2}
+            yield batch([(node, node, len(t), *signatures(t, among(t, frequent))) for node, t in own.items()], INDEX)
+
+    return texts_of(docs).mapInArrow(run, INDEX)
+
+
+def among(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.zeros(len(tokens), dtype=bool)
+    return frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
+
+
+def next_index(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """INDEX rows of sets (node, cluster, tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for node, cluster, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                t = tokens.values.to_numpy()
+                rows.append((node, cluster, len(t), *signatures(t, among(t, frequent))))
+            yield batch(rows, INDEX)
+
+    return sets.select("node", "cluster", "tokens").mapInArrow(run, INDEX)
 
 
 BITMAP_BITS = 1 << 25  # 4 MB, whatever the number of nodes: a full bitmap only lets more rows through to the exact join
@@ -110,10 +242,15 @@ def in_bitmap(bitmap: np.ndarray, node: int) -> bool:
     return bool(int(bitmap[k // 64]) >> (k % 64) & 1)
 
 
-def token_arrays(scratch: Scratch, docs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-    """(node, tokens) of the nodes asked for."""
-    found = mapped(docs, "node long, tokens array<long>", lambda _, node, tokens: (node, tokens), bitmap_of(nodes))
-    return scratch.save(found.join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"]), name)
+def token_arrays(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, tokens) of the nodes asked for. The bitmap leaves most others out before the exact join."""
+    bitmap, schema = bitmap_of(nodes), "node long, tokens array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found, sets in slices(batches):
+            yield batch(list({node: t for node, t in zip(found, sets, strict=True) if node is not None and in_bitmap(bitmap, node)}.items()), schema)
+
+    return texts_of(docs).mapInArrow(run, schema).join(nodes, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
 def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -137,9 +274,9 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
     Pairs in one cluster are linked already, so that of each signature only the
     nodes outside its largest cluster meet all others: work grows with the size
     of a group of copies, not with its square. n: tokens of a node, p: tokens of
-    its prefix, f: those of p that are indexed in pairs or were found to be
-    frequent. A pair must share enough single tokens within the prefixes, given
-    what it may share behind them.
+    its prefix, f: those of p that are indexed in pairs or left out here. A pair
+    must share enough single tokens within the prefixes, given what it may share
+    of the others and behind them.
     """
     per = rows.groupBy("sig", "cluster").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max_by("cluster", F.struct("k", "cluster")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1").select("sig", "major")
     mixed_rows = rows.join(per, "sig")
@@ -155,113 +292,65 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
     return pairs.where(F.col("s") + F.col("f") + F.col("behind") >= F.ceil(3 * F.col("sizes") / 7)).select("a", "b")
 
 
-def links(scratch: Scratch, docs: DataFrame, most: int, max_frequent: int) -> DataFrame | None:
+def links(scratch: Scratch, docs: DataFrame, frequent: np.ndarray, most: int, max_frequent: int) -> DataFrame | None:
     """Links (a, b) between nodes, enough of them for all connected components; None if there is none.
 
-    1. Each node indexes the slack(n) + 1 tokens of its prefix in the order of
-       their hashes. Tokens of one node only are left out.
+    1. Each node indexes the signatures of its prefix. Those of one node only
+       are left out.
     2. A node is compared with the node it shares most first places with: that
        ties up groups of copies with one comparison each.
-    3. Tokens that up to `most` nodes hold: all pairs across clusters.
-    4. Nodes with a token that more nodes in different clusters hold go through
-       a second index over all their tokens' exact counts: tokens above `most`
-       (the max_frequent commonest of them) come last in the order and are
-       indexed as pairs, all others singly. Two nodes that share no token of
-       step 3 have both such a token in their prefixes, so both take part.
+    3. Signatures that up to `most` nodes hold: all pairs across clusters.
+    4. Nodes with a signature that more nodes in different clusters hold go
+       through a second index over exact counts of all their tokens: those above
+       `most` (the max_frequent commonest of them) come last and are indexed as
+       pairs. Two nodes that share no signature of step 3 have both such a one
+       in their prefixes, so both take part.
     """
-    prefix = "node long, n long, tokens array<long>"
-    head = lambda _, node, tokens: (node, len(tokens), tokens[: slack(len(tokens)) + 1])
-    index = lambda: mapped(docs, prefix, head).where("n > 2").select("node", "n", F.explode("tokens").alias("sig"))  # noqa: E731  sets of 1 or 2 have no near copies
-    seen = index().groupBy("sig").agg(F.count("*").alias("c"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("sig", "first")
-    live = index().join(seen, "sig").dropDuplicates(["sig", "node"])
-    live = scratch.save(live.select("sig", "node", "n", "first"), "live")
+    index = scratch.save(first_index(docs, frequent).withColumn("rid", F.monotonically_increasing_id()), "index")
+    sizes = scratch.save(index.drop("sigs", "cluster"), "sizes")
+    # Short row ids stand for nodes here: these are the largest shuffles.
+    flat = index.select("rid", F.posexplode("sigs").alias("i", "sig"), "singles").select("sig", "rid", (F.col("i") < F.col("singles")).alias("single"))
+    seen = flat.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
+    live = scratch.save(flat.join(seen, "sig", "left_semi"), "several")
+    scratch.drop("index")
+    live = live.join(sizes.select("rid", "node"), "rid").select("sig", "node", F.col("single").cast("long").alias("single")).dropDuplicates(["sig", "node"])
+    firsts = live.groupBy("sig").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("sig", "first")
+    live = scratch.save(live.join(firsts, "sig"), "live")
+    scratch.drop("several")
     if live.isEmpty():
         return None
-    best = live.where("node <> first").groupBy("node", "first").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("first", F.struct("k", "first")).alias("b")).select(F.col("node").alias("a"), "b")
-    stars = scratch.save(best, "stars")
+    sizes = sizes.dropDuplicates(["node"]).drop("rid")
+    best = live.where("node <> first").groupBy("node", "first").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("first", F.struct("k", "first")).alias("b"), F.max("k").alias("k"))
+    # A fifth of the single places or more: fewer are most often chance, and step 3 looks at those.
+    stars = scratch.save(best.join(sizes, "node").where("5 * k >= singles").select(F.col("node").alias("a"), "b"), "stars")
     nodes = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = scratch.save(verified(stars, token_arrays(scratch, docs, nodes(stars), "star_sets")), "links0")
-    clusters = components(scratch, found, "early") if not found.isEmpty() else None
-    if clusters is not None:
-        clusters = scratch.save(clusters, "clusters")
-    rows = clustered(live.select("sig", "node", "n"), clusters)
+    found = scratch.save(verified(stars, token_arrays(docs, nodes(stars))), "links0")
+    clusters = None if found.isEmpty() else scratch.save(components(scratch, found, "early"), "clusters")
+    rows = clustered(live.select("sig", "node", "single"), clusters)
     stats = rows.groupBy("sig").agg(F.count("*").alias("c"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("sig", "c")
-    rows = scratch.save(rows.join(stats, "sig").withColumn("p", F.expr("n - ceil(3 * n / 4) + 1")), "mixed")
-    hot = scratch.save(rows.where(F.col("c") > most).groupBy("node").agg(F.count("*").alias("f")), "hot")
-    few = rows.where(F.col("c") <= most).join(hot, "node", "left").select("sig", "node", "cluster", F.lit(1).alias("single"), "n", "p", F.coalesce("f", F.lit(0)).alias("f"))
+    rows = scratch.save(rows.join(stats, "sig"), "mixed")
+    scratch.drop("live")
+    hot = scratch.save(rows.where(F.col("c") > most).groupBy("node").agg(F.count("*").alias("left")), "hot")
+    few = rows.where(F.col("c") <= most).join(sizes, "node").join(hot, "node", "left")
+    few = few.select("sig", "node", "cluster", "single", "n", "p", (F.col("f") + F.coalesce("left", F.lit(0))).alias("f"))
     pairs = scratch.save(cross_pairs(few), "pairs1")
     out = found
     if not pairs.isEmpty():
-        out = out.unionByName(scratch.save(verified(pairs, token_arrays(scratch, docs, nodes(pairs), "sets1")), "links1"))
+        out = out.unionByName(scratch.save(verified(pairs, token_arrays(docs, nodes(pairs))), "links1"))
     if not hot.isEmpty():
-        whole = token_arrays(scratch, docs, hot.select("node"), "whole")
-        sets = clustered(whole, clusters).where(F.size("tokens") > 2)
+        whole = scratch.save(token_arrays(docs, hot.select("node")), "whole")
+        sets = clustered(whole, clusters)
         counts = sets.select("cluster", F.explode("tokens").alias("sig")).groupBy("sig").agg(F.count("*").alias("c"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
         top = counts.where((F.col("c") > most) & (F.col("lo") != F.col("hi"))).orderBy(F.desc("c"), "sig").limit(max_frequent)
-        frequent = np.sort(np.array([r["sig"] for r in top.select("sig").collect()], dtype=np.int64))
-        again = scratch.save(signatures(sets, frequent), "again")
-        pairs = scratch.save(cross_pairs(again), "pairs2")
+        again = scratch.save(next_index(sets, np.sort(np.array([r["sig"] for r in top.select("sig").collect()], dtype=np.int64))), "again")
+        flat = again.select("node", "cluster", "n", "p", "f", F.posexplode("sigs").alias("i", "sig"), "singles").withColumn("single", (F.col("i") < F.col("singles")).cast("long"))
+        pairs = scratch.save(cross_pairs(flat), "pairs2")
         if not pairs.isEmpty():
             out = out.unionByName(scratch.save(verified(pairs, whole), "links2"))
     return out
 
 
-def signatures(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(sig, node, cluster, single, n, p, f) of sets (node, cluster, tokens): rare tokens singly, frequent ones in pairs.
-
-    Order: rare tokens by hash, then frequent ones by hash. Frequent tokens are
-    dealt into classes, about one for every 8 tokens of a set, and pairs are made
-    within a class. With r rare tokens and n_c of class c in its prefix, a set
-    that lacks at most slack tokens of another shares a rare token or two of one
-    class with it once r + sum(n_c - 1) > slack; the prefix is extended up to
-    there. Classes depend on a level of sizes; as two near sets are at most one
-    level apart, each makes the pairs of its own level and of the next.
-    """
-    schema = "sig long, node long, cluster long, single long, n long, p long, f long"
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def of_level(tokens: np.ndarray, need: int, level: int) -> tuple[list[int], int]:
-        classes = max(1, int((4 / 3) ** level / 8))
-        x = tokens.view(np.uint64)
-        kind = (mixed(x + np.uint64(level + 1)) % np.uint64(classes)).astype(np.int64)
-        held: dict[int, list[int]] = {}
-        out: list[int] = []
-        gained = 0
-        for k, c in enumerate(kind):
-            if gained >= need:
-                return out, k
-            have = held.setdefault(int(c), [])
-            gained += bool(have)
-            for j in have:
-                pair = np.array([(int(x[j]) * MIX1 ^ int(x[k]) * MIX2) + level & MASK], dtype=np.uint64)  # in order of hash
-                out.append(int(mixed(pair).view(np.int64)[0]))
-            have.append(k)
-        return out, len(tokens)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for node, cluster, tokens in zip(*(b.column(i) for i in range(3)), strict=True):
-                node, cluster, tokens = node.as_py(), cluster.as_py(), np.sort(tokens.values.to_numpy())
-                n, often = len(tokens), np.isin(tokens, frequent, assume_unique=True)
-                need = slack(n) + 1
-                singles = tokens[~often][:need]
-                pairs, most = [], 0
-                if len(singles) < need:
-                    level = int(np.log(n) / np.log(4 / 3))
-                    for at in (level, level + 1):
-                        found, used = of_level(tokens[often], need - len(singles), at)
-                        pairs += found
-                        most = max(most, used)
-                sigs = np.concatenate([singles, np.array(pairs, dtype=np.int64)])
-                k = len(sigs)
-                single = np.r_[np.ones(len(singles), dtype=np.int64), np.zeros(len(pairs), dtype=np.int64)]
-                same = lambda v: np.full(k, v, dtype=np.int64)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (sigs, same(node), same(cluster), single, same(n), same(len(singles) + most), same(most))], names=names)
-
-    return sets.select("node", "cluster", "tokens").mapInArrow(run, schema)
-
-
-def jaccard_components(docs: DataFrame, *, most: int = 20, max_frequent: int = 200_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, most: int = 48, max_frequent: int = 200_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: classes of documents linked by shingle sets of Jaccard 0.75 or more.
 
     A document's set: distinct shingles of five words (A-Z lower-cased, split at
@@ -271,9 +360,9 @@ def jaccard_components(docs: DataFrame, *, most: int = 20, max_frequent: int = 2
     whole sets, and no link that a component needs is lost. component_id is the
     smallest doc_id of the component.
 
-    `most` nodes may share a token that is indexed singly; commoner ones count as
-    frequent (up to max_frequent of them are sent to the tasks; any beyond
-    count as rare, which costs time but loses nothing).
+    Up to `most` nodes may share a signature of which all pairs are made; tokens
+    that are commoner count as frequent (up to max_frequent of them are sent to
+    the tasks; any beyond count as rare, which costs time but loses nothing).
 
     Null or blank text: 0 shingles, linked with nothing, component_id its own
     doc_id. Null doc_id: takes part with its text; component_id is the smallest
@@ -281,8 +370,11 @@ def jaccard_components(docs: DataFrame, *, most: int = 20, max_frequent: int = 2
     each, in one component. Empty table: no rows. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = scratch.save(mapped(docs, "doc_id long, node long, n_shingles long", lambda doc_id, node, tokens: (doc_id, node, len(tokens)), wanted="doc"), "docs")
-    edges = links(scratch, docs, most, max_frequent)
+    passed = scratch.save(survey(docs), "survey")
+    rows = passed.where("token is null").select("doc_id", "node", F.col("n").alias("n_shingles"))
+    often = passed.where("token is not null").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") > most / 4)
+    top = [r["token"] for r in often.orderBy(F.desc("c"), "token").limit(max_frequent).select("token").collect()]  # max_frequent numbers at most
+    edges = links(scratch, docs, np.sort(np.array(top, dtype=np.int64)), most, max_frequent)
     if edges is not None:
         groups = clustered(rows.where("node is not null"), components(scratch, edges, "late"))
     else:
