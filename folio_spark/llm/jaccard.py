@@ -152,11 +152,11 @@ def survey(docs: DataFrame, group: int = 4_000_000, least: int = 3) -> DataFrame
     return texts_of(docs).mapInArrow(run, schema)
 
 
-INDEX = "node long, cluster long, n long, p long, f long, singles long, sigs array<long>"
+INDEX = "node long, cluster long, n long, p long, f long, singles long, level long, own long, sigs array<long>"
 
 
-def signatures(tokens: np.ndarray, often: np.ndarray) -> tuple[int, int, int, np.ndarray]:
-    """(p, f, singles, signatures) of a set: rare tokens singly, frequent ones in pairs.
+def signatures(tokens: np.ndarray, often: np.ndarray) -> tuple[int, int, int, int, int, np.ndarray]:
+    """(p, f, singles, level, pairs of its own level, signatures) of a set: rare tokens singly, frequent ones in pairs.
 
     Order: rare tokens by hash, then frequent ones by hash. Frequent tokens are
     dealt into classes, about one for every 8 tokens of a set, and pairs are made
@@ -171,7 +171,7 @@ def signatures(tokens: np.ndarray, often: np.ndarray) -> tuple[int, int, int, np
     need = slack(n) + 1
     single = tokens[~often][:need]
     if len(single) == need:
-        return need, 0, need, single
+        return need, 0, need, 0, 0, single
     common, most, out = tokens[often], 0, [single]
     level = int(np.log(n) / np.log(4 / 3))
     x = common.view(np.uint64)
@@ -191,7 +191,7 @@ def signatures(tokens: np.ndarray, often: np.ndarray) -> tuple[int, int, int, np
             have.append(k)
         most = max(most, used)
         out.append(mixed(x[left] * np.uint64(MIX1) ^ mixed(x[right] + np.uint64(at))).view(np.int64) if left else np.zeros(0, dtype=np.int64))
-    return len(single) + most, most, len(single), np.concatenate(out)
+    return len(single) + most, most, len(single), level, len(out[1]), np.concatenate(out)
 
 
 def first_index(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -253,12 +253,12 @@ def token_arrays(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts_of(docs).mapInArrow(run, schema).join(nodes, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
-def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= 75 * union."""
+def distances(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+    """(a, b, d, near) of pairs: the Jaccard distance, and whether 100 * intersection >= 75 * union."""
     left, right = (arrays.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    both = both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("s"))
-    return both.where(100 * F.col("s") >= 75 * (F.col("na") + F.col("nb") - F.col("s"))).select("a", "b")
+    both = both.select("a", "b", (F.size("ta") + F.size("tb")).alias("sum"), F.size(F.array_intersect("ta", "tb")).alias("s"))
+    return both.select("a", "b", (1 - F.col("s") / (F.col("sum") - F.col("s"))).alias("d"), (100 * F.col("s") >= 75 * (F.col("sum") - F.col("s"))).alias("near"))
 
 
 def clustered(rows: DataFrame, clusters: DataFrame | None) -> DataFrame:
@@ -268,21 +268,34 @@ def clustered(rows: DataFrame, clusters: DataFrame | None) -> DataFrame:
     return rows.join(clusters.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("cluster", F.coalesce("component", "node")).drop("component")
 
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) from rows (sig, node, cluster, single, n, p, f): a signature in common, different clusters.
+def flat_rows(index: DataFrame, *keys: str) -> DataFrame:
+    """(keys, sig, kind) of an index: kind is -1 of a single token, else the level of a pair."""
+    i = F.col("i")
+    kind = F.when(i < F.col("singles"), -1).when(i < F.col("singles") + F.col("own"), F.col("level")).otherwise(F.col("level") + 1)
+    return index.select(*keys, "singles", "own", "level", F.posexplode("sigs").alias("i", "sig")).select(*keys, "sig", kind.cast("int").alias("kind"), "level")
+
+
+def cross_pairs(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) from rows (sig, kind, node, cluster, n, p, f, level): a signature in common, different clusters.
 
     Pairs in one cluster are linked already, so that of each signature only the
     nodes outside its largest cluster meet all others: work grows with the size
     of a group of copies, not with its square. n: tokens of a node, p: tokens of
     its prefix, f: those of p that are indexed in pairs or left out here. A pair
     must share enough single tokens within the prefixes, given what it may share
-    of the others and behind them.
+    of the others and behind them. Pairs of tokens count at the higher of both
+    levels only. pivots (node, pivot, d): Jaccard distance is a metric, so two
+    nodes whose distances to one pivot differ by over 1/4 are no near copies.
     """
+    rows = rows.join(pivots, "node", "left")
     per = rows.groupBy("sig", "cluster").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max_by("cluster", F.struct("k", "cluster")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1").select("sig", "major")
     mixed_rows = rows.join(per, "sig")
-    minor = mixed_rows.where("cluster <> major").select("sig", F.col("node").alias("u"), F.col("cluster").alias("cu"), F.col("n").alias("nu"), F.col("p").alias("pu"), F.col("f").alias("fu"))
-    other = mixed_rows.select("sig", "node", "cluster", "single", "n", "p", "f", (F.col("cluster") == F.col("major")).alias("main"))
-    met = minor.join(other, (minor.sig == other.sig) & (F.col("cu") != F.col("cluster")) & (F.col("main") | (F.col("u") < F.col("node"))) & (4 * F.least("n", "nu") >= 3 * F.greatest("n", "nu")))
+    minor = mixed_rows.where("cluster <> major").select(F.col("sig").alias("su"), F.col("node").alias("u"), F.col("cluster").alias("cu"), F.col("n").alias("nu"), F.col("p").alias("pu"), F.col("f").alias("fu"), F.col("level").alias("lu"), F.col("pivot").alias("vu"), F.col("d").alias("du"))
+    other = mixed_rows.withColumn("main", F.col("cluster") == F.col("major")).drop("major")
+    far = F.coalesce((F.col("pivot") == F.col("vu")) & (F.abs(F.col("d") - F.col("du")) > 0.25 + 1e-9), F.lit(False))
+    level = (F.col("kind") == -1) | (F.col("kind") == F.greatest("level", "lu"))
+    met = minor.join(other, (F.col("su") == F.col("sig")) & (F.col("cu") != F.col("cluster")) & (F.col("main") | (F.col("u") < F.col("node"))) & (4 * F.least("n", "nu") >= 3 * F.greatest("n", "nu")) & ~far & level)
+    met = met.withColumn("single", (F.col("kind") == -1).cast("long"))
     pairs = met.groupBy(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).agg(
         F.sum("single").alias("s"),
         F.min(F.col("n") + F.col("nu")).alias("sizes"),
@@ -309,44 +322,48 @@ def links(scratch: Scratch, docs: DataFrame, frequent: np.ndarray, most: int, ma
     index = scratch.save(first_index(docs, frequent).withColumn("rid", F.monotonically_increasing_id()), "index")
     sizes = scratch.save(index.drop("sigs", "cluster"), "sizes")
     # Short row ids stand for nodes here: these are the largest shuffles.
-    flat = index.select("rid", F.posexplode("sigs").alias("i", "sig"), "singles").select("sig", "rid", (F.col("i") < F.col("singles")).alias("single"))
+    flat = flat_rows(index, "rid")
     seen = flat.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
-    live = scratch.save(flat.join(seen, "sig", "left_semi"), "several")
+    live = scratch.save(flat.drop("level").join(seen, "sig", "left_semi"), "several")
     scratch.drop("index")
-    live = live.join(sizes.select("rid", "node"), "rid").select("sig", "node", F.col("single").cast("long").alias("single")).dropDuplicates(["sig", "node"])
-    firsts = live.groupBy("sig").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("sig", "first")
-    live = scratch.save(live.join(firsts, "sig"), "live")
+    live = live.join(sizes.select("rid", "node"), "rid").select("sig", "node", "kind").dropDuplicates(["sig", "node"])
+    shared = live.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
+    live = scratch.save(live.join(shared, "sig"), "live")
     scratch.drop("several")
     if live.isEmpty():
         return None
-    sizes = sizes.dropDuplicates(["node"]).drop("rid")
-    best = live.where("node <> first").groupBy("node", "first").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("first", F.struct("k", "first")).alias("b"), F.max("k").alias("k"))
+    sizes = sizes.drop("rid", "own").dropDuplicates(["node"])
+    # The leader of a signature is its most central node: the one whose signatures most others hold, for its size.
+    weight = live.groupBy("node").agg(F.sum("c").alias("w")).join(sizes.select("node", "n"), "node").select("node", (F.col("w") / F.col("n")).alias("w"))
+    leaders = live.join(weight, "node").groupBy("sig").agg(F.max_by("node", F.struct("w", "node")).alias("first"))
+    best = live.join(leaders, "sig").where("node <> first").groupBy("node", "first").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("first", F.struct("k", "first")).alias("b"), F.max("k").alias("k"))
     # A fifth of the single places or more: fewer are most often chance, and step 3 looks at those.
     stars = scratch.save(best.join(sizes, "node").where("5 * k >= singles").select(F.col("node").alias("a"), "b"), "stars")
     nodes = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = scratch.save(verified(stars, token_arrays(docs, nodes(stars))), "links0")
+    apart = scratch.save(distances(stars, token_arrays(docs, nodes(stars))), "apart")
+    found = apart.where("near").select("a", "b")
+    pivots = apart.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d")
     clusters = None if found.isEmpty() else scratch.save(components(scratch, found, "early"), "clusters")
-    rows = clustered(live.select("sig", "node", "single"), clusters)
+    rows = clustered(live.select("sig", "node", "kind"), clusters)
     stats = rows.groupBy("sig").agg(F.count("*").alias("c"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("sig", "c")
     rows = scratch.save(rows.join(stats, "sig"), "mixed")
     scratch.drop("live")
     hot = scratch.save(rows.where(F.col("c") > most).groupBy("node").agg(F.count("*").alias("left")), "hot")
     few = rows.where(F.col("c") <= most).join(sizes, "node").join(hot, "node", "left")
-    few = few.select("sig", "node", "cluster", "single", "n", "p", (F.col("f") + F.coalesce("left", F.lit(0))).alias("f"))
-    pairs = scratch.save(cross_pairs(few), "pairs1")
+    few = few.select("sig", "node", "cluster", "kind", "n", "p", "level", (F.col("f") + F.coalesce("left", F.lit(0))).alias("f"))
+    pairs = scratch.save(cross_pairs(few, pivots), "pairs1")
     out = found
     if not pairs.isEmpty():
-        out = out.unionByName(scratch.save(verified(pairs, token_arrays(docs, nodes(pairs))), "links1"))
+        out = out.unionByName(scratch.save(distances(pairs, token_arrays(docs, nodes(pairs))).where("near").select("a", "b"), "links1"))
     if not hot.isEmpty():
         whole = scratch.save(token_arrays(docs, hot.select("node")), "whole")
         sets = clustered(whole, clusters)
         counts = sets.select("cluster", F.explode("tokens").alias("sig")).groupBy("sig").agg(F.count("*").alias("c"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
         top = counts.where((F.col("c") > most) & (F.col("lo") != F.col("hi"))).orderBy(F.desc("c"), "sig").limit(max_frequent)
         again = scratch.save(next_index(sets, np.sort(np.array([r["sig"] for r in top.select("sig").collect()], dtype=np.int64))), "again")
-        flat = again.select("node", "cluster", "n", "p", "f", F.posexplode("sigs").alias("i", "sig"), "singles").withColumn("single", (F.col("i") < F.col("singles")).cast("long"))
-        pairs = scratch.save(cross_pairs(flat), "pairs2")
+        pairs = scratch.save(cross_pairs(flat_rows(again, "node", "cluster", "n", "p", "f"), pivots), "pairs2")
         if not pairs.isEmpty():
-            out = out.unionByName(scratch.save(verified(pairs, whole), "links2"))
+            out = out.unionByName(scratch.save(distances(pairs, whole).where("near").select("a", "b"), "links2"))
     return out
 
 
