@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +15,17 @@ SCHEMA = "doc_id long, score double, predicted int, n_windows int, n_hits int"
 
 
 def windows(text: str, size: int) -> list[bytes]:
-    """Consecutive windows of `size` lower-cased words; the last may be shorter."""
-    w = text.lower().split()
-    return [" ".join(w[i : i + size]).encode("utf-8", "replace") for i in range(0, len(w), size)]
+    """Consecutive windows of `size` lower-cased words; the last may be shorter.
+
+    A word's bytes are shifted by their place in it (up to the 16th), so a match
+    starts where a word does: the same letters further inside a word are others.
+    """
+    raw = np.frombuffer("".join(f" {w}" for w in text.lower().split()).encode("utf-8", "replace"), dtype=np.uint8)
+    starts = np.flatnonzero(raw == 32)
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    shifted = (raw + 37 * np.minimum(place, 15)).astype(np.uint8).tobytes()
+    cuts = [*starts[::size].tolist(), len(raw)]
+    return [shifted[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
 def coder(first: bytes, ordinary: bytes) -> zstandard.ZstdCompressor:
@@ -56,49 +64,45 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
             return trained[-size:]
         except zstandard.ZstdError:
             pass
-    return b" ".join(dict.fromkeys(samples))[-size:] or b" "
+    return b"".join(dict.fromkeys(samples))[-size:] or b" "
 
 
-def pieces(word: str, n: int) -> set[str]:
-    """The n-character pieces of a word; a shorter one as a whole, behind a blank."""
-    w = word.strip(".,;:!?")
-    return {w[i : i + n] for i in range(len(w) - n + 1)} if len(w) >= n else {f" {w}"}
+def contexts(texts: list[str]) -> set[tuple[str, str]]:
+    """The distinct (word before, word) of all texts; what copies repeat counts once."""
+    out: set[tuple[str, str]] = set()
+    for t in texts:
+        w = [x.strip(".,;:!?") for x in t.lower().split()]
+        out.update(zip(["", *w], w))
+    return out
 
 
-def typical(texts: list[str], other: list[str], n: int, ratio: float, least: int) -> list[str]:
-    """Pieces of words that at least `ratio` times as many texts have as others have, the rarest first.
+def typical(texts: list[str], other: list[str], ratio: float, deviations: float) -> list[str]:
+    """Beginnings of words that set texts apart from others, the most telling last.
 
-    A piece that mostly stands in words with a piece taken before is left out.
+    One is taken if at least `ratio` times as large a share of the texts' words
+    in context begins so as of the others', and so many standard deviations more
+    than chance explains; unless another that was taken before covers it. Each is
+    as long as most of the words that begin so go on.
     """
-    df, of, where = Counter(), Counter(), defaultdict(set)
-    for i, t in enumerate(texts):
-        here = {w: pieces(w, n) for w in set(t.lower().split())}
-        df.update(set().union(*here.values()))
-        for w, found in here.items():
-            for x in found:
-                where[x].add((i, w))
-    for t in other:
-        of.update(set().union(*(pieces(w, n) for w in set(t.lower().split()))))
-    share = lambda x: (df[x] / len(texts)) / ((of[x] + 0.5) / len(other))
-    taken, covered = [], set()
-    for x in sorted((x for x, k in df.items() if k >= least and share(x) >= ratio), key=lambda x: (-df[x], x)):
-        if len(where[x] - covered) >= 0.5 * len(where[x]):
-            taken.append(stretched(x, [f" {w.strip('.,;:!?')} " for _, w in where[x]]))
-            covered |= where[x]
-    return taken[::-1]
-
-
-def stretched(piece: str, words: list[str], share: float = 0.8) -> str:
-    """The piece with the characters that stand around it in most of the words."""
-    for side in (-1, 1):
-        while True:
-            at = [w.find(piece) for w in words]
-            around = Counter(w[k - 1] if side < 0 else w[k + len(piece)] for w, k in zip(words, at, strict=True) if k >= 0 and (k > 0 if side < 0 else k + len(piece) < len(w)))
-            char, n = max(around.items(), key=lambda x: (x[1], x[0]), default=("", 0))
-            if n < share * len(words):
-                break
-            piece = char + piece if side < 0 else piece + char
-    return piece
+    lengths = range(3, 9)
+    here, there = contexts(texts), contexts(other)
+    n, of = (Counter(w[:k] for _, w in c for k in range(3, min(len(w), 16) + 1)) for c in (here, there))
+    share = len(here) / max(1, len(there))
+    rated = []
+    for x, k in n.items():
+        chance = (of[x] + 0.5) * share
+        if len(x) in lengths and k >= ratio * chance and (z := (k - chance) / (chance + 0.5) ** 0.5) >= deviations:
+            rated.append((z, x))
+    taken: list[str] = []
+    for _, x in sorted(rated, key=lambda r: (-r[0], r[1])):
+        if not any(x.startswith(y) for y in taken):
+            taken.append(x)
+    longer: dict[str, str] = {}
+    for y, k in n.items():
+        for x in (y[:m] for m in lengths if m < len(y)):
+            if 2 * k > n[x] and (len(y), y) > (len(longer.get(x, "")), longer.get(x, "")):
+                longer[x] = y
+    return list(dict.fromkeys(longer.get(x, x) for x in taken[::-1]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:
@@ -125,10 +129,12 @@ def fit(texts: list[str], toxic: list[int], size: int, dict_size: int) -> dict:
         half[:] = True
     of = lambda k: [t or "" for t, z, h in zip(texts, y, half, strict=True) if h and z == k]
     ordinary, marked = of(0), of(1)
-    plain = dictionary([w for t in ordinary for w in windows(t, size)][:200_000], dict_size)
-    # Most of a toxic document is ordinary, so its dictionary is trained on the pieces of words that set it apart.
-    telling = typical(marked, ordinary, 5, ratio=30.0, least=max(3, len(marked) // 50))
-    model = {"toxic": dictionary([w.encode("utf-8", "replace") for w in telling], dict_size // 4), "plain": plain, "size": size}
+    # Most of a toxic document is ordinary, so its dictionary is trained on the beginnings of words that set it apart.
+    telling = typical(marked, ordinary, ratio=4.0, deviations=9.0)
+    known = tuple(telling) or ("\0",)
+    usual = [" ".join(w for w in t.lower().split() if not w.startswith(known)) for t in ordinary]  # text with these isn't ordinary
+    plain = dictionary([w for t in usual for w in windows(t, size)][:200_000], dict_size)
+    model = {"toxic": dictionary([w for x in telling for w in windows(x, size)], dict_size // 4), "plain": plain, "size": size}
     ct, cp = coders(model)
     held = ~half if (~half).any() and len(set(y[~half])) == 2 else half
     g = [gains(windows(t or "", size), ct, cp) for t, h in zip(texts, held, strict=True) if h]
@@ -166,9 +172,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, window: int = 12, dict_size:
 
     The model is fit on a bounded sample of labelled rows: at most max_toxic
     toxic and max_plain ordinary ones (those with the smallest hash of doc_id),
-    of at most max_chars each from a place that the hash chooses; scoring has no bounds. Windows of `window` words are
-    compressed with a dictionary trained on toxic windows and with one trained
-    on ordinary windows; windows that get shorter by a calibrated threshold are
+    of at most max_chars each from a place that the hash chooses; scoring has no
+    bounds. Windows of `window` words are compressed with a dictionary trained on
+    the word beginnings that tell toxic text apart and with one trained on
+    ordinary windows; windows that get shorter by a calibrated threshold are
     hits, and a logistic calibration of hits and gains gives the score.
 
     Null or empty text: no windows, the score of a text without hits. Null
