@@ -16,8 +16,9 @@ from .lines import dedup_lines
 from .packing import pack_documents
 from .quality import quality_rules
 from .sharding import shard
+from .sql import CHAT_FORMAT, LINE_DEDUP, NGRAM_JACCARD, SHARDING, url_filters
 from .toxicity import toxicity
-from .urls import filter_urls
+from .urls import TWO_LABEL_SUFFIXES, filter_urls
 
 # The rules of op10 as (verdict, host, path).
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -86,7 +87,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
-
-
-SQL: dict[str, str] = {}
+    """The others have none: SQL has no tokenizer, compressor, HTML tree or alignment, and not the hash of the quality rules."""
+    return {
+        "op1_line_dedup": LINE_DEDUP.format(min_words=50),
+        "op4_ngram_jaccard": NGRAM_JACCARD,
+        "op8_sharding": SHARDING.format(max_bytes=SHARD_BYTES),
+        "op9_chat_format": CHAT_FORMAT.format(probe=PROBE),
+        "op10_url_filters": url_filters(URL_RULES, TWO_LABEL_SUFFIXES),
+    }
