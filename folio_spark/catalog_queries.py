@@ -25,10 +25,14 @@ def query(sql: str | None = None):
 
 
 def queries():
+    from . import vocabulary_queries  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql():
+    from . import vocabulary_queries  # noqa: F401
+
     return dict(SQL)
 
 

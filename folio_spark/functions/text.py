@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,3 +42,35 @@ def norm_isbn(c: Column) -> Column:
 
 def idf(df: Column) -> Column:
     return 1 / F.log2(df + 2)
+
+
+def split_role(c: Column) -> Column:
+    """(name, role) of 'Name (role)'; without a trailing role in brackets it's null."""
+    pattern = r"^(.*\S)\s*\(([^()]*)\)\s*$"
+    hit = c.rlike(pattern)
+    return F.struct(F.when(hit, F.regexp_extract(c, pattern, 1)).otherwise(F.trim(c)).alias("name"), F.when(hit, F.trim(F.regexp_extract(c, pattern, 2))).alias("role"))
+
+
+def scheme_of(uri: Column, prefixes: Sequence[tuple[str, str]]) -> Column:
+    """The scheme of the first prefix that fits, in the order given; null if none does."""
+    out = F.lit(None).cast("string")
+    for prefix, scheme in reversed(prefixes):
+        out = F.when(F.startswith(uri, F.lit(prefix)), scheme).otherwise(out)
+    return out
+
+
+def split_list(c: Column) -> Column:
+    """The trimmed, non-empty parts of a comma list."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def pick_label(labels: Column, prefer: Sequence[str] = ()) -> Column:
+    """From a map language -> label: the first preferred one, English, untagged, else that of the smallest language; empty labels don't count."""
+    full = F.map_filter(labels, lambda k, v: v != "")
+    first = F.get(F.array_sort(F.map_keys(full)), F.lit(0))
+    return F.coalesce(*[F.try_element_at(full, F.lit(lang)) for lang in [*prefer, "en", ""]], F.try_element_at(full, first))
+
+
+def series_key(c: Column) -> Column:
+    """A series title without its trailing punctuation, in lower case."""
+    return F.lower(F.rtrim(c, F.lit(" ;:,.")))

@@ -29,5 +29,5 @@ def read_mapped_csv(spark: SparkSession, path: str, mapping: Mapping[str, str],
     raw = spark.read.csv(path, header=True, sep=sep)
     if absent := sorted(set(mapping.values()) - set(raw.columns)):
         raise ValueError(f"headers not in the file: {', '.join(absent)}")
-    parts = lambda h: F.filter(F.transform(F.split(F.coalesce(F.col(f"`{h}`"), F.lit("")), many), F.trim), lambda x: x != "")
+    parts = lambda h: F.filter(F.transform(F.split(F.coalesce(F.col(f"`{h}`"), F.lit("")), many), lambda x: F.trim(x)), lambda x: x != "")
     return raw.select(*[parts(h).alias(f) for f, h in mapping.items()])
