@@ -93,7 +93,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 1
         {
             "n_words": F.size("h__").cast("long"),
             "word_chars": F.length(F.array_join("w__", "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),  # translate looks up every character as a string
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
             "n_repeat_words": repeated_words(F.col("h__")),
             "llr": let(buckets(F.col("h__"), n_buckets), lambda b: F.when(F.size(b) == 0, 0.0).otherwise(F.aggregate(b, F.lit(0.0), lambda s, x: s + F.get(ratios, x)) / F.size(b))),
