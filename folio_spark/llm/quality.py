@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from math import log
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import Scratch, let, words
 
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 20, 8, 30
+# Log ratios are added up as whole numbers of this unit, so that no order of adding changes a sum.
+UNIT = 1e-4
 
 
 def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
@@ -38,42 +38,60 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
 
 def buckets(hashes: Column, n_buckets: int) -> Column:
     """Hash buckets of the single words and word pairs of a text."""
+    kind = "int" if n_buckets <= 1 << 31 else "bigint"
     return let(
         hashes,
         lambda a: F.concat(
-            F.transform(a, lambda x: F.pmod(x, F.lit(n_buckets)).cast("int")),
-            F.when(F.size(a) > 1, F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 2, F.size(a)), lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(n_buckets)).cast("int"))).otherwise(F.array().cast("array<int>")),
+            F.transform(a, lambda x: F.pmod(x, F.lit(n_buckets)).cast(kind)),
+            F.when(F.size(a) > 1, F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 2, F.size(a)), lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(n_buckets)).cast(kind))).otherwise(F.array().cast(f"array<{kind}>")),
         ),
     )
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, n_buckets: int, alpha: float) -> Column:
-    """A constant array: log p(bucket | trusted) - log p(bucket | corpus), of the fixed length n_buckets.
+def n_buckets_of(hashed: DataFrame, least: int, load: int) -> tuple[int, int, int]:
+    """(buckets, n-grams of the corpus, n-grams of trusted documents).
 
-    The corpus side counts every n-gram of every document; each task sends at
-    most n_buckets partial sums, whatever it has read, and the driver gets
-    n_buckets sums at most. Values are rounded to 4 places.
+    The buckets are the power of two, `least` or more, that leaves at most `load`
+    distinct n-grams a bucket, so they get no fuller as the corpus grows. Distinct
+    n-grams are counted in a 128th of the range of a 64-bit hash.
     """
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("hit"))), "doc_id", "left")
-    hashed = marked.select(F.coalesce("hit", F.lit(0)).alias("hit"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    grams = hashed.select("hit", F.explode(buckets(F.col("h"), n_buckets)).alias("bucket"))
-    counts = {r["bucket"]: (r["raw"], r["aim"]) for r in grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("hit").alias("aim")).collect()}
-    raws, aims = (sum(c[i] for c in counts.values()) for i in (0, 1))
-    add = alpha * n_buckets
+    grams = hashed.select("hit", F.explode(buckets(F.col("h"), 1 << 62)).alias("g"))
+    sampled = F.when(F.shiftright("g", 55) == 0, F.col("g"))
+    row = grams.groupBy(sampled.alias("g")).agg(F.count("*").alias("raw"), F.sum("hit").alias("aim")).agg(F.count("g"), F.sum("raw"), F.sum("aim")).first()
+    distinct = row[0] * 128
+    return max(least, 1 << max(0, (distinct - 1) // load).bit_length()), row[1] or 0, row[2] or 0
 
-    def ratio(raw: int, aim: int) -> float:
-        return log((aim + alpha) / (aims + add)) - log((raw + alpha) / (raws + add)) if aims else 0.0
 
-    listed = ",".join(f"{ratio(*counts.get(i, (0, 0))):.4f}" for i in range(n_buckets))
-    return F.from_json(F.lit(f"[{listed}]"), "array<double>")
+def log_ratios(scratch: Scratch, hashed: DataFrame, n_buckets: int, raws: int, aims: int, alpha: float, slots: int) -> tuple[DataFrame, Column, Column]:
+    """(ratios, ids, values): log p(bucket | trusted) - log p(bucket | corpus) in units of UNIT.
 
+    Both sides count every n-gram. ratios (bucket, ratio) is a table in the
+    shared folder, of as many rows as there are buckets with n-grams. ids and
+    values are constant arrays of `slots` entries: slot k has the most frequent
+    bucket that is k modulo slots, so that common n-grams needn't be joined.
+    """
+    grams = hashed.select("hit", F.explode(buckets(F.col("h"), n_buckets)).alias("bucket"))
+    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("hit").alias("aim"))
+    add = alpha * n_buckets
+    ratio = F.log((F.col("aim") + alpha) / (aims + add)) - F.log((F.col("raw") + alpha) / (raws + add)) if aims else F.lit(0.0)
+    ratios = scratch.save(counts.select("bucket", F.round(ratio / UNIT).cast("int").alias("ratio"), "raw"), "ratios")
+    top = ratios.groupBy(F.pmod("bucket", F.lit(slots)).alias("slot")).agg(F.max(F.struct("raw", "bucket", "ratio")).alias("t"))
+    held = {r["slot"]: r["t"] for r in top.collect()}
+    listed = lambda field, none: ",".join(str(held[i][field] if i in held else none) for i in range(slots))
+    ids, values = (F.from_json(F.lit(f"[{listed(*x)}]"), "array<int>") for x in (("bucket", -1), ("ratio", 0)))
+    return ratios.select("bucket", "ratio"), ids, values
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 16, alpha: float = 1.0, min_score: float = -0.25, max_trusted: int = 50_000) -> DataFrame:
+
+def quality_rules(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 16, load: int = 8, slots: int = 1 << 16, alpha: float = 1.0, min_score: float = -0.25, max_trusted: int = 50_000) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept.
 
-    Method: words and word pairs are hashed into n_buckets; llr is the mean over
-    a document's n-grams of log p(trusted) - log p(corpus) under two smoothed
-    multinomials, so it doesn't depend on length. The trusted one is fit on at
+    Method: words and word pairs are hashed into n_buckets, or into as many more
+    as leave `load` distinct n-grams a bucket, so that a verdict doesn't fade with
+    the size of the corpus; llr is the mean over a document's n-grams of
+    log p(trusted) - log p(corpus) under two smoothed multinomials, so it doesn't
+    depend on length. Of each of `slots` residues the most frequent bucket is
+    looked up in place; the other n-grams of a document are joined with the table
+    of ratios and summed (`slots` changes the cost, no result). The trusted one is fit on at
     most max_trusted documents with label quality = 1 (those with the smallest
     hash of doc_id); the corpus one counts all documents. Every document gets
     the same threshold: kept if no base rule fails and llr >= min_score.
@@ -84,7 +102,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 1
     Columns of docs with the names of results are replaced; all others stay.
     """
     trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
-    ratios = log_ratios(docs, trusted, n_buckets, alpha)
+    key = F.xxhash64("doc_id", "text")  # equal rows share sums and number of n-grams, so their mean is that of each
+    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("hit"))), "doc_id", "left")
+    hashed = marked.select(key.alias("key__"), F.coalesce("hit", F.lit(0)).alias("hit"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    n_buckets, raws, aims = n_buckets_of(hashed, n_buckets, load)
+    ratios, ids, values = log_ratios(Scratch(docs.sparkSession, "quality"), hashed, n_buckets, raws, aims, alpha, slots)
+    slot = lambda x: F.pmod(x, F.lit(slots))
+    rare = hashed.select("key__", F.explode(F.filter(buckets(F.col("h"), n_buckets), lambda x: F.get(ids, slot(x)) != x)).alias("bucket"))
+    rest = rare.join(ratios, "bucket").groupBy("key__").agg(F.sum("ratio").alias("sum"), F.count("*").alias("n"))
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
@@ -96,8 +121,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 1
             "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),  # translate looks up every character as a string
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
             "n_repeat_words": repeated_words(F.col("h__")),
-            "llr": let(buckets(F.col("h__"), n_buckets), lambda b: F.when(F.size(b) == 0, 0.0).otherwise(F.aggregate(b, F.lit(0.0), lambda s, x: s + F.get(ratios, x)) / F.size(b))),
+            "key__": key,
+            "s__": let(buckets(F.col("h__"), n_buckets), lambda b: F.aggregate(b, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("n")), lambda s, x: F.when(F.get(ids, slot(x)) == x, F.struct((s["sum"] + F.get(values, slot(x))).alias("sum"), (s["n"] + 1).alias("n"))).otherwise(s))),
         }
     ).drop("w__", "h__")
+    all_grams = F.col("n_words") + F.greatest(F.col("n_words") - 1, F.lit(0))
+    if n_buckets > slots:
+        out = out.join(rest.select("key__", F.struct("sum", "n").alias("r__")), "key__", "left")
+        joined = F.coalesce(F.col("r__.sum") * (all_grams - F.col("s__.n")) / F.col("r__.n"), F.lit(0.0))
+    else:
+        joined = F.lit(0.0)
+    out = out.withColumn("llr", F.when(all_grams == 0, 0.0).otherwise((F.col("s__.sum") + joined) * UNIT / all_grams)).drop("key__", "s__", "r__")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= min_score))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= min_score)).select(*[c for c in docs.columns if c not in added], *added)

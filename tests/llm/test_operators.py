@@ -215,6 +215,19 @@ def test_quality_verdict(spark):
     assert quality_rules(frame(spark, []), labels).count() == 0
 
 
+def test_quality_size(spark):
+    """Bad documents stay rejected when n-grams are many more than the least number of buckets; `slots` changes no score."""
+    r = random.Random(3)
+    good = [" ".join(f"g{r.randrange(400)}" for _ in range(60)) for _ in range(150)]
+    bad = [" ".join(f"b{r.randrange(100_000)}" for _ in range(60)) for _ in range(60)]
+    texts = [*good, *bad, bad[0]]
+    ids = [*range(210), 150]
+    labels = spark.createDataFrame([(i, int(i < 150), 0) for i in range(180)], "doc_id long, quality int, toxic int")
+    scores = [sorted((x.doc_id, round(x.llr, 9), x.kept) for x in quality_rules(frame(spark, texts, ids), labels, n_buckets=64, slots=k).collect()) for k in (16, 1 << 16)]
+    assert scores[0] == scores[1] and len(scores[0]) == 211
+    assert all(kept == (i < 150) for i, _, kept in scores[0])
+
+
 def test_sharding(spark):
     texts = ["x" * (i * 37 % 900) for i in range(500)]
     got = shard(frame(spark, [*texts, None]), max_bytes=4000, start_bits=4).collect()
