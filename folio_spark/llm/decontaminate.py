@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of word sequences."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of word sequences."""
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from math import ceil
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 WORD = re.compile(r"\w+")
-SEEDS = "gram int, n long, doc_id long, item int, grams array<int>, first int, passage string"
+SEEDS = "doc_id long, item int, grams array<int>, first int, passage string"
 FOUND = "doc_id long, item_id long, score double, n_seeds int, start_word long, n_words long"
 
 
@@ -51,7 +51,7 @@ def seeds_of(items: list[tuple[int, list[str]]], n: int) -> dict[tuple[str, ...]
 
 
 def find_seeds(docs: DataFrame, items: list[tuple[int, list[str]]], n: int) -> DataFrame:
-    """One pass over the texts. Rows with gram: how many documents of a batch hold it. Rows with doc_id: a stretch with two n-grams of an item at least (one, where it has one only)."""
+    """One pass over the texts. A row is a stretch with two n-grams of an item at least (one, where it has one only)."""
     seeds = seeds_of(items, n)
     sizes = sorted({len(g) for g in seeds})
     lengths = [len(w) for _, w in items]
@@ -60,7 +60,6 @@ def find_seeds(docs: DataFrame, items: list[tuple[int, list[str]]], n: int) -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         starts = {s: {g for g in seeds if len(g) == s} for s in sizes}
         for b in batches:
-            held: Counter = Counter()
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 w = words(text)
@@ -74,7 +73,6 @@ def find_seeds(docs: DataFrame, items: list[tuple[int, list[str]]], n: int) -> D
                 for k, g in hits:
                     for number, item in seeds[g]:
                         by_item[item].append((k, number))
-                held.update({number for _, g in hits for number, _ in seeds[g]})
                 for item, found in by_item.items():
                     found.sort()
                     far = lengths[item]
@@ -83,25 +81,23 @@ def find_seeds(docs: DataFrame, items: list[tuple[int, list[str]]], n: int) -> D
                         if x[0] - stretch[-1][0] > 2 * far:
                             if len(grams := {number for _, number in stretch}) >= least[item]:
                                 first = max(0, stretch[0][0] - far)
-                                rows.append((None, None, doc_id, item, sorted(grams), first, " ".join(w[first : stretch[-1][0] + n + far])))
+                                rows.append((doc_id, item, sorted(grams), first, " ".join(w[first : stretch[-1][0] + n + far])))
                             stretch = []
                         stretch.append(x)
-            rows += [(g, c, None, None, None, None, None) for g, c in held.items()]
             if rows:
-                out = pd.DataFrame(rows, columns=["gram", "n", "doc_id", "item", "grams", "first", "passage"])
-                yield out.astype({"gram": "Int32", "n": "Int64", "doc_id": "Int64", "item": "Int32", "first": "Int32"})
+                out = pd.DataFrame(rows, columns=["doc_id", "item", "grams", "first", "passage"])
+                yield out.astype({"doc_id": "Int64", "item": "Int32", "first": "Int32"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SEEDS)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 4, rarity: float = 4.0, common: float = 0.0005, min_score: float = 0.5, block_chars: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 4, min_score: float = 0.5, block_chars: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, score, n_seeds, start_word, n_words): documents that hold a copy of a test item, edited or not.
 
-    Words are compared lower-cased, without punctuation. Seeds are an item's rare
-    n-grams: in at most `rarity` times as many documents as its rarest one (or a
-    share `common` of all documents); counts cover all documents. A stretch of a
-    document with two seeds of an item is aligned with it (match 2, mismatch and
-    gap -1); score is the alignment's share of a full match. Pairs of min_score
+    Words are compared lower-cased, without punctuation. Seeds are an item's
+    n-grams, however many documents hold them: a document's verdict depends on
+    its own text and the items only. A stretch of a document with two seeds of an
+    item is aligned with it (match 2, mismatch and gap -1); score is the alignment's share of a full match. Pairs of min_score
     or more are returned, with the best stretch of each.
 
     The test items are taken in blocks of block_chars, each sent to all tasks;
@@ -122,30 +118,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 4, rarity: f
             continue
         scratch = Scratch(spark, "seeds")
         seeds = scratch.save(find_seeds(docs.where("doc_id is not null"), items, n), "all")
-        counts = {r["gram"]: r["n"] for r in seeds.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # one row for each n-gram of the block at most
-        n_docs = docs.count()
-        numbers = defaultdict(list)
-        for x in seeds_of(items, n).values():
-            for number, item in x:
-                numbers[item].append(number)
-        rare = {i: {g for g in gs if counts.get(g, 0) <= max(rarity * min(counts.get(h, 0) or n_docs for h in gs), common * n_docs, 1)} for i, gs in numbers.items()}
-
-        def score(batches: Iterator[pd.DataFrame], items=items, rare=rare) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pd.DataFrame], items=items) -> Iterator[pd.DataFrame]:
             for b in batches:
                 out = []
                 for doc_id, item, grams, first, passage in zip(b["doc_id"], b["item"], b["grams"], b["first"], b["passage"], strict=True):
                     item_id, w = items[item]
-                    if (hits := len(rare[item].intersection(grams))) < min(2, len(rare[item])):
-                        continue
                     p = passage.split(" ")
                     points, end = align(p, w)
                     if points >= min_score * 2 * len(w):
                         back, _ = align(p[:end][::-1], w[::-1])
                         length = align(p[:end][::-1], w[::-1])[1] if back == points else min(end, len(w))
-                        out.append((doc_id, item_id, points / (2 * len(w)), hits, first + end - length, length))
+                        out.append((doc_id, item_id, points / (2 * len(w)), len(grams), first + end - length, length))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
 
-        results.append(seeds.where("doc_id is not null").select("doc_id", "item", "grams", "first", "passage").mapInPandas(score, FOUND))
+        results.append(seeds.mapInPandas(score, FOUND))
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)

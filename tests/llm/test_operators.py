@@ -148,6 +148,16 @@ def test_decontamination(spark):
     assert decontaminate(frame(spark, texts), bench).count() == len(texts) - 2
 
 
+def test_decontamination_large_group(spark):
+    """Copies with one and the same edit are found however many they are, beside one whole copy."""
+    r = random.Random(6)
+    item = [f"i{k}" for k in range(30)]
+    edited = [*item[:14], "other", *item[15:]]
+    texts = [" ".join(f"w{r.randrange(3000)}" for _ in range(50)) + " " + " ".join(w) for w in [item, *[edited] * 12]]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    assert {x.doc_id for x in contaminated(frame(spark, texts), bench).collect()} == set(range(13))
+
+
 def test_alignment():
     def slow(p, q):
         h = [[0] * (len(p) + 1) for _ in range(len(q) + 1)]
