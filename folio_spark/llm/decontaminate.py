@@ -1,9 +1,8 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of word sequences."""
+"""Benchmark decontamination: word-pair seeds, then Smith-Waterman alignment of word sequences."""
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from math import ceil
 
@@ -12,10 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
-
 WORD = re.compile(r"\w+")
-SEEDS = "doc_id long, item int, grams array<int>, first int, passage string"
 FOUND = "doc_id long, item_id long, score double, n_seeds int, start_word long, n_words long"
 
 
@@ -39,66 +35,88 @@ def align(passage: list[str], item: list[str], match: int = 2, mismatch: int = -
     return best, end
 
 
-def seeds_of(items: list[tuple[int, list[str]]], n: int) -> dict[tuple[str, ...], list[tuple[int, int]]]:
-    """n-gram -> [(gram number, item number)]; an item of fewer words has its whole sequence."""
-    out: dict[tuple[str, ...], list] = defaultdict(list)
-    number: dict[tuple[str, ...], int] = {}
-    for i, (_, w) in enumerate(items):
-        for k in range(max(1, len(w) - n + 1)) if w else ():
-            g = tuple(w[k : k + n])
-            out[g].append((number.setdefault(g, len(number)), i))
-    return {g: sorted(set(x)) for g, x in out.items()}
-
-
-def find_seeds(docs: DataFrame, items: list[tuple[int, list[str]]], n: int) -> DataFrame:
-    """One pass over the texts. A row is a stretch with two n-grams of an item at least (one, where it has one only)."""
-    seeds = seeds_of(items, n)
-    sizes = sorted({len(g) for g in seeds})
-    lengths = [len(w) for _, w in items]
-    least = [min(2, len({g for g, x in seeds.items() if any(i == k for _, i in x)})) for k in range(len(items))]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        starts = {s: {g for g in seeds if len(g) == s} for s in sizes}
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                w = words(text)
-                hits = []
-                for s in sizes:
-                    known = starts[s]
-                    hits += [(k, g) for k, g in enumerate(zip(*(w[j:] for j in range(s)), strict=False)) if g in known]
-                if not hits:
-                    continue
-                by_item = defaultdict(list)
-                for k, g in hits:
-                    for number, item in seeds[g]:
-                        by_item[item].append((k, number))
-                for item, found in by_item.items():
-                    found.sort()
-                    far = lengths[item]
-                    stretch = [found[0]]
-                    for x in [*found[1:], (1 << 60, -1)]:
-                        if x[0] - stretch[-1][0] > 2 * far:
-                            if len(grams := {number for _, number in stretch}) >= least[item]:
-                                first = max(0, stretch[0][0] - far)
-                                rows.append((doc_id, item, sorted(grams), first, " ".join(w[first : stretch[-1][0] + n + far])))
-                            stretch = []
-                        stretch.append(x)
-            if rows:
-                out = pd.DataFrame(rows, columns=["doc_id", "item", "grams", "first", "passage"])
-                yield out.astype({"doc_id": "Int64", "item": "Int32", "first": "Int32"})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SEEDS)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 4, min_score: float = 0.5, block_chars: int = 2_000_000) -> DataFrame:
+class Seeds:
+    """Finds the items that a text can hold a copy of; of at least half the points, none is missed.
+
+    The seeds of an item are its pairs of words next to each other or one word
+    apart, found in the text next to each other or one word apart. An alignment
+    of L words with m matches and e edits has 2m - e >= L points. Between its
+    matches are m - 1 gaps, of which at most e / 2 <= (2m - L) / 2 have two edits
+    or more, so L/2 - 1 or more have one at most, and such a gap is a seed; each
+    starts at another place. As m <= L, e <= L: all lie within 2L words. Items of
+    1 to 3 words have too few gaps and are searched as whole sequences.
+    """
+
+    def __init__(self, items: list[list[str]]):
+        self.items = items
+        self.length = np.array([len(w) for w in items], dtype=np.int64)
+        self.need = (self.length + 1) // 2 - 1
+        self.code: dict[str, int] = {}
+        for w in items:
+            for x in w:
+                self.code.setdefault(x, len(self.code))
+        self.short = [i for i, w in enumerate(items) if len(w) < 4]
+        v = len(self.code)
+        pairs = {(self.code[w[k]] * v + self.code[w[k + d]], i) for i, w in enumerate(items) if len(w) > 3 for d in (1, 2) for k in range(len(w) - d)}
+        held = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
+        self.pairs, self.first = np.unique(held[:, 0], return_index=True)
+        self.count, self.of = np.diff(np.append(self.first, len(held))), held[:, 1]
+
+    def hits(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place) of all seeds in coded words, sorted, each place once an item."""
+        v, places, pairs = len(self.code), [], []
+        for d in (1, 2):
+            a, b = p[:-d], p[d:]
+            at = np.flatnonzero((a >= 0) & (b >= 0))
+            places.append(at)
+            pairs.append(a[at] * v + b[at])
+        place, pair = np.concatenate(places), np.concatenate(pairs)
+        if not len(pair) or not len(self.pairs):
+            return place[:0], place[:0]
+        k = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        known = self.pairs[k] == pair
+        place, k = place[known], k[known]
+        n = self.count[k]
+        flat = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item, place = self.of[flat], np.repeat(place, n)
+        enough = np.bincount(item, minlength=len(self.items)) >= self.need
+        item, place = item[enough[item]], place[enough[item]]
+        both = np.unique(item * (len(p) + 1) + place)
+        return both // (len(p) + 1), both % (len(p) + 1)
+
+    def stretches(self, w: list[str]) -> Iterator[tuple[int, int, int, int]]:
+        """(item, seeds, first word, end) of the parts of a text to align."""
+        get = self.code.get
+        p = np.array([get(x, -1) for x in w], dtype=np.int64)
+        for i in self.short:
+            x = self.items[i]
+            for k in range(len(w) - len(x) + 1):
+                if w[k : k + len(x)] == x:
+                    yield i, 1, k, k + len(x)
+        if len(p) < 2:
+            return
+        items, places = self.hits(p)
+        cuts = np.flatnonzero(np.diff(items)) + 1
+        for at, i in zip(np.split(places, cuts), items[np.append(0, cuts)] if len(items) else (), strict=False):
+            size, need = int(self.length[i]), max(1, int(self.need[i]))
+            if len(at) < need:
+                continue
+            dense = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] <= 2 * size)
+            # Dense windows whose surroundings touch are one stretch.
+            for group in np.split(dense, np.flatnonzero(at[dense[1:]] - at[dense[:-1] + need - 1] > 4 * size) + 1) if len(dense) else ():
+                first, last = int(at[group[0]]), int(at[group[-1] + need - 1])
+                yield int(i), int(((at >= first) & (at <= last)).sum()), max(0, first - 2 * size), last + 2 * size + 3
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_score: float = 0.5, block_chars: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, score, n_seeds, start_word, n_words): documents that hold a copy of a test item, edited or not.
 
-    Words are compared lower-cased, without punctuation. Seeds are an item's
-    n-grams, however many documents hold them: a document's verdict depends on
-    its own text and the items only. A stretch of a document with two seeds of an
-    item is aligned with it (match 2, mismatch and gap -1); score is the alignment's share of a full match. Pairs of min_score
-    or more are returned, with the best stretch of each.
+    Words are compared lower-cased, without punctuation. A stretch of a document
+    with enough seeds of an item (see Seeds) is aligned with it (match 2, mismatch
+    and gap -1); score is the alignment's share of a full match. Pairs of
+    min_score (0.5 at least) or more are returned, with the best stretch of each.
+    For items of four words and more the seeds miss none of them; shorter items
+    are found whole. A document's verdict depends on its own text and the items.
 
     The test items are taken in blocks of block_chars, each sent to all tasks;
     documents are never joined with one another. Null or empty texts and items:
@@ -106,6 +124,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 4, min_score
     and item. Equal items: one result each. Empty tables: no rows. Other columns
     are ignored.
     """
+    if min_score < 0.5:
+        raise ValueError("seeds are complete for a min_score of 0.5 or more")
     spark = docs.sparkSession
     rows = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -116,22 +136,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 4, min_score
         items = sorted((r["item_id"], w) for r in block.collect() if (w := words(r["text"])))
         if not items:
             continue
-        scratch = Scratch(spark, "seeds")
-        seeds = scratch.save(find_seeds(docs.where("doc_id is not null"), items, n), "all")
+
         def score(batches: Iterator[pd.DataFrame], items=items) -> Iterator[pd.DataFrame]:
+            seeds = Seeds([w for _, w in items])
             for b in batches:
                 out = []
-                for doc_id, item, grams, first, passage in zip(b["doc_id"], b["item"], b["grams"], b["first"], b["passage"], strict=True):
-                    item_id, w = items[item]
-                    p = passage.split(" ")
-                    points, end = align(p, w)
-                    if points >= min_score * 2 * len(w):
-                        back, _ = align(p[:end][::-1], w[::-1])
-                        length = align(p[:end][::-1], w[::-1])[1] if back == points else min(end, len(w))
-                        out.append((doc_id, item_id, points / (2 * len(w)), len(grams), first + end - length, length))
+                for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+                    all_words = words(text)
+                    for i, hits, first, stop in seeds.stretches(all_words):
+                        (item_id, w), p = items[i], all_words[first:stop]
+                        points, end = align(p, w)
+                        if points >= min_score * 2 * len(w):
+                            back, length = align(p[:end][::-1], w[::-1])
+                            length = length if back == points else min(end, len(w))
+                            out.append((doc_id, item_id, points / (2 * len(w)), hits, first + end - length, length))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
 
-        results.append(seeds.mapInPandas(score, FOUND))
+        results.append(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(score, FOUND))
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)

@@ -158,6 +158,24 @@ def test_decontamination_large_group(spark):
     assert {x.doc_id for x in contaminated(frame(spark, texts), bench).collect()} == set(range(13))
 
 
+def test_decontamination_brute_force(spark):
+    """Whatever the rate and kind of edits, found is what a whole alignment finds, also where no four words are intact."""
+    r = random.Random(7)
+    vocab = [f"w{k}" for k in range(150)]
+    items = [[r.choice(vocab) for _ in range(n)] for n in (4, 7, 15, 15, 16, 30, 41)]
+    texts = []
+    for rate in (0.1, 0.2, 0.25, 0.33, 0.4, 0.5, 0.6):
+        for w in items:
+            for kind in "sid":
+                copy = [y for k, x in enumerate(w) for y in (([r.choice(vocab)] if kind == "s" else [x, r.choice(vocab)] if kind == "i" else []) if r.random() < rate else [x])]
+                texts.append([r.choice(vocab) for _ in range(r.randrange(80))] + copy + [r.choice(vocab) for _ in range(r.randrange(80))])
+    texts += [["q"] * 9 + [x if k % 4 else "q" for k, x in enumerate(items[5])], [y for x in items[3] for y in (x, "q")]]
+    want = {(d, i): align(t, w)[0] / (2 * len(w)) for d, t in enumerate(texts) for i, w in enumerate(items) if align(t, w)[0] >= len(w)}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert {(x.doc_id, x.item_id): x.score for x in contaminated(frame(spark, [" ".join(t) for t in texts]), bench).collect()} == want
+    assert {(len(texts) - 2, 5), (len(texts) - 1, 3)} <= set(want) and len(want) > 80
+
+
 def test_alignment():
     def slow(p, q):
         h = [[0] * (len(p) + 1) for _ in range(len(q) + 1)]
