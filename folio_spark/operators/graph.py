@@ -29,21 +29,38 @@ def expand_concepts(seeds: DataFrame, ancestors: DataFrame, edges: DataFrame, de
     return own.unionByName(up).unionByName(down).groupBy("item_id", "term").agg(F.max("weight").alias("weight"))
 
 
-def redirects(merges: DataFrame, depth: int = 50) -> DataFrame:
-    """(from_id, to_id) with chains collapsed to their ends; chains that end in a cycle are left out.
+def redirects(merges: DataFrame, depth: int = 60, cycles: bool = False) -> DataFrame:
+    """(from_id, to_id) with chains collapsed to their ends, however long.
 
-    merges: (from_id, to_id), one row a from_id. Each round follows one hop of
-    the chains that still go on, so finished ones aren't joined again.
+    merges: (from_id, to_id), one row a from_id. Each round joins the mapping with
+    itself, so the hops that a row spans double; it's a RuntimeError if 2 ** depth
+    hops don't suffice. Chains that lead into a cycle are left out, or with
+    `cycles` get the first id on it; ids on a cycle are redirected nowhere.
     """
-    hops = merges.select(F.col("from_id").alias("n"), F.col("to_id").alias("m"))
-    going, done = merges.select("from_id", "to_id"), merges.select("from_id", "to_id").limit(0)
+    spans = merges.select("from_id", "to_id").localCheckpoint()
+    left, hops = None, 1
     for _ in range(depth):
-        nxt = going.join(hops, going.to_id == hops.n, "left")
-        done = done.unionByName(nxt.where("n is null").select("from_id", "to_id"))
-        going = nxt.where("n is not null and m <> from_id").select("from_id", F.col("m").alias("to_id"))
-        if going.isEmpty():
+        nxt = spans.select(F.col("from_id").alias("n"), F.col("to_id").alias("m"))
+        going = spans.join(nxt, F.col("to_id") == F.col("n"), "left")
+        spans = going.select("from_id", F.coalesce("m", "to_id").alias("to_id")).localCheckpoint()
+        hops *= 2
+        open_ = spans.join(merges.select(F.col("from_id").alias("to_id")), "to_id", "left_semi").localCheckpoint()
+        n = open_.count()
+        # A chain with an end that is still open gets shorter every round; if none does, all are cycles. After as many hops as there are rows, each is on its cycle.
+        if n == 0 or (n == left and hops >= n):
             break
-    return done
+        left = n
+    else:
+        raise RuntimeError("redirects did not settle")
+    if n == 0:
+        return spans
+    ended = spans.join(open_.select("from_id"), "from_id", "left_anti")
+    if not cycles:
+        return ended
+    # Without the hops of the ids on cycles, what leads into one ends at the first of them.
+    on = open_.select(F.col("to_id").alias("from_id")).distinct()
+    into = merges.join(open_.select("from_id"), "from_id", "left_semi").join(on, "from_id", "left_anti")
+    return ended.unionByName(redirects(into, depth))
 
 
 def closes_cycle(proposed: DataFrame, ancestors: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def concept_expand(spark, d):
 @query("select p_partkey from_id, (p_partkey >> floor(log2(p_partkey / 5.0000001))::int >> (case when (p_partkey >> floor(log2(p_partkey / 5.0000001))::int) > 5 then 1 else 0 end))::bigint to_id from part where p_partkey > 5")
 def redirects(spark, d):
     merges = table(spark, d, "part").where("p_partkey > 5").select(F.col("p_partkey").alias("from_id"), F.floor(F.col("p_partkey") / 2).cast("long").alias("to_id"))
-    return G.redirects(merges)
+    return G.redirects(merges, cycles=True)
 
 
 @query(f"with {EDGES} select child parent, parent child, true would_cycle from edges where parent like 'n%' union all select 's' || s_suppkey, 's' || (s_suppkey + 1), false from supplier")

@@ -50,6 +50,21 @@ def test_redirects_with_cycle(spark):
     assert {tuple(r) for r in G.redirects(merges, depth=6).collect()} == {("a", "c"), ("b", "c")}
 
 
+def test_redirects_long_chain_and_cycle(spark):
+    def follow(raw, cur):
+        seen = set()
+        while cur in raw and cur not in seen:
+            seen.add(cur)
+            cur = raw[cur]
+        return cur
+
+    raw = {f"c{k}": f"c{k + 1}" for k in range(130)} | {"x": "y", "y": "z", "z": "x", "s": "s"} | {f"t{k}": f"t{k + 1}" for k in range(9)} | {"t9": "y"}
+    merges = spark.createDataFrame(list(raw.items()), "from_id string, to_id string")
+    want = {(k, to) for k in raw if (to := follow(raw, k)) != k}
+    assert {tuple(r) for r in G.redirects(merges, cycles=True).collect()} == want
+    assert {tuple(r) for r in G.redirects(merges).collect()} == {x for x in want if x[0][0] == "c"}
+
+
 def test_mapped_csv(spark, tmp_path):
     from folio_spark.sources.catalog import read_mapped_csv
 
