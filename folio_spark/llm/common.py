@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,22 +39,43 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it apart from all columns."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share (spark.checkpoint.dir)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors and the driver share (spark.checkpoint.dir).
+
+    Only a session whose tasks all run in the driver's own process gets a folder
+    of its own if none is named; on a cluster that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not (have := spark.sparkContext.getCheckpointDir()):
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folio-"))  # only where no cluster names one
-            have = spark.sparkContext.getCheckpointDir()
-        root = have
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folio-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
 class Scratch:
-    """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive executors."""
+    """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive executors.
+
+    Tables that a result still reads can't go before it does; those are removed
+    when the driver ends, all others by drop().
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self.remove)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.root}/{name}")
@@ -62,11 +85,19 @@ class Scratch:
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
         return reader.parquet(f"{self.root}/{name}")
 
+    def delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *names: str) -> None:
         """Frees tables that no later plan reads."""
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.delete(f"{self.root}/{name}")
+
+    def remove(self) -> None:
+        """At the driver's end: whatever is left, if the session still runs."""
+        if self.spark.sparkContext._jsc is not None:
+            self.delete(self.root)
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str = "cc", limit: int = 60) -> DataFrame:
