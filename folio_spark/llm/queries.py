@@ -18,7 +18,7 @@ from .quality import quality_rules
 from .sharding import shard
 from .sql import CHAT_FORMAT, LINE_DEDUP, NGRAM_JACCARD, SHARDING, url_filters
 from .toxicity import toxicity
-from .urls import TWO_LABEL_SUFFIXES, filter_urls
+from .urls import SECOND_LEVEL, filter_urls
 
 # The rules of op10 as (verdict, host, path).
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -93,5 +93,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_ngram_jaccard": NGRAM_JACCARD,
         "op8_sharding": SHARDING.format(max_bytes=SHARD_BYTES),
         "op9_chat_format": CHAT_FORMAT.format(probe=PROBE),
-        "op10_url_filters": url_filters(URL_RULES, TWO_LABEL_SUFFIXES),
+        "op10_url_filters": url_filters(URL_RULES, SECOND_LEVEL),
     }

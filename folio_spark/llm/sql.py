@@ -59,28 +59,36 @@ select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || c
  (sum(turns.chars) + coalesce(any_value(again.chars), 0) + coalesce(any_value(heads.chars * windows), 0))::bigint formatted_chars
 from turns left join again using (conv_id) left join heads using (conv_id) left join repeats using (conv_id) group by conv_id"""
 
-# Moments of the rates of units with two outcomes or more: the pseudo-counts of the prior above them.
-STRENGTH = "(select coalesce(least(greatest(case when v <= noise then 1000.0 else (m - v) / (v - noise) end, 1.0), 1000.0), 2.0) from (select avg((k / n - prior) ** 2) v, avg(prior * (1 - prior)) m, avg(prior * (1 - prior) / n) noise from {0} where n >= 2))"
+# The strength with the largest beta-binomial likelihood over units (n, k, prior); a unit's prior is of the others above it.
+STRENGTH = "(select coalesce(first(s order by l desc, s), 1.0) from (select s, sum(lgamma(k + s * prior) - lgamma(s * prior) + lgamma(n - k + s - s * prior) - lgamma(s - s * prior) - lgamma(n + s) + lgamma(s)) l from {0}, (select 2.0::double ** unnest(range(-2, 11)) s) group by s))"
 URL_FILTERS = rf"""
 with seen as (select page_id, url, {LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
 known as (select page_id, max(bad) bad from (select page_id, try_cast(regexp_extract(url, '://[^/?#]*/[^/?#]+/(\d{{{{1,18}}}})', 1) as bigint) doc_id from pages)
  join (select doc_id, max((coalesce(quality, 1) = 0 or coalesce(toxic, 0) = 1)::int) bad from labels group by doc_id) using (doc_id) group by page_id),
-hosts as (select host, count(*) n, sum(bad)::double k, string_split(regexp_replace(host, ':\d*$', ''), '.') parts from seen join known using (page_id) group by host),
-named as (select host, n, k, array_to_string(parts[-2:], '.') in ({{two_label}}) two, parts from hosts),
-rated as (select host, n, k, array_to_string(case when two then parts[-3:] else parts[-2:] end, '.') domain, array_to_string(case when two then parts[-2:] else parts[-1:] end, '.') suffix from named),
-s0 as (select suffix, sum(n) n, sum(k) k, (select (sum(k) + 1) / (sum(n) + 2) from rated) prior from rated group by suffix),
-s1 as (select suffix, (k + {STRENGTH.format("s0")} * prior) / (n + {STRENGTH.format("s0")}) prior from s0),
-d0 as (select domain, sum(n) n, sum(k) k, any_value(prior) prior from rated join s1 using (suffix) group by domain),
-d1 as (select domain, (k + {STRENGTH.format("d0")} * prior) / (n + {STRENGTH.format("d0")}) prior from d0),
-h0 as (select host, n, k, prior from rated join d1 using (domain)),
-h1 as (select host, k + s * prior a, n - k + s * (1 - prior) b from h0, (select {STRENGTH.format("h0")} s)),
-bounds as (select host, a / (a + b) - 1.645 * sqrt(a * b / (a + b) ** 2 / (a + b + 1)) bound from h1),
+parts as (select host, string_split(regexp_replace(host, ':\d*$', ''), '.') p from (select distinct host from seen)),
+two as (select host, p, length(p[-1]) = 2 and coalesce(p[-2], '') in ({{second}}) two from parts),
+named as (select host, array_to_string(case when two then p[-3:] else p[-2:] end, '.') domain, array_to_string(case when two then p[-2:] else p[-1:] end, '.') suffix from two),
+hosts as (select host, domain, suffix, count(*)::double n, sum(bad)::double k from seen join known using (page_id) join named using (host) where host <> '' group by all),
+o as (select (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) rate, sum(n) n, sum(k) k from hosts),
+sfx as (select suffix, sum(h.n) n, sum(h.k) k, (any_value(o.k) - sum(h.k) + any_value(rate)) / (any_value(o.n) - sum(h.n) + 1) prior from hosts h, o group by suffix),
+dom as (select domain, suffix, d.n, d.k, (sfx.k - d.k + sfx.prior) / (sfx.n - d.n + 1) prior from (select domain, suffix, sum(n) n, sum(k) k from hosts group by all) d join sfx using (suffix)),
+hst as (select h.n, h.k, (d.k - h.k + d.prior) / (d.n - h.n + 1) prior from hosts h join dom d using (domain)),
+st as (select {STRENGTH.format("hst")} sh, {STRENGTH.format("dom")} sd, {STRENGTH.format("sfx")} ss),
+hw as (select host, domain, suffix, n, k, n * (sh + 1) / (n + sh) ne, k * (sh + 1) / (n + sh) ke from hosts, st),
+dw as (select domain, suffix, n, k, n * (sd + 1) / (n + sd) ne, k * (sd + 1) / (n + sd) ke from (select domain, suffix, sum(ne) n, sum(ke) k from hw group by all), st),
+sw as (select suffix, sum(ne) n, sum(ke) k from dw group by suffix),
+dp as (select domain, dw.n, dw.k, (sw.k - dw.ke + ss * rate) / (sw.n - dw.ne + ss) above from dw join sw using (suffix), st, o),
+own as (select host, hw.k + sh * p a, hw.n - hw.k + sh * (1 - p) b from (select hw.*, (dp.k - ke + sd * above) / (dp.n - ne + sd) p from hw join dp using (domain), st) hw, st),
+up as (select domain, sh * m a, sh * (1 - m) b from (select domain, (k + sd * above) / (n + sd) m from dp, st), st),
+top as (select suffix, sd * m a, sd * (1 - m) b from (select suffix, (sw.k + ss * rate) / (sw.n + ss) m from sw, st, o), st),
+rated as (select host, coalesce(own.a, up.a, top.a, ss * rate) a, coalesce(own.b, up.b, top.b, ss * (1 - rate)) b from named left join own using (host) left join up using (domain) left join top using (suffix), st, o where host <> ''),
+bounds as (select host, a / (a + b) - 1.645 * sqrt(a * b / (a + b) ** 2 / (a + b + 1)) bound from rated),
 ruled as (select *, case {{cases}} end rule from seen)
 select page_id, host, path, rule, case {{verdicts}} when bound > 0.5 then 'block' else 'allow' end verdict from ruled left join bounds using (host)"""
 
 
-def url_filters(rules: list[tuple[str, str, str]], two_label: list[str]) -> str:
+def url_filters(rules: list[tuple[str, str, str]], second_level: list[str]) -> str:
     longest_first = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1:]))
     cases = " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{h}{p}'" for _, h, p in longest_first)
     verdicts = " ".join(f"when rule = '{h}{p}' then '{v}'" for v, h, p in rules)
-    return URL_FILTERS.format(cases=cases, verdicts=verdicts, two_label=", ".join(f"'{x}'" for x in two_label))
+    return URL_FILTERS.format(cases=cases, verdicts=verdicts, second=", ".join(f"'{x}'" for x in second_level))

@@ -301,6 +301,36 @@ def test_urls(spark):
     assert got[4] == got[5] == ("", "", None, "allow") and got[6][2] is None and len(got) == 37
 
 
+def test_url_hierarchy(spark):
+    """New hosts of a bad domain are blocked, those of other domains are not; a host that is good alone stays."""
+    r = random.Random(9)
+    rows = [("bad.net", 1)] * 200 + [(f"h{i}.bad.net", 1) for i in range(3)] + [(f"www.{c}.net", int(r.random() < 0.1)) for c in "abcdefgh" for _ in range(20)] + [("x.org.uk", 0)]
+    urls = [f"http://{h}/{i}" for i, (h, _) in enumerate(rows)] + ["http://new.bad.net/", "http://new.a.net:80/", "http://other.net/", "http://else.zz/", "http:///x"]
+    pages = spark.createDataFrame([*enumerate(urls), (None, None)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(rows)], "page_id long, bad int")
+    got = {x.host: (x.verdict, x.bad_mean, x.bad_bound) for x in filter_urls(pages, outcomes, []).collect()}
+    assert got["bad.net"][0] == got["new.bad.net"][0] == got["h0.bad.net"][0] == "block"
+    assert {got[h][0] for h in ("new.a.net:80", "other.net", "else.zz", "www.a.net", "x.org.uk", "")} == {"allow"}
+    assert got[""] == ("allow", None, None) and filter_urls(pages.limit(0), outcomes, []).count() == 0
+    assert {x.verdict for x in filter_urls(pages, outcomes.limit(0), []).collect()} == {"allow"}
+
+
+def test_url_strength(spark):
+    """The likelihood against one from factorials: products over the draws one by one."""
+    import math
+
+    from folio_spark.llm.urls import STRENGTHS, best_strength
+
+    r = random.Random(1)
+    for spread in (0.5, 8.0, 200.0):
+        units = []
+        for _ in range(60):
+            p, n = r.betavariate(spread * 0.3, spread * 0.7), r.randint(1, 40)
+            units.append((float(n), float(sum(r.random() < p for _ in range(n))), 0.3))
+        slow = lambda s: sum(sum(math.log((s * p + i)) for i in range(int(k))) + sum(math.log(s * (1 - p) + i) for i in range(int(n - k))) - sum(math.log(s + i) for i in range(int(n))) for n, k, p in units)  # noqa: B023, E731
+        assert best_strength(spark.createDataFrame(units, "n double, k double, prior double")) == max(STRENGTHS, key=slow)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
