@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, let, words
+from .common import SPACES, Scratch, let, unused, words
 
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -14,8 +14,14 @@ MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 20, 8, 30
 UNIT = 1e-4
 
 
+def pairs(hashes: Column, step: int) -> Column:
+    """The hashes of each element with the one `step` further on."""
+    n = F.size(hashes) - step
+    return F.when(n > 0, F.zip_with(F.slice(hashes, 1, F.greatest(n, F.lit(0))), F.slice(hashes, step + 1, F.greatest(n, F.lit(0))), lambda x, y: F.xxhash64(x, y))).otherwise(F.array().cast("array<bigint>"))
+
+
 def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
-    """How many words lie in windows of so many words found twice or more in the text."""
+    """How many words lie in windows of so many words (a power of two) found twice or more in the text."""
 
     def covered(h: Column) -> Column:
         def by_place(s: Column) -> Column:
@@ -29,40 +35,31 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
         s = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return let(s, lambda s: let(F.sort_array(F.transform(by_place(s), lambda x: x["i"])), union))
 
-    def inner(a: Column) -> Column:
-        h = F.transform(F.sequence(F.lit(1), F.size(a) - (window - 1)), lambda i: F.xxhash64(F.slice(a, i, window)))
-        return F.when(F.size(a) < window, 0).otherwise(let(h, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h))))
+    def doubled(a: Column, step: int, then) -> Column:
+        return then(a) if step == window else let(pairs(a, step), lambda b: doubled(b, 2 * step, then))
 
-    return let(hashes, inner).cast("long")
+    found = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h))
+    return let(hashes, lambda h: F.when(F.size(h) < window, 0).otherwise(doubled(h, 1, found))).cast("long")
 
 
-def buckets(hashes: Column, n_buckets: int) -> Column:
-    """Hash buckets of the single words and word pairs of a text."""
-    kind = "int" if n_buckets <= 1 << 31 else "bigint"
-    return let(
-        hashes,
-        lambda a: F.concat(
-            F.transform(a, lambda x: F.pmod(x, F.lit(n_buckets)).cast(kind)),
-            F.when(F.size(a) > 1, F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 2, F.size(a)), lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(n_buckets)).cast(kind))).otherwise(F.array().cast(f"array<{kind}>")),
-        ),
-    )
+def grams(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, gram) from rows (keys, w: words): the 64-bit hash of every word and of every word with the next one."""
+    each = rows.select(*keys, "w", F.posexplode("w").alias("i", "x")).select(*keys, F.xxhash64("x").alias("one"), F.get("w", F.col("i") + 1).alias("next"))
+    two = F.when(F.col("next").isNotNull(), F.xxhash64("one", F.xxhash64("next")))
+    return each.select(*keys, F.explode(F.array("one", two)).alias("gram")).where("gram is not null")
 
 
-def n_buckets_of(hashed: DataFrame, least: int, load: int) -> tuple[int, int, int]:
-    """(buckets, n-grams of the corpus, n-grams of trusted documents).
+def bucket_of(gram: Column, n_buckets: int) -> Column:
+    return F.pmod(gram, F.lit(n_buckets)).cast("int" if n_buckets <= 1 << 31 else "bigint")
 
-    The buckets are the power of two, `least` or more, that leaves at most `load`
-    distinct n-grams a bucket, so they get no fuller as the corpus grows. Distinct
-    n-grams are counted in a 128th of the range of a 64-bit hash.
-    """
-    grams = hashed.select("hit", F.explode(buckets(F.col("h"), 1 << 62)).alias("g"))
-    sampled = F.when(F.shiftright("g", 55) == 0, F.col("g"))
-    row = grams.groupBy(sampled.alias("g")).agg(F.count("*").alias("raw"), F.sum("hit").alias("aim")).agg(F.count("g"), F.sum("raw"), F.sum("aim")).first()
-    distinct = row[0] * 128
-    return max(least, 1 << max(0, (distinct - 1) // load).bit_length()), row[1] or 0, row[2] or 0
+
+def n_buckets_of(docs: DataFrame, least: int, bucket_bytes: int) -> int:
+    """The power of two, `least` or more, that leaves at most bucket_bytes bytes of text a bucket: they get no fuller as the corpus grows."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(least, 1 << max(0, -(-size // bucket_bytes) - 1).bit_length())
 
 
-def log_ratios(scratch: Scratch, hashed: DataFrame, n_buckets: int, raws: int, aims: int, alpha: float, slots: int) -> tuple[DataFrame, Column, Column]:
+def log_ratios(scratch: Scratch, marked: DataFrame, n_buckets: int, alpha: float, slots: int) -> tuple[DataFrame, Column, Column]:
     """(ratios, ids, values): log p(bucket | trusted) - log p(bucket | corpus) in units of UNIT.
 
     Both sides count every n-gram. ratios (bucket, ratio) is a table in the
@@ -70,23 +67,24 @@ def log_ratios(scratch: Scratch, hashed: DataFrame, n_buckets: int, raws: int, a
     values are constant arrays of `slots` entries: slot k has the most frequent
     bucket that is k modulo slots, so that common n-grams needn't be joined.
     """
-    grams = hashed.select("hit", F.explode(buckets(F.col("h"), n_buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("hit").alias("aim"))
+    counts = grams(marked, "hit").groupBy(bucket_of(F.col("gram"), n_buckets).alias("bucket")).agg(F.count("*").alias("raw"), F.sum("hit").alias("aim"))
+    counts = scratch.save(counts, "counts")
+    raws, aims = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("aim"), F.lit(0))).first()
     add = alpha * n_buckets
     ratio = F.log((F.col("aim") + alpha) / (aims + add)) - F.log((F.col("raw") + alpha) / (raws + add)) if aims else F.lit(0.0)
-    ratios = scratch.save(counts.select("bucket", F.round(ratio / UNIT).cast("int").alias("ratio"), "raw"), "ratios")
+    ratios = counts.select("bucket", F.round(ratio / UNIT).cast("int").alias("ratio"), "raw")
     top = ratios.groupBy(F.pmod("bucket", F.lit(slots)).alias("slot")).agg(F.max(F.struct("raw", "bucket", "ratio")).alias("t"))
-    held = {r["slot"]: r["t"] for r in top.collect()}
+    held = {r["slot"]: r["t"] for r in top.collect()}  # `slots` rows at most
     listed = lambda field, none: ",".join(str(held[i][field] if i in held else none) for i in range(slots))
-    ids, values = (F.from_json(F.lit(f"[{listed(*x)}]"), "array<int>") for x in (("bucket", -1), ("ratio", 0)))
+    ids, values = (F.from_json(F.lit(f"[{listed(*x)}]"), f"array<{t}>") for *x, t in (("bucket", -1, dict(counts.dtypes)["bucket"]), ("ratio", 0, "int")))
     return ratios.select("bucket", "ratio"), ids, values
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 16, load: int = 8, slots: int = 1 << 16, alpha: float = 1.0, min_score: float = -0.25, max_trusted: int = 50_000) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 16, bucket_bytes: int = 32, slots: int = 1 << 18, alpha: float = 1.0, min_score: float = -0.25, max_trusted: int = 50_000) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept.
 
     Method: words and word pairs are hashed into n_buckets, or into as many more
-    as leave `load` distinct n-grams a bucket, so that a verdict doesn't fade with
+    as leave bucket_bytes of text a bucket, so that a verdict doesn't fade with
     the size of the corpus; llr is the mean over a document's n-grams of
     log p(trusted) - log p(corpus) under two smoothed multinomials, so it doesn't
     depend on length. Of each of `slots` residues the most frequent bucket is
@@ -97,40 +95,46 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 1
     the same threshold: kept if no base rule fails and llr >= min_score.
 
     Null text: as empty. Empty or blank text: no words, base_failed, not kept.
-    Repeated rows: each judged alone (and counted each time). No trusted
-    document, or an empty table: llr is 0 for all, so the base rules decide.
-    Columns of docs with the names of results are replaced; all others stay.
+    Very long texts: whole. Null doc_id: judged, never trusted. Repeated rows:
+    each judged alone (and counted each time). No trusted document, or an empty
+    table: llr is 0 for all, so the base rules decide. Columns of docs with the
+    names of results are replaced; all others stay, whatever their names.
     """
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
+    own = [c for c in docs.columns if c.lower() not in added]
+    w, h, key, near, far = unused([*own, *added], "w", "h", "key", "near", "far")
     trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
-    key = F.xxhash64("doc_id", "text")  # equal rows share sums and number of n-grams, so their mean is that of each
+    row_key = F.xxhash64("doc_id", "text")  # equal rows share sums and numbers of n-grams, so their mean is that of each
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("hit"))), "doc_id", "left")
-    hashed = marked.select(key.alias("key__"), F.coalesce("hit", F.lit(0)).alias("hit"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    n_buckets, raws, aims = n_buckets_of(hashed, n_buckets, load)
-    ratios, ids, values = log_ratios(Scratch(docs.sparkSession, "quality"), hashed, n_buckets, raws, aims, alpha, slots)
+    marked = marked.select(row_key.alias("key"), F.coalesce("hit", F.lit(0)).alias("hit"), words(F.col("text")).alias("w"))
+    n_buckets = n_buckets_of(docs, n_buckets, bucket_bytes)
+    ratios, ids, values = log_ratios(Scratch(docs.sparkSession, "quality"), marked, n_buckets, alpha, slots)
     slot = lambda x: F.pmod(x, F.lit(slots))
-    rare = hashed.select("key__", F.explode(F.filter(buckets(F.col("h"), n_buckets), lambda x: F.get(ids, slot(x)) != x)).alias("bucket"))
-    rest = rare.join(ratios, "bucket").groupBy("key__").agg(F.sum("ratio").alias("sum"), F.count("*").alias("n"))
+    held = lambda x: F.get(ids, slot(x)) == x
+    rare = grams(docs.select(row_key.alias("key"), words(F.col("text")).alias("w")), "key").select("key", bucket_of(F.col("gram"), n_buckets).alias("bucket"))
+    rest = rare.where(~held(F.col("bucket"))).hint("merge").join(ratios.hint("merge"), "bucket").groupBy(F.col("key").alias(key)).agg(F.struct(F.sum("ratio").alias("sum"), F.count("*").alias("n")).alias(far))
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
-    out = docs.drop(*added, "w__", "h__").withColumn("w__", words(F.col("text"))).withColumn("h__", F.transform("w__", lambda w: F.xxhash64(w)))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    # The sum of what is found in place, and how many n-grams aren't.
+    found = lambda a: F.aggregate(a, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("left")), lambda s, x: let(bucket_of(x, n_buckets), lambda b: F.when(held(b), F.struct((s["sum"] + F.get(values, slot(b))).alias("sum"), s["left"].alias("left"))).otherwise(F.struct(s["sum"].alias("sum"), (s["left"] + 1).alias("left")))))
+    out = docs.select(*own, words(F.col("text")).alias(w)).withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
     out = out.withColumns(
         {
-            "n_words": F.size("h__").cast("long"),
-            "word_chars": F.length(F.array_join("w__", "")).cast("long"),
+            "n_words": F.size(h).cast("long"),
+            "word_chars": F.length(F.array_join(w, "")).cast("long"),
             "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),  # translate looks up every character as a string
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("h__")),
-            "key__": key,
-            "s__": let(buckets(F.col("h__"), n_buckets), lambda b: F.aggregate(b, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("n")), lambda s, x: F.when(F.get(ids, slot(x)) == x, F.struct((s["sum"] + F.get(values, slot(x))).alias("sum"), (s["n"] + 1).alias("n"))).otherwise(s))),
+            "n_repeat_words": repeated_words(F.col(h)),
+            key: row_key,
+            near: found(let(F.col(h), lambda a: F.concat(a, pairs(a, 1)))),
         }
-    ).drop("w__", "h__")
-    all_grams = F.col("n_words") + F.greatest(F.col("n_words") - 1, F.lit(0))
+    ).drop(w, h)
     if n_buckets > slots:
-        out = out.join(rest.select("key__", F.struct("sum", "n").alias("r__")), "key__", "left")
-        joined = F.coalesce(F.col("r__.sum") * (all_grams - F.col("s__.n")) / F.col("r__.n"), F.lit(0.0))
-    else:
+        out = out.join(rest, key, "left")
+        joined = F.coalesce(F.col(far)["sum"] * F.col(near)["left"] / F.col(far)["n"], F.lit(0.0))
+    else:  # every bucket has a slot of its own
         joined = F.lit(0.0)
-    out = out.withColumn("llr", F.when(all_grams == 0, 0.0).otherwise((F.col("s__.sum") + joined) * UNIT / all_grams)).drop("key__", "s__", "r__")
+    all_grams = F.col("n_words") + F.greatest(F.col("n_words") - 1, F.lit(0))
+    out = out.withColumn("llr", F.when(all_grams == 0, 0.0).otherwise((F.col(near)["sum"] + joined) * UNIT / all_grams))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= min_score)).select(*[c for c in docs.columns if c not in added], *added)
+    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= min_score)).select(*own, *added)

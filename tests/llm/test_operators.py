@@ -256,6 +256,30 @@ def test_quality_size(spark):
     assert all(kept == (i < 150) for i, _, kept in scores[0])
 
 
+def test_quality_llr(spark):
+    """llr and verdict against counts made word by word, with buckets enough that no two n-grams share one."""
+    import math
+
+    r = random.Random(11)
+    texts = [" ".join(f"t{int(r.paretovariate(0.6)) % 300}" for _ in range(r.randint(0, 70))) for _ in range(60)]
+    texts += [texts[0], None, "", *["x" + t.replace("t", "u") for t in texts[:8]]]
+    ids = [*range(len(texts) - 1), None]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(50)] + [(0, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    alpha, size = 1.0, 1 << 22
+    each = [[(x,) for x in w] + list(zip(w, w[1:])) for w in [(t or "").split() for t in texts]]
+    raw, aim = collections.Counter(g for e in each for g in e), collections.Counter(g for i, e in zip(ids, each) if i is not None and i < 50 and i % 3 == 0 for g in e)
+    n, m = sum(raw.values()), sum(aim.values())
+    ratio = {g: math.log((aim[g] + alpha) / (m + alpha * size)) - math.log((raw[g] + alpha) / (n + alpha * size)) for g in raw}
+    want = sorted((-1 if i is None else i, round(sum(map(ratio.get, e)) / len(e), 3) if e else 0.0) for i, e in zip(ids, each))
+    docs = frame(spark, texts, ids).withColumnRenamed("lang", "w").withColumnRenamed("source", "key")
+    found = quality_rules(docs, labels, n_buckets=size, slots=64)
+    assert found.columns[:6] == ["doc_id", "text", "w", "key", "n_chars", "sig"]
+    rows = found.collect()
+    got = sorted((-1 if x.doc_id is None else x.doc_id, x.llr) for x in rows)
+    assert [i for i, _ in got] == [i for i, _ in want] and all(abs(a[1] - b[1]) < 2e-3 for a, b in zip(got, want))
+    assert all(x.kept == (not x.base_failed and x.llr >= -0.25) for x in rows) and {x.key for x in rows} == {"s"}
+
+
 def test_sharding(spark):
     texts = ["x" * (i * 37 % 900) for i in range(500)]
     got = shard(frame(spark, [*texts, None]), max_bytes=4000, start_bits=4).collect()
