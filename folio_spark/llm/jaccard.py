@@ -152,11 +152,11 @@ def survey(docs: DataFrame, group: int = 4_000_000, least: int = 3) -> DataFrame
     return texts_of(docs).mapInArrow(run, schema)
 
 
-INDEX = "node long, cluster long, n long, p long, f long, singles long, level long, own long, sigs array<long>"
+INDEX = "node long, cluster long, n long, p long, f long, singles long, level long, own long, ranks array<long>, sigs array<long>"
 
 
-def signatures(tokens: np.ndarray, often: np.ndarray) -> tuple[int, int, int, int, int, np.ndarray]:
-    """(p, f, singles, level, pairs of its own level, signatures) of a set: rare tokens singly, frequent ones in pairs.
+def signatures(tokens: np.ndarray, often: np.ndarray) -> tuple[int, int, int, int, int, list[int], np.ndarray]:
+    """(p, f, singles, level, own, ranks, signatures) of a set: rare tokens singly, frequent ones in pairs.
 
     Order: rare tokens by hash, then frequent ones by hash. Frequent tokens are
     dealt into classes, about one for every 8 tokens of a set, and pairs are made
@@ -164,15 +164,19 @@ def signatures(tokens: np.ndarray, often: np.ndarray) -> tuple[int, int, int, in
     that lacks at most slack tokens of another shares a rare token or two of one
     class with it once r + sum(n_c - 1) > slack; the prefix is extended up to
     there. Classes depend on a level of sizes; as two near sets are at most one
-    level apart, each makes the pairs of its own level and of the next. p: tokens
-    of the prefix, f: the frequent ones among them.
+    level apart, each makes the pairs of its own level (`own` of them) and of the
+    next. p: tokens of the prefix, f: the frequent ones among them.
+
+    A smaller slack needs less of the prefix: with a slack of k, the signatures of
+    rank k at most. The rank of a single is its place; that of a pair is r plus
+    what has been gained before it. ranks: those of the pairs.
     """
     n = len(tokens)
     need = slack(n) + 1
     single = tokens[~often][:need]
     if len(single) == need:
-        return need, 0, need, 0, 0, single
-    common, most, out = tokens[often], 0, [single]
+        return need, 0, need, 0, 0, [], single
+    common, most, out, ranks = tokens[often], 0, [single], []
     level = int(np.log(n) / np.log(4 / 3))
     x = common.view(np.uint64)
     for at in (level, level + 1):
@@ -185,13 +189,14 @@ def signatures(tokens: np.ndarray, often: np.ndarray) -> tuple[int, int, int, in
                 used = k
                 break
             have = held.setdefault(c, [])
-            gained += bool(have)
             left += have
             right += [k] * len(have)
+            ranks += [len(single) + gained] * len(have)
+            gained += bool(have)
             have.append(k)
         most = max(most, used)
         out.append(mixed(x[left] * np.uint64(MIX1) ^ mixed(x[right] + np.uint64(at))).view(np.int64) if left else np.zeros(0, dtype=np.int64))
-    return len(single) + most, most, len(single), level, len(out[1]), np.concatenate(out)
+    return len(single) + most, most, len(single), level, len(out[1]), ranks, np.concatenate(out)
 
 
 def first_index(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -269,40 +274,44 @@ def clustered(rows: DataFrame, clusters: DataFrame | None) -> DataFrame:
 
 
 def flat_rows(index: DataFrame, *keys: str) -> DataFrame:
-    """(keys, sig, kind) of an index: kind is -1 of a single token, else the level of a pair."""
-    i = F.col("i")
-    kind = F.when(i < F.col("singles"), -1).when(i < F.col("singles") + F.col("own"), F.col("level")).otherwise(F.col("level") + 1)
-    return index.select(*keys, "singles", "own", "level", F.posexplode("sigs").alias("i", "sig")).select(*keys, "sig", kind.cast("int").alias("kind"), "level")
+    """(keys, sig, kind, rank, level) of an index: kind is -1 of a single token, else the level of a pair."""
+    i, own = F.col("i"), F.col("singles") + F.col("own")
+    kind = F.when(i < F.col("singles"), -1).when(i < own, F.col("level")).otherwise(F.col("level") + 1)
+    rank = F.when(i < F.col("singles"), i).otherwise(F.get("ranks", (i - F.col("singles")).cast("int")))
+    rows = index.select(*keys, "singles", "own", "level", "ranks", F.posexplode("sigs").alias("i", "sig"))
+    return rows.select(*keys, "sig", kind.cast("int").alias("kind"), rank.cast("int").alias("rank"), "level")
 
 
 def cross_pairs(rows: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) from rows (sig, kind, node, cluster, n, p, f, level): a signature in common, different clusters.
+    """Candidate pairs (a, b) from rows (sig, kind, rank, node, cluster, n, p, f, level, m, held): a signature in common, different clusters.
 
     Pairs in one cluster are linked already, so that of each signature only the
     nodes outside its largest cluster meet all others: work grows with the size
     of a group of copies, not with its square. n: tokens of a node, p: tokens of
-    its prefix, f: those of p that are indexed in pairs or left out here. A pair
-    must share enough single tokens within the prefixes, given what it may share
-    of the others and behind them. Pairs of tokens count at the higher of both
-    levels only. pivots (node, pivot, d): Jaccard distance is a metric, so two
-    nodes whose distances to one pivot differ by over 1/4 are no near copies.
+    its prefix, f: those of p that are indexed in pairs or left out here. Most
+    pairs are ruled out before they are formed. Each set of a pair must hold the
+    signature at a rank that the slack of their two sizes allows. A pair shares no more
+    single tokens than either has here (held), no more of the others than either
+    has (f), and behind the prefix what is left; and no more tokens in all than
+    either has in common with any other set (m), as a text with edits of its own.
+    Pairs of tokens count at the higher of both levels only. pivots (node, pivot,
+    d): Jaccard distance is a metric, so two nodes whose distances to one pivot
+    differ by over 1/4 are no near copies.
     """
     rows = rows.join(pivots, "node", "left")
     per = rows.groupBy("sig", "cluster").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max_by("cluster", F.struct("k", "cluster")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1").select("sig", "major")
     mixed_rows = rows.join(per, "sig")
-    minor = mixed_rows.where("cluster <> major").select(F.col("sig").alias("su"), F.col("node").alias("u"), F.col("cluster").alias("cu"), F.col("n").alias("nu"), F.col("p").alias("pu"), F.col("f").alias("fu"), F.col("level").alias("lu"), F.col("pivot").alias("vu"), F.col("d").alias("du"))
+    of = {"su": "sig", "u": "node", "cu": "cluster", "lu": "level", "vu": "pivot", "du": "d"} | {f"{c}u": c for c in ("n", "p", "f", "m", "held", "rank")}
+    minor = mixed_rows.where("cluster <> major").select(*[F.col(c).alias(x) for x, c in of.items()])
     other = mixed_rows.withColumn("main", F.col("cluster") == F.col("major")).drop("major")
     far = F.coalesce((F.col("pivot") == F.col("vu")) & (F.abs(F.col("d") - F.col("du")) > 0.25 + 1e-9), F.lit(False))
     level = (F.col("kind") == -1) | (F.col("kind") == F.greatest("level", "lu"))
-    met = minor.join(other, (F.col("su") == F.col("sig")) & (F.col("cu") != F.col("cluster")) & (F.col("main") | (F.col("u") < F.col("node"))) & (4 * F.least("n", "nu") >= 3 * F.greatest("n", "nu")) & ~far & level)
-    met = met.withColumn("single", (F.col("kind") == -1).cast("long"))
-    pairs = met.groupBy(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).agg(
-        F.sum("single").alias("s"),
-        F.min(F.col("n") + F.col("nu")).alias("sizes"),
-        F.min(F.greatest(F.col("n") - F.col("p"), F.col("nu") - F.col("pu"))).alias("behind"),
-        F.min(F.least("f", "fu")).alias("f"),
-    )
-    return pairs.where(F.col("s") + F.col("f") + F.col("behind") >= F.ceil(3 * F.col("sizes") / 7)).select("a", "b")
+    sizes = F.col("n") + F.col("nu")
+    enough = 7 * (F.least("held", "heldu") + F.least("f", "fu") + F.greatest(F.col("n") - F.col("p"), F.col("nu") - F.col("pu"))) >= 3 * sizes
+    rank = 7 * F.least(F.col("n") - F.col("rank"), F.col("nu") - F.col("ranku")) >= 3 * sizes
+    apart = (F.col("cu") != F.col("cluster")) & (F.col("main") | (F.col("u") < F.col("node")))
+    met = minor.join(other, (F.col("su") == F.col("sig")) & apart & (4 * F.least("n", "nu") >= 3 * F.greatest("n", "nu")) & rank & (7 * F.least("m", "mu") >= 3 * sizes) & enough & ~far & level)
+    return met.select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct()
 
 
 def links(scratch: Scratch, docs: DataFrame, frequent: np.ndarray, most: int, max_frequent: int) -> DataFrame | None:
@@ -320,13 +329,13 @@ def links(scratch: Scratch, docs: DataFrame, frequent: np.ndarray, most: int, ma
        in their prefixes, so both take part.
     """
     index = scratch.save(first_index(docs, frequent).withColumn("rid", F.monotonically_increasing_id()), "index")
-    sizes = scratch.save(index.drop("sigs", "cluster"), "sizes")
+    sizes = scratch.save(index.drop("sigs", "ranks", "cluster"), "sizes")
     # Short row ids stand for nodes here: these are the largest shuffles.
     flat = flat_rows(index, "rid")
     seen = flat.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
     live = scratch.save(flat.drop("level").join(seen, "sig", "left_semi"), "several")
     scratch.drop("index")
-    live = live.join(sizes.select("rid", "node"), "rid").select("sig", "node", "kind").dropDuplicates(["sig", "node"])
+    live = live.join(sizes.select("rid", "node"), "rid").select("sig", "node", "kind", "rank").dropDuplicates(["sig", "node"])
     shared = live.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
     live = scratch.save(live.join(shared, "sig"), "live")
     scratch.drop("several")
@@ -344,13 +353,15 @@ def links(scratch: Scratch, docs: DataFrame, frequent: np.ndarray, most: int, ma
     found = apart.where("near").select("a", "b")
     pivots = apart.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d")
     clusters = None if found.isEmpty() else scratch.save(components(scratch, found, "early"), "clusters")
-    rows = clustered(live.select("sig", "node", "kind"), clusters)
+    rows = clustered(live.select("sig", "node", "kind", "rank"), clusters)
     stats = rows.groupBy("sig").agg(F.count("*").alias("c"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("sig", "c")
     rows = scratch.save(rows.join(stats, "sig"), "mixed")
     scratch.drop("live")
-    hot = scratch.save(rows.where(F.col("c") > most).groupBy("node").agg(F.count("*").alias("left")), "hot")
-    few = rows.where(F.col("c") <= most).join(sizes, "node").join(hot, "node", "left")
-    few = few.select("sig", "node", "cluster", "kind", "n", "p", "level", (F.col("f") + F.coalesce("left", F.lit(0))).alias("f"))
+    left, held = F.col("c") > most, (F.col("c") <= most) & (F.col("kind") == -1)
+    per = scratch.save(rows.groupBy("node").agg(F.sum(left.cast("long")).alias("left"), F.sum(held.cast("long")).alias("held")), "per")
+    hot = per.where("left > 0")
+    few = rows.where(F.col("c") <= most).join(sizes, "node").join(per, "node")
+    few = few.select("sig", "node", "cluster", "kind", "rank", "n", "p", "level", (F.col("f") + F.col("left")).alias("f"), "held", F.col("n").alias("m"))
     pairs = scratch.save(cross_pairs(few, pivots), "pairs1")
     out = found
     if not pairs.isEmpty():
@@ -358,10 +369,17 @@ def links(scratch: Scratch, docs: DataFrame, frequent: np.ndarray, most: int, ma
     if not hot.isEmpty():
         whole = scratch.save(token_arrays(docs, hot.select("node")), "whole")
         sets = clustered(whole, clusters)
-        counts = sets.select("cluster", F.explode("tokens").alias("sig")).groupBy("sig").agg(F.count("*").alias("c"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
+        each = sets.select("node", "cluster", F.explode("tokens").alias("sig"))
+        counts = scratch.save(each.groupBy("sig").agg(F.count("*").alias("c"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("c > 1"), "counts")
+        common = each.join(counts.select("sig"), "sig").groupBy("node").agg(F.count("*").alias("m"))
+        # A near copy holds three quarters of a set, so a set with fewer tokens in common with any other has none.
+        common = scratch.save(common.join(sizes.select("node", "n"), "node").where("4 * m >= 3 * n").select("node", "m"), "common")
         top = counts.where((F.col("c") > most) & (F.col("lo") != F.col("hi"))).orderBy(F.desc("c"), "sig").limit(max_frequent)
-        again = scratch.save(next_index(sets, np.sort(np.array([r["sig"] for r in top.select("sig").collect()], dtype=np.int64))), "again")
-        pairs = scratch.save(cross_pairs(flat_rows(again, "node", "cluster", "n", "p", "f"), pivots), "pairs2")
+        again = scratch.save(next_index(sets.join(common.select("node"), "node"), np.sort(np.array([r["sig"] for r in top.select("sig").collect()], dtype=np.int64))), "again")
+        flat = flat_rows(again, "node", "cluster", "n", "p", "f")
+        single = flat.where("kind = -1").join(counts.select("sig"), "sig").groupBy("node").agg(F.count("*").alias("held"))
+        flat = flat.join(common, "node").join(single, "node", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+        pairs = scratch.save(cross_pairs(flat, pivots), "pairs2")
         if not pairs.isEmpty():
             out = out.unionByName(scratch.save(distances(pairs, whole).where("near").select("a", "b"), "links2"))
     return out
