@@ -57,64 +57,69 @@ def features(gain: np.ndarray, hit: int) -> np.ndarray:
 
 
 def dictionary(samples: list[bytes], size: int) -> bytes:
-    """The content of a trained dictionary; too few samples to train on: their own content."""
-    if sum(map(len, samples)) > 20 * size:
+    """The content of a dictionary that zstandard trains on the samples, of `size` bytes at most.
+
+    Training needs several samples and more bytes than it keeps; where there are
+    too few, the size is halved, and at last the samples stand for themselves.
+    """
+    samples = [x for x in samples if x]
+    while size >= 256:
         try:
-            trained = zstandard.train_dictionary(size, samples).as_bytes()
-            return trained[-size:]
+            return zstandard.train_dictionary(size, samples).as_bytes()[-size:]
         except zstandard.ZstdError:
-            pass
-    return b"".join(dict.fromkeys(samples))[-size:] or b" "
+            size //= 2
+    return b"".join(dict.fromkeys(samples))[-4096:] or b" "
+
+
+def residue(texts: list[str], other: list[str], ratio: float = 10.0, least: int = 3) -> list[str]:
+    """What is left of each text without the words that other texts use as well.
+
+    Uses of a word are counted by the distinct words before it, so that what
+    copies repeat, whole or edited, counts once, and only the first use stays. A
+    word stays if it has `least` uses and `ratio` times as large a share of all
+    uses as in the other texts. The training decides what is worth a place.
+    """
 
+    def uses(side: list[str]) -> tuple[list[list[str]], Counter]:
+        seen: set[tuple[str, str]] = set()
+        out = []
+        for t in dict.fromkeys(side):
+            w = [x.strip(".,;:!?") for x in t.lower().split()]
+            new = [p for p in dict.fromkeys(zip(["", *w], w)) if p[1] and p not in seen]
+            seen.update(new)
+            out.append([x for _, x in new])
+        return out, Counter(x for _, x in seen)
 
-def contexts(texts: list[str]) -> set[tuple[str, str]]:
-    """The distinct (word before, word) of all texts; what copies repeat counts once."""
-    out: set[tuple[str, str]] = set()
-    for t in texts:
-        w = [x.strip(".,;:!?") for x in t.lower().split()]
-        out.update(zip(["", *w], w))
-    return out
+    (mine, here), (_, there) = uses(texts), uses(other)
+    share = ratio * sum(here.values()) / max(1, sum(there.values()))
+    return [" ".join(w for w in t if here[w] >= least and here[w] >= share * there[w]) for t in mine]
 
 
-def typical(texts: list[str], other: list[str], ratio: float, deviations: float) -> list[str]:
-    """Beginnings of words that set texts apart from others, the most telling last.
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:
+    """Newton's method on standardised features; the result applies to raw features plus a constant.
 
-    One is taken if at least `ratio` times as large a share of the texts' words
-    in context begins so as of the others', and so many standard deviations more
-    than chance explains; unless another that was taken before covers it. Each is
-    as long as most of the words that begin so go on.
+    No weight is negative, as more gain never speaks for an ordinary text:
+    features that would get one are left out, and the rest is fit again.
     """
-    lengths = range(3, 9)
-    here, there = contexts(texts), contexts(other)
-    n, of = (Counter(w[:k] for _, w in c for k in range(3, min(len(w), 16) + 1)) for c in (here, there))
-    share = len(here) / max(1, len(there))
-    rated = []
-    for x, k in n.items():
-        chance = (of[x] + 0.5) * share
-        if len(x) in lengths and k >= ratio * chance and (z := (k - chance) / (chance + 0.5) ** 0.5) >= deviations:
-            rated.append((z, x))
-    taken: list[str] = []
-    for _, x in sorted(rated, key=lambda r: (-r[0], r[1])):
-        if not any(x.startswith(y) for y in taken):
-            taken.append(x)
-    longer: dict[str, str] = {}
-    for y, k in n.items():
-        for x in (y[:m] for m in lengths if m < len(y)):
-            if 2 * k > n[x] and (len(y), y) > (len(longer.get(x, "")), longer.get(x, "")):
-                longer[x] = y
-    return list(dict.fromkeys(longer.get(x, x) for x in taken[::-1]))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:
-    """Newton's method on standardised features; the result applies to raw features plus a constant."""
     mean, sd = x.mean(0), x.std(0) + 1e-9
-    z = np.c_[(x - mean) / sd, np.ones(len(x))]
-    w = np.zeros(z.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag([ridge * len(x) ** 0.5] * (z.shape[1] - 1) + [1e-6])
-        w -= np.linalg.solve(h, z.T @ (p - y) + np.r_[w[:-1] * ridge * len(x) ** 0.5, 0])
-    return np.r_[w[:-1] / sd, w[-1] - (w[:-1] * mean / sd).sum()]
+    keep = list(range(x.shape[1]))
+    penalty = ridge * len(x) ** 0.5
+    while True:
+        z = np.c_[((x - mean) / sd)[:, keep], np.ones(len(x))]
+        w = np.zeros(z.shape[1])
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            h = (z * (p * (1 - p))[:, None]).T @ z + np.diag([penalty] * len(keep) + [1e-6])
+            step = np.linalg.solve(h, z.T @ (p - y) + np.r_[w[:-1] * penalty, 0])
+            w -= step
+            if np.abs(step).max() < 1e-8:
+                break
+        if not len(keep) or w[:-1].min() >= 0:
+            break
+        keep = [k for k, v in zip(keep, w[:-1], strict=True) if v > 0]
+    full = np.zeros(x.shape[1])
+    full[keep] = w[:-1] / sd[keep]
+    return np.r_[full, w[-1] - (full * mean).sum()]
 
 
 def fit(texts: list[str], toxic: list[int], size: int, dict_size: int) -> dict:
@@ -129,24 +134,27 @@ def fit(texts: list[str], toxic: list[int], size: int, dict_size: int) -> dict:
         half[:] = True
     of = lambda k: [t or "" for t, z, h in zip(texts, y, half, strict=True) if h and z == k]
     ordinary, marked = of(0), of(1)
-    # Most of a toxic document is ordinary, so its dictionary is trained on the beginnings of words that set it apart.
-    telling = typical(marked, ordinary, ratio=4.0, deviations=9.0)
-    known = tuple(telling) or ("\0",)
-    usual = [" ".join(w for w in t.lower().split() if not w.startswith(known)) for t in ordinary]  # text with these isn't ordinary
-    plain = dictionary([w for t in usual for w in windows(t, size)][:200_000], dict_size)
-    model = {"toxic": dictionary([w for x in telling for w in windows(x, size)], dict_size // 4), "plain": plain, "size": size}
-    ct, cp = coders(model)
+    # Most of a toxic document is ordinary, so its dictionary is trained on what ordinary text doesn't share with it.
+    rest = residue(marked, ordinary)
+    foreign = {w for t in rest for w in t.split()}
+    usual = [" ".join(w for w in t.lower().split() if w.strip(".,;:!?") not in foreign) for t in ordinary]
+    plain = dictionary([w for t in usual for w in windows(t, size)], dict_size)
+    samples = [w for t in rest for w in windows(t, 3)]
     held = ~half if (~half).any() and len(set(y[~half])) == 2 else half
-    g = [gains(windows(t or "", size), ct, cp) for t, h in zip(texts, held, strict=True) if h]
-    yh = y[held]
-    found = []
-    for hit in range(1, 12):  # the threshold whose calibrated scores explain the labels best
-        x = np.array([features(v, hit) for v in g])
-        w = logistic(x, yh)
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-        found.append((-(yh * np.log(p + 1e-9) + (1 - yh) * np.log(1 - p + 1e-9)).mean(), -hit, w))
-    _, hit, w = max((-loss, hit, w) for loss, hit, w in [(a, b, tuple(c)) for a, b, c in found])
-    return model | {"hit": -hit, "weights": [float(v) for v in w]}
+    parts, yh = [windows(t or "", size) for t, h in zip(texts, held, strict=True) if h], y[held]
+    best = None
+    for part in (64, 32, 16):  # a large dictionary takes in what a few texts repeat; lengths of unseen text tell how much is too much
+        model = {"toxic": dictionary(samples, dict_size // part), "plain": plain, "size": size}
+        ct, cp = coders(model)
+        g = [gains(w, ct, cp) for w in parts]
+        for hit in range(1, 25):  # the threshold whose calibrated scores explain the labels best
+            x = np.array([features(v, hit) for v in g])
+            w = logistic(x, yh)
+            p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+            loss = -(yh * np.log(p + 1e-9) + (1 - yh) * np.log(1 - p + 1e-9)).mean()
+            if best is None or loss < best[0] - 1e-12:
+                best = (loss, model | {"hit": hit, "weights": [float(v) for v in w]})
+    return best[1]
 
 
 def score_documents(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
@@ -173,15 +181,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, window: int = 12, dict_size:
     The model is fit on a bounded sample of labelled rows: at most max_toxic
     toxic and max_plain ordinary ones (those with the smallest hash of doc_id),
     of at most max_chars each from a place that the hash chooses; scoring has no
-    bounds. Windows of `window` words are compressed with a dictionary trained on
-    the word beginnings that tell toxic text apart and with one trained on
-    ordinary windows; windows that get shorter by a calibrated threshold are
-    hits, and a logistic calibration of hits and gains gives the score.
-
-    Null or empty text: no windows, the score of a text without hits. Null
-    doc_id: kept, not held out. Repeated rows: scored alike. No usable labels:
-    the base rate (0 without labels) for all. Empty table: no rows.
+    bounds. Windows of `window` words are compressed with a dictionary that
+    zstandard trains on what toxic windows don't share with ordinary text, and
+    with one it trains on ordinary windows; windows that get shorter by a
+    calibrated threshold are hits, and a logistic calibration of hits and gains
+    gives the score.
+
+    Null or empty text: no windows, the score of a text without hits. Very long
+    texts: all windows. Null doc_id: kept, not held out. Repeated rows: scored
+    alike; repeated labels: toxic if one is. Ties of the sample's order: by
+    doc_id. No usable labels: the base rate (0 without labels) for all. Empty
+    table: no rows. Columns of docs other than doc_id and text are ignored,
+    whatever their names.
     """
+    docs = docs.select("doc_id", "text")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     known = labels.where("toxic is not null and doc_id is not null").where(~held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda k, n: known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)

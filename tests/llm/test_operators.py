@@ -133,6 +133,26 @@ def test_toxicity_edges(spark):
     assert [(r.doc_id, r.predicted) for r in got] == [(None, 0), (1, 0)]
 
 
+def test_toxicity_learns(spark):
+    """Both dictionaries are trained; insults in new contexts are caught, ordinary text is left alone; columns may clash, rows may repeat."""
+    r = random.Random(12)
+    vocab, insults = [f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.randrange(900)}" for _ in range(900)], ["idiotic", "scumbag", "moronic", "worthless", "pathetic"]
+    texts = []
+    for i in range(600):
+        w = [r.choice(vocab) for _ in range(r.randint(30, 120))]
+        for _ in range(6 * (i % 4 == 0)):
+            w.insert(r.randrange(len(w)), r.choice(insults))
+        texts.append(" ".join(w))
+    texts += [None, "", texts[0], "ordinary " * 30_000 + "scumbag moronic " * 300]
+    docs = frame(spark, texts).withColumnRenamed("lang", "toxic").withColumnRenamed("source", "score")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(600)] + [(0, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in toxicity(docs, labels).collect()}
+    fresh = [x for i, x in got.items() if x.held_out and i < 600]
+    assert len(fresh) > 100 and sum(x.predicted == (x.doc_id % 4 == 0) for x in fresh) >= 0.97 * len(fresh)
+    assert got[600].predicted == got[601].predicted == 0 and got[602].score == got[0].score and got[603].predicted == 1 and got[603].n_windows > 2500
+    assert toxicity(docs.limit(0), labels).count() == 0
+
+
 def test_decontamination(spark):
     r = random.Random(5)
     vocab = [f"w{i}" for i in range(3000)]
