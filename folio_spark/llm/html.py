@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 # Names of elements by role.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe object select math canvas audio video noframes xmp".split())
-OUTSIDE = frozenset("nav header footer aside form fieldset button dialog menu dir head".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())  # of which no markup is read
+OUTSIDE = frozenset("nav header footer aside form fieldset button select datalist dialog menu dir head svg canvas audio video template noscript".split())
 CLOSED_BY = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 # Words in class, id or role of elements that are not the article.
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist complementary consent contentinfo cookie cookies dialog disqus disclaimer dropdown footer footnav form gdpr header hidden infobar login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup popups promo promoted promotion recommended recommendations related replies reply respond search share sharebar sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar tracking widget widgets".split()
 )
+# Words that only say where such an element stands or what it is made of (site-header, ad-slot-2).
+PLACE = frozenset("area bar block bottom box container content desktop fixed float global group inner item items left link links list main mobile module outer page panel post posts primary right secondary section site slot sticky top unit wrap wrapper".split())
 HELD = frozenset("html body article main h1 h2 h3 h4 h5 h6 p b i em strong".split())  # never dropped for their class
 
 TOKEN = re.compile(
@@ -57,8 +59,9 @@ def outside(tag: str, attrs: str) -> bool:
             return True
         if name in ("class", "id", "role") and tag not in HELD:
             for word in value.split():
-                parts = re.split(r"[-_]+", word)
-                if not {"has", "with", "no"} & set(parts) and (word in BOILERPLATE or BOILERPLATE & set(parts)):
+                parts = {x for x in re.split(r"[-_]+|(?<=\D)(?=\d)", word) if x and not x.isdigit()}
+                # related-posts is none of the article, related-work is: every part must fit.
+                if word in BOILERPLATE or BOILERPLATE & parts and parts <= BOILERPLATE | PLACE:
                     return True
     return False
 
@@ -160,43 +163,50 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     return blocks, nodes
 
 
-def main_text(page: str | None) -> str:
-    """The blocks of the best container and of its siblings, one a line; empty if there is none."""
-    if not page:
-        return ""
-    blocks, nodes = parse(page)
-    blocks = [(n, t) for n, t in blocks if not n.out]
-    if not blocks:
-        return ""
+def points(text: str) -> float:
+    """Of a paragraph: 1, 1 for each comma, 1 for each 100 characters up to 3."""
+    return 1 + text.count(",") + min(len(text) / 100, 3)
+
+
+def container(blocks: list[tuple[Node, str]], nodes: list[Node]) -> tuple[Node, set[int]]:
+    """(best container, ids of it and of the siblings that belong to it) by the scores that paragraphs pass to what holds them."""
     for n in reversed(nodes):  # children come behind their parents
         if n.parent:
             n.parent.chars += n.chars
             n.parent.links += n.links
     for n, t in blocks:
-        points = 1 + t.count(",") + min(len(t) / 100, 3)
-        # A paragraph's points go to what holds it: in full to the first, half and a third further up.
+        # In full to the first element that holds the paragraph, half and a third further up.
         holder = n if n.tag in ("article", "main", "section", "div", "body", "#") else n.parent or n
         for k in (1, 2, 3):
             if holder is None or holder.tag in ("#", "html") and k > 1:
                 break
-            holder.score += points / k
+            holder.score += points(t) / k
             holder = holder.parent
     density = lambda n: n.links / n.chars if n.chars else 0.0
-    extra = {"article": 10.0, "main": 8.0, "section": 1.0, "div": 1.0}
-    rated = lambda n: (n.score + extra.get(n.tag, 0.0)) * (1 - density(n))
+    rated = lambda n: n.score * (1 - density(n))
     scored = [n for n in nodes if not n.out and n.score > 0]
     best = max(scored, key=lambda n: (rated(n), -n.depth))
-    if rated(best) <= 0:
-        return ""
-    up = best
-    while up is not None:  # a whole article rather than a part of it
-        if up.tag in ("article", "main"):
-            best = up
-            if up.tag == "article":
-                break
-        up = up.parent
+    # A text dealt out over several containers: their parent holds it, if others in it come near the best.
+    while best.parent is not None and best.parent.tag not in ("body", "html", "#"):
+        near = [n for n in scored if n.parent is best.parent and n is not best and rated(n) >= 0.5 * rated(best) and density(n) < 0.25]
+        if not near:
+            break
+        best = best.parent
     limit = max(10.0, 0.2 * rated(best))
-    kept = {id(best)} | {id(n) for n in scored if n.parent is best.parent and n.parent is not None and rated(n) >= limit and density(n) < 0.25}
+    return best, {id(best)} | {id(n) for n in scored if n.parent is best.parent and n.parent is not None and rated(n) >= limit and density(n) < 0.25}
+
+
+def main_text(page: str | None) -> str:
+    """The blocks of the best container and of its siblings, one a line; empty if there is none."""
+    if not page:
+        return ""
+    blocks, nodes = parse(page)
+    blocks = [(n, t) for n, t in blocks if not n.out]
+    if not blocks:
+        return ""
+    best, kept = container(blocks, nodes)
+    if best.chars and best.links == best.chars:  # nothing but links
+        return ""
 
     def inside(n: Node | None) -> bool:
         while n is not None:
@@ -207,8 +217,9 @@ def main_text(page: str | None) -> str:
 
     chosen = [inside(n) for n, _ in blocks]
     first = chosen.index(True)
-    # Headings and plain paragraphs beside the container belong to it.
-    beside = lambda i, n, t: n.parent is best.parent and best.tag not in ("article", "main") and (n.tag in ("h1", "h2") and i < first or n.tag == "p" and len(t) > 80 and density(n) < 0.25)
+    dense = lambda n: n.chars and n.links / n.chars >= 0.25
+    # Headings above the container and long paragraphs beside it belong to it.
+    beside = lambda i, n, t: n.parent is best.parent and (n.tag in ("h1", "h2") and i < first or n.tag == "p" and len(t) > 80 and not dense(n))
     return "\n".join(t for i, ((n, t), c) in enumerate(zip(blocks, chosen, strict=True)) if c or beside(i, n, t))
 
 
@@ -220,10 +231,12 @@ def extract_text(pages: DataFrame) -> DataFrame:
     class, id or role. Every other paragraph passes 1 point, 1 for each comma
     and 1 for each 100 characters (3 at most) to its holder, half of them to the
     next element up, a third to the one above; scores are discounted by link
-    density. The best container, the whole article it stands in and siblings
-    with a fifth of its score are kept.
+    density. The best container is kept, with siblings of a fifth of its score;
+    it's the parent if a sibling has half of it. Names, classes and roles only
+    leave elements out, none of them earns points.
 
-    Null or empty html, or a page without text: empty text, 0. Null page_id or
+    Null or empty html, or a page without text: empty text, 0. Very long pages:
+    whole. Ties: the element nearer to the root, then the first. Null page_id or
     url: kept as null. Repeated rows: one result each. Empty table: no rows.
     Columns of pages other than page_id, url and html are left out.
     """

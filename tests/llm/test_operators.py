@@ -112,6 +112,71 @@ def test_html():
     assert main_text("<article>" + "<p>word" * 50_000).count("\n") == 49_999
 
 
+def test_html_scores():
+    """Pages without article or main, against scores counted from the tree of an XML parser, paragraph by paragraph."""
+    import xml.etree.ElementTree as ET
+
+    r = random.Random(21)
+    para = lambda n: " ".join(r.choice(["word", "other,", "thing", "more"]) for _ in range(n))
+
+    def tree(depth):
+        kids = [f"<p>{para(r.randint(1, 60))}</p>" if depth == 0 or r.random() < 0.6 else f"<div>{tree(depth - 1)}</div>" for _ in range(r.randint(1, 4))]
+        return "".join(k if r.random() < 0.8 else f"<div><p><a href='x'>{para(9)}</a></p></div>" for k in kids)
+
+    for _ in range(150):
+        page = f"<html><body><nav><p>{para(90)}</p></nav>{tree(3)}</body></html>"
+        root = ET.fromstring(page)
+        up = {c: p for p in root.iter() for c in p}
+        out = {e for n in root.iter("nav") for e in n.iter()}
+        score = collections.defaultdict(float)
+        for p in (e for e in root.iter("p") if e not in out):
+            t, e = "".join(p.itertext()), p
+            for k in (1, 2, 3):
+                if (e := up.get(e)) is None or e.tag == "html" and k > 1:
+                    break
+                score[e] += (1 + t.count(",") + min(len(t) / 100, 3)) / k
+        size = lambda e: sum(len(t) for x in e.iter() if x not in out for t in [x.text or ""])  # noqa: B023, E731
+        link = lambda e: sum(size(a) for a in e.iter("a")) / size(e) if size(e) else 0  # noqa: E731, B023
+        rate = {e: s * (1 - link(e)) for e, s in score.items()}
+        depth = lambda e: 0 if e not in up else 1 + depth(up[e])  # noqa: B023, E731
+        order = {e: i for i, e in enumerate(root.iter())}
+        best = max(rate, key=lambda e: (round(rate[e], 9), -depth(e), -order[e]))
+        while up[best].tag not in ("body", "html") and any(e is not best and up.get(e) is up[best] and rate[e] >= 0.5 * rate[best] and link(e) < 0.25 for e in rate):
+            best = up[best]
+        kept = {best} | {e for e in rate if up.get(e) is up[best] and rate[e] >= max(10, 0.2 * rate[best]) and link(e) < 0.25}
+        lines = []
+        for p in (e for e in root.iter("p") if e not in out):
+            a, t = p, "".join(p.itertext())
+            while a is not None and a not in kept:
+                a = up.get(a)
+            if a is not None or up[p] is up[best] and len(t) > 80 and link(p) < 0.25:
+                lines.append(" ".join(t.split()))
+        assert main_text(page) == "\n".join(lines if link(best) < 1 else [])
+
+
+def test_html_containers():
+    """The container is found by its points, whatever it is called; names only leave out."""
+    body = "".join(f"<p>{'some words, of a paragraph ' * 6}{i}</p>" for i in range(4))
+    want = "\n".join(" ".join(f"{'some words, of a paragraph ' * 6}{i}".split()) for i in range(4))
+    links = "<div><ul>" + "<li><a href=x>a long link text, with commas, and more</a></li>" * 30 + "</ul></div>"
+    for tag in ('div class="x"', "section", "td", 'div class="related-work"', 'div id="no-sidebar-text"'):
+        assert main_text(f"<body>{links}<div class='ad-slot-2'>{body}</div><table><tr><{tag}>{body}</{tag.split()[0]}></table>{links}") == want
+    assert main_text(f"<body><article><p>teaser</p></article><div>{body}</div>") == want
+    assert main_text('<body><article><svg class="i"/><p>one two three</p><svg><text>no</text></svg><p>four <math><mi>x</mi></math></p></article></body>') == "one two three\nfour x"
+    split = "".join(f"<div><p>{'part, of it ' * 20}{i}</p></div>" for i in range(3))
+    assert main_text(f"<body><div><h1>Head</h1>{split}</div>{links}").split("\n")[0] == "Head"
+
+
+def test_html_documents(spark):
+    """The pages of the test tables give the text of the documents they show, word for word."""
+    d = "/root/testdata/sf0.01"
+    shown = spark.read.parquet(f"{d}/pages.parquet").selectExpr("page_id", "url", "html", "try_cast(regexp_extract(url, '://[^/?#]*/[^/?#]+/([0-9]+)', 1) as long) as doc_id")
+    rows = extract_text(shown).join(shown.select("page_id", "doc_id"), "page_id").join(spark.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", "text as want"), "doc_id").collect()
+    same = [x.text.split()[-len(w) :] == w or set(w) <= set(x.text.split()) for x in rows if (w := (x.want or "").split())]
+    assert len(same) > 200 and sum(same) >= 0.95 * len(same)
+    assert extract_text(shown.limit(0)).count() == 0
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", "<p>hi there"), (1, "u", "<p>hi there"), (None, None, None)], "page_id long, url string, html string")
     assert [(r.page_id, r.text, r.n_chars) for r in extract_text(pages).collect()] == [(1, "hi there", 8)] * 2 + [(None, "", 0)]
