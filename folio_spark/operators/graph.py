@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
 
-def root_paths(edges: DataFrame, depth: int = 12) -> DataFrame:
-    """(id, path) from (child, parent): the shortest way from a node to a root, of equally long ones the smallest; cycles end."""
-    roots = edges.select(F.col("parent").alias("id")).distinct().join(edges.select(F.col("child").alias("id")), "id", "left_anti")
-    step = roots.select("id", F.array("id").alias("path"))
+
+def root_paths(edges: DataFrame) -> DataFrame:
+    """(id, path) from (child, parent): the shortest way from a node to a root, of equally long ones the smallest, however deep; what no root lies above is left out."""
+    edges = cut(edges.select("child", "parent").distinct())
+    roots = edges.select(F.col("parent").alias("id")).join(edges.select(F.col("child").alias("id")), "id", "left_anti").distinct()
+    step = cut(roots.select("id", F.array("id").alias("path")))
     out = step
-    for _ in range(depth):
+    while True:
         # One hop down a round, so the first path that reaches a node is a shortest one.
         step = edges.join(step, F.col("parent") == F.col("id")).select(F.col("child").alias("id"), F.concat(F.array("child"), "path").alias("path"))
-        step = step.join(out.select("id"), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
+        step = cut(step.join(out.select("id"), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
         if step.isEmpty():
-            break
+            return out
         out = out.unionByName(step)
-    return out
 
 
 def expand_concepts(seeds: DataFrame, ancestors: DataFrame, edges: DataFrame, decay: float = 0.5) -> DataFrame:
@@ -37,14 +39,14 @@ def redirects(merges: DataFrame, depth: int = 60, cycles: bool = False) -> DataF
     hops don't suffice. Chains that lead into a cycle are left out, or with
     `cycles` get the first id on it; ids on a cycle are redirected nowhere.
     """
-    spans = merges.select("from_id", "to_id").localCheckpoint()
+    spans = cut(merges.select("from_id", "to_id"))
     left, hops = None, 1
     for _ in range(depth):
         nxt = spans.select(F.col("from_id").alias("n"), F.col("to_id").alias("m"))
         going = spans.join(nxt, F.col("to_id") == F.col("n"), "left")
-        spans = going.select("from_id", F.coalesce("m", "to_id").alias("to_id")).localCheckpoint()
+        spans = cut(going.select("from_id", F.coalesce("m", "to_id").alias("to_id")))
         hops *= 2
-        open_ = spans.join(merges.select(F.col("from_id").alias("to_id")), "to_id", "left_semi").localCheckpoint()
+        open_ = cut(spans.join(merges.select(F.col("from_id").alias("to_id")), "to_id", "left_semi"))
         n = open_.count()
         # A chain with an end that is still open gets shorter every round; if none does, all are cycles. After as many hops as there are rows, each is on its cycle.
         if n == 0 or (n == left and hops >= n):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import idf
+from .lineage import cut
 
 
 def facet_counts(attrs: DataFrame) -> DataFrame:
@@ -76,26 +78,43 @@ def merge_feeds(rows: DataFrame, key: str, rank: str, fields: Sequence[str], fla
     return rows.groupBy(key).agg(*[first(f) for f in fields], *[F.bool_or(f).alias(f) for f in flags])
 
 
+def words_of(text: Column) -> Column:
+    """Lower-cased runs of letters and digits, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{Nd}]+)"), 1)
+
+
 def term_index(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, term, tf) of lower-cased words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{Nd}]+)"), 1)
-    return docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return docs.select(key, F.explode(words_of(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def query_hits(docs: DataFrame, key: str, text: Column, query: Sequence[str]) -> DataFrame:
+    """(key, len, hits: array of (term, tf)) of all documents with a word, in one narrow pass: no posting is shuffled; key is unique."""
+    terms = sorted(set(query))
+    tf = F.transform(F.array(*map(F.lit, terms)), lambda t: F.struct(t.alias("term"), F.size(F.filter("w", lambda x: x == t)).cast("long").alias("tf")))
+    rows = docs.select(key, words_of(text).alias("w")).where(F.size("w") > 0)
+    return rows.select(key, F.size("w").cast("long").alias("len"), F.filter(tf, lambda h: h["tf"] > 0).alias("hits"))
 
 
-def bm25(postings: DataFrame, key: str, query: Sequence[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of the k best documents for the query's terms; statistics cover all documents."""
-    lengths = postings.groupBy(key).agg(F.sum("tf").alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    hits = postings.where(F.col("term").isin(list(query)))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    n, mean = stats.select("n").scalar(), stats.select("mean").scalar()
-    rows = hits.join(F.broadcast(df), "term").join(lengths, key)
-    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-    return rows.groupBy(key).agg(F.round(F.sum(weight), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
+def bm25(docs: DataFrame, key: str, text: Column, query: Sequence[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, score) of the k best documents for the query's terms; statistics cover all documents, and only hits leave their task."""
+    passed = query_hits(docs, key, text, query)
+    terms = sorted(set(query))
+    held = lambda t: F.sum(F.exists("hits", lambda h: h["term"] == t).cast("long"))
+    row = passed.agg(F.count("*"), F.avg("len"), *[held(t) for t in terms]).first()  # one row
+    n, mean = row[0], row[1] or 1.0
+    weight = {t: math.log(1 + (n - df + 0.5) / (df + 0.5)) for t, df in zip(terms, row[2:], strict=True) if df}
+    hits = passed.where(F.size("hits") > 0).select(key, "len", F.explode("hits").alias("h")).select(key, "len", "h.*")
+    w = F.lit(0.0)
+    for t, v in weight.items():
+        w = F.when(F.col("term") == t, v).otherwise(w)
+    score = w * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
+    return hits.groupBy(key).agg(F.round(F.sum(score), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def all_terms(postings: DataFrame, key: str, query: Sequence[str]) -> DataFrame:
-    return postings.where(F.col("term").isin(list(query))).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") == len(set(query))).select(key)
+def all_terms(docs: DataFrame, key: str, text: Column, query: Sequence[str]) -> DataFrame:
+    """Keys of the documents that hold every term: a filter of one narrow pass."""
+    return query_hits(docs, key, text, query).where(F.size("hits") == len(set(query))).select(key)
 
 
 def trigram_search(rows: DataFrame, key: str, text: Column, query: str, missing: int) -> DataFrame:
@@ -118,13 +137,18 @@ def vector_topk(vectors: DataFrame, k: int = 5, every: int = 100) -> DataFrame:
     return top_per_group(pairs.select("query_id", "vec_id", cosine.alias("cosine")), ["query_id"], [F.desc("cosine"), F.col("vec_id")], k)
 
 
-def closure(edges: DataFrame, depth: int = 12) -> DataFrame:
-    """(id, ancestor, hops) from (child, parent): the shortest way up, of at most `depth` hops; cycles end."""
-    step = edges.select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("hops")).distinct()
-    out = step
-    for d in range(2, depth + 1):
+def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, ancestor, hops) from (child, parent): the shortest way up, however long or of at most `depth` hops; cycles end.
+
+    Each round is saved and finds what lies one hop further up.
+    """
+    edges = cut(edges.select("child", "parent").distinct())
+    step = edges.select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("hops"))
+    out, d = step, 1
+    while depth is None or d < depth:
+        d += 1
         step = step.join(edges, F.col("ancestor") == F.col("child")).select("id", F.col("parent").alias("ancestor"), F.lit(d).alias("hops")).distinct()
-        step = step.join(out.select("id", "ancestor"), ["id", "ancestor"], "left_anti").where("id <> ancestor")
+        step = cut(step.join(out.select("id", "ancestor"), ["id", "ancestor"], "left_anti").where("id <> ancestor"))
         if step.isEmpty():
             break
         out = out.unionByName(step)
@@ -156,3 +180,9 @@ def listing_diff(old: DataFrame, new: DataFrame, key: str, tag: str) -> DataFram
     a, b = old.select(key, F.col(tag).alias("was")), new.select(key, F.col(tag).alias("now"))
     change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "changed")
     return a.join(b, key, "full_outer").select(key, change.alias("change")).where("change is not null")
+
+
+def bridges(works: DataFrame, keys: Sequence[str], feed: str, work: str) -> DataFrame:
+    """(a, b): works of two feeds that share a key which names one work in each of them and none elsewhere; a is of the smaller feed."""
+    one = works.groupBy(*keys).agg(F.count_distinct(work).alias("n"), F.count_distinct(feed).alias("feeds"), F.count_distinct(work, feed).alias("both"), F.min_by(work, feed).alias("a"), F.max_by(work, feed).alias("b"))
+    return one.where("n = 2 and feeds = 2 and both = 2").select("a", "b")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canon_uri
+from .lineage import cut
 
 # The strength of a link; a pivot is as strong as its weaker link.
 STRENGTH = {"exact": 2, "close": 1}
@@ -60,9 +61,9 @@ def next_numbers(wanted: DataFrame, order: str, top: int) -> DataFrame:
     """wanted with number: consecutive ones from top + 1 by order.
 
     Rows are numbered within the ranges of a sort; the sizes of the ranges, one
-    row a task, are added up.
+    row a task, are added up. The sort is saved, so that both read the same ranges.
     """
-    part = wanted.orderBy(order).withColumn("part", F.spark_partition_id())
+    part = cut(wanted.orderBy(order).withColumn("part", F.spark_partition_id()))
     local = part.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(order)))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
     sizes = local.groupBy("part").agg(F.count("*").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(ahead), F.lit(0)))

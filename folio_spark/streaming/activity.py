@@ -17,12 +17,23 @@ def stream_rates(events: DataFrame, width: str = "1 hour", late: str = "1 hour")
 
 
 def upsert(changes: DataFrame, target: str, key: str, order: str, checkpoint: str):
-    """Applies a stream of change rows (deleted boolean) to a Parquet snapshot: each batch writes the next version, a replay writes the same."""
+    """Applies a stream of change rows (deleted boolean) to a Parquet snapshot: each batch writes the next version, a replay writes the same.
+
+    A version keeps the last row of every key, deleted ones too, so that a row
+    that comes late can't bring a key back; live() leaves them out. Versions
+    before the last but one are removed.
+    """
     from ..operators.relational import latest
 
     def apply(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         before = spark.read.parquet(f"{target}/v{n - 1}") if n else batch.limit(0)
-        latest(before.unionByName(batch), key, F.col(order), ~F.col("deleted")).write.mode("overwrite").parquet(f"{target}/v{n}")
+        latest(before.unionByName(batch), key, F.col(order), F.lit(True)).write.mode("overwrite").parquet(f"{target}/v{n}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v{n - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+
+def live(snapshot: DataFrame) -> DataFrame:
+    return snapshot.where("not deleted").drop("deleted")

@@ -13,7 +13,7 @@ from .operators import vocabulary as V
 # A hierarchy of the driver's tables: supplier -> nation -> region, and customers filed under nations.
 EDGES = "edges as (select 's' || s_suppkey child, 'n' || s_nationkey parent from supplier union all select 'n' || n_nationkey, 'r' || n_regionkey from nation)"
 # Links between two vocabularies: parts and brands x types.
-LINKS = "links as (select 'https://a.org/' || p_partkey || '/' src, case when p_size % 2 = 0 then 'exact' else 'close' end rel, 'http://b.org/' || p_partkey // 3 dst from part where p_partkey <= 300)"
+LINKS = "links as (select 'https://a.org/' || p_partkey || '/' src, case when p_size % 2 = 0 then 'exact' else 'close' end rel, 'http://b.org/' || p_partkey // 3 dst from part)"
 
 
 def edges(spark, d):
@@ -24,7 +24,7 @@ def edges(spark, d):
 
 def links(spark, d):
     rel = F.when(F.col("p_size") % 2 == 0, "exact").otherwise("close")
-    p = table(spark, d, "part").where("p_partkey <= 300")
+    p = table(spark, d, "part")
     return p.select(F.concat(F.lit("https://a.org/"), "p_partkey", F.lit("/")).alias("src"), rel.alias("rel"), F.concat(F.lit("http://b.org/"), F.floor(F.col("p_partkey") / 3).cast("long")).alias("dst"))
 
 
@@ -92,17 +92,17 @@ def authority_merge(spark, d):
     return V.rewrite_references(carriers, "term", merged)
 
 
-@query("select p_partkey work_id, 'subject' kind, 'https://a.org/steel' as value from part where list_contains(string_split(p_name, ' '), 'steel') union all select p_partkey, 'tag', word from (select p_partkey, unnest(string_split(p_name, ' ')) word from part) where word <> 'steel'")
+@query("select p_partkey work_id, 'subject' kind, 'https://a.org/small' as value from part where list_contains(string_split(p_name, ' '), 'small') union all select p_partkey, 'tag', word from (select p_partkey, unnest(string_split(p_name, ' ')) word from part) where word <> 'small'")
 def promote_tag(spark, d):
     """Works with a tag gain the subject it was promoted to, and lose the tag."""
     tags = table(spark, d, "part").select(F.col("p_partkey").alias("work_id"), F.explode(F.split("p_name", " ")).alias("value"))
-    gained = tags.where("value = 'steel'").select("work_id", F.lit("subject").alias("kind"), F.lit("https://a.org/steel").alias("value")).distinct()
-    return gained.unionByName(tags.where("value <> 'steel'").select("work_id", F.lit("tag").alias("kind"), "value"))
+    gained = tags.where("value = 'small'").select("work_id", F.lit("subject").alias("kind"), F.lit("https://a.org/small").alias("value")).distinct()
+    return gained.unionByName(tags.where("value <> 'small'").select("work_id", F.lit("tag").alias("kind"), "value"))
 
 
-@query("select l_suppkey key, min(l_partkey) work_id from lineitem where l_quantity = 50 group by l_suppkey having count(distinct l_partkey) = 1")
+@query("select l_orderkey key, min(l_partkey) work_id from lineitem where l_quantity = 50 group by l_orderkey having count(distinct l_partkey) = 1")
 def isbn_index(spark, d):
-    pairs = table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("work_id"))
+    pairs = table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("work_id"))
     return V.unambiguous(pairs, "key", "work_id")
 
 
@@ -111,9 +111,9 @@ def next_ids(spark, d):
     return V.next_numbers(table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey"), "o_orderkey", 9000)
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
 def orphan_blobs(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query("select c_custkey work_id, case when c_custkey in (select o_custkey from orders) then 'stays' when c_mktsegment = 'BUILDING' then 'kept' else 'leaves' end state from customer")
@@ -176,18 +176,18 @@ def withdrawn_queue(spark, d):
     return table(spark, d, "orders").where("o_orderstatus = 'P' and o_orderpriority <> '1-URGENT'").select("o_orderkey")
 
 
-@query("select p_partkey from part where p_brand in ('Brand#11', 'Brand#12') and not list_contains(string_split(p_name, ' '), 'steel')")
+@query("select p_partkey from part where p_brand in ('Brand#1', 'Brand#2', 'Brand#11', 'Brand#12') and not list_contains(string_split(p_name, ' '), 'small')")
 def facet_exclude(spark, d):
     a = part_attrs(spark, d)
-    only = a.where("dim = 'contributor' and value in ('Brand#11', 'Brand#12')").select("work_id")
-    out = a.where("dim = 'tag' and value = 'steel'").select("work_id")
+    only = a.where("dim = 'contributor' and value in ('Brand#1', 'Brand#2', 'Brand#11', 'Brand#12')").select("work_id")
+    out = a.where("dim = 'tag' and value = 'small'").select("work_id")
     return table(spark, d, "part").select(F.col("p_partkey").alias("work_id")).join(only, "work_id", "left_semi").join(out, "work_id", "left_anti").select(F.col("work_id").alias("p_partkey"))
 
 
-@query("select p_partkey from part where contains(lower(p_name), 'ee') or contains(lower(p_type), 'ee') or contains(cast(p_partkey as varchar), 'ee')")
+@query("select p_partkey from part where contains(lower(p_name), 'ma') or contains(lower(p_type), 'ma') or contains(cast(p_partkey as varchar), 'ma')")
 def work_match(spark, d):
     fields = F.array("p_name", "p_type", F.col("p_partkey").cast("string"))
-    return table(spark, d, "part").where(F.exists(fields, lambda x: F.contains(F.lower(x), F.lit("ee")))).select("p_partkey")
+    return table(spark, d, "part").where(F.exists(fields, lambda x: F.contains(F.lower(x), F.lit("ma")))).select("p_partkey")
 
 
 @query("""select page_id, case when starts_with(url, 'http://') then 'plain' when starts_with(url, 'https://www.') then 'www' when starts_with(url, 'https://') then 'tls' end as scheme,
