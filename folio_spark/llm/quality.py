@@ -80,7 +80,7 @@ def log_ratios(scratch: Scratch, marked: DataFrame, n_buckets: int, alpha: float
     return ratios.select("bucket", "ratio"), ids, values
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 16, bucket_bytes: int = 32, slots: int = 1 << 18, alpha: float = 1.0, min_score: float = -0.25, max_trusted: int = 50_000) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 16, bucket_bytes: int = 32, slots: int = 1 << 16, alpha: float = 1.0, min_score: float = -0.25, max_trusted: int = 50_000) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept.
 
     Method: words and word pairs are hashed into n_buckets, or into as many more
@@ -104,19 +104,23 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 1
     own = [c for c in docs.columns if c.lower() not in added]
     w, h, key, near, far = unused([*own, *added], "w", "h", "key", "near", "far")
     trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
-    row_key = F.xxhash64("doc_id", "text")  # equal rows share sums and numbers of n-grams, so their mean is that of each
+    row_key = F.xxhash64("doc_id", "text")  # equal rows add up to the mean that each of them has
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("hit"))), "doc_id", "left")
     marked = marked.select(row_key.alias("key"), F.coalesce("hit", F.lit(0)).alias("hit"), words(F.col("text")).alias("w"))
     n_buckets = n_buckets_of(docs, n_buckets, bucket_bytes)
     ratios, ids, values = log_ratios(Scratch(docs.sparkSession, "quality"), marked, n_buckets, alpha, slots)
     slot = lambda x: F.pmod(x, F.lit(slots))
     held = lambda x: F.get(ids, slot(x)) == x
-    rare = grams(docs.select(row_key.alias("key"), words(F.col("text")).alias("w")), "key").select("key", bucket_of(F.col("gram"), n_buckets).alias("bucket"))
-    rest = rare.where(~held(F.col("bucket"))).hint("merge").join(ratios.hint("merge"), "bucket").groupBy(F.col("key").alias(key)).agg(F.struct(F.sum("ratio").alias("sum"), F.count("*").alias("n")).alias(far))
+    each = grams(docs.select(row_key.alias("key"), words(F.col("text")).alias("w")), "key").select(F.col("key").alias(key), bucket_of(F.col("gram"), n_buckets).alias("bucket"))
+    in_place = F.when(held(F.col("bucket")), F.get(values, slot(F.col("bucket")))).otherwise(0)
+    sums = each.groupBy(key).agg(F.struct(F.sum(in_place).alias("sum"), F.count("*").alias("n")).alias(near))
+    if n_buckets > slots:  # else every bucket has a slot of its own
+        rest = each.where(~held(F.col("bucket"))).hint("merge").join(ratios.hint("merge"), "bucket").groupBy(key).agg(F.sum("ratio").alias(far))
+        sums = sums.join(rest, key, "left")
+    else:
+        sums = sums.withColumn(far, F.lit(None).cast("long"))
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    # The sum of what is found in place, and how many n-grams aren't.
-    found = lambda a: F.aggregate(a, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("left")), lambda s, x: let(bucket_of(x, n_buckets), lambda b: F.when(held(b), F.struct((s["sum"] + F.get(values, slot(b))).alias("sum"), s["left"].alias("left"))).otherwise(F.struct(s["sum"].alias("sum"), (s["left"] + 1).alias("left")))))
     out = docs.select(*own, words(F.col("text")).alias(w)).withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
     out = out.withColumns(
         {
@@ -126,15 +130,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 1
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
             "n_repeat_words": repeated_words(F.col(h)),
             key: row_key,
-            near: found(let(F.col(h), lambda a: F.concat(a, pairs(a, 1)))),
         }
     ).drop(w, h)
-    if n_buckets > slots:
-        out = out.join(rest, key, "left")
-        joined = F.coalesce(F.col(far)["sum"] * F.col(near)["left"] / F.col(far)["n"], F.lit(0.0))
-    else:  # every bucket has a slot of its own
-        joined = F.lit(0.0)
-    all_grams = F.col("n_words") + F.greatest(F.col("n_words") - 1, F.lit(0))
-    out = out.withColumn("llr", F.when(all_grams == 0, 0.0).otherwise((F.col(near)["sum"] + joined) * UNIT / all_grams))
+    llr = (F.col(near)["sum"] + F.coalesce(F.col(far), F.lit(0))) * UNIT / F.col(near)["n"]
+    out = out.join(sums, key, "left").withColumn("llr", F.coalesce(llr, F.lit(0.0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= min_score)).select(*own, *added)
