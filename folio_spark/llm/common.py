@@ -85,8 +85,9 @@ class Scratch:
         return self.load(name, df.schema)
 
     def load(self, name: str, schema=None) -> DataFrame:
+        """A saved table; joins with it sort both sides: it grows with the input, and loops of broadcasts would fill the driver."""
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
-        return reader.parquet(f"{self.root}/{name}")
+        return reader.parquet(f"{self.root}/{name}").hint("merge")
 
     def delete(self, where: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
