@@ -1,0 +1,51 @@
+"""Operators on small fixtures that the registered queries don't reach."""
+
+from folio_spark.operators import graph as G
+from folio_spark.operators import relational as R
+from folio_spark.operators import vocabulary as V
+from folio_spark.streaming.activity import live, upsert
+
+
+def test_closure_deep_and_cyclic(spark):
+    rows = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "c"), ("d", "b"), ("a", "c"), ("a", "c")] + [(f"n{i}", f"n{i + 1}") for i in range(14)]
+    want: dict = {}
+    for start in {c for c, _ in rows}:
+        seen, front, hops = {}, {start}, 0
+        while front := {p for c, p in rows if c in front} - set(seen) - {start}:
+            hops += 1
+            seen |= dict.fromkeys(front, hops)
+        want |= {(start, k): v for k, v in seen.items()}
+    got = R.closure(spark.createDataFrame(rows, "child string, parent string"))
+    assert {(r.id, r.ancestor): r.hops for r in got.collect()} == want and want["n0", "n14"] == 14
+    assert R.closure(spark.createDataFrame([], "child string, parent string")).count() == 0
+
+
+def test_ambiguous_keys_bridge_nothing(spark):
+    rows = [("t", "a", 1), ("t", "b", 2), ("u", "a", 3), ("u", "a", 4), ("u", "b", 5), ("v", "a", 6), ("v", "b", 7), ("v", "c", 8), ("w", "a", 9), ("x", "a", 10), ("x", "a", 10), ("x", "b", 11)]
+    got = R.bridges(spark.createDataFrame(rows, "key string, feed string, work int"), ["key"], "feed", "work")
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (10, 11)]
+
+
+def test_root_paths_and_numbers(spark):
+    edges = spark.createDataFrame([("c", "b"), ("b", "a"), ("c", "x"), ("x", "a"), ("p", "q"), ("q", "p")], "child string, parent string")
+    assert {r.id: r.path for r in G.root_paths(edges).collect()} == {"a": ["a"], "b": ["b", "a"], "x": ["x", "a"], "c": ["c", "b", "a"]}
+    wanted = spark.range(5, 400, 7).select("id")
+    assert [r.number for r in V.next_numbers(wanted, "id", 100).orderBy("id").collect()] == list(range(101, 101 + wanted.count()))
+
+
+def test_upsert_keeps_deleted_keys_deleted(spark, tmp_path):
+    schema = "id int, at int, value string, deleted boolean"
+    put = lambda n, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    target = f"{tmp_path}/out"
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        upsert(stream, target, "id", "at", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+
+    put(0, [(1, 1, "a", False), (2, 1, "b", False)])
+    run()
+    put(1, [(1, 5, None, True), (2, 2, "c", False)])
+    run()
+    put(2, [(1, 3, "late", False), (3, 1, "d", False)])
+    run()
+    assert sorted((r.id, r.value) for r in live(spark.read.parquet(f"{target}/v2")).collect()) == [(2, "c"), (3, "d")]
