@@ -23,7 +23,7 @@ from .urls import SECOND_LEVEL, filter_urls
 # The rules of op10 as (verdict, host, path).
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 PROBE = "</s>[INST] ok [/INST]"
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

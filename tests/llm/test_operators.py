@@ -377,8 +377,13 @@ def test_sharding(spark):
     assert not any(b.startswith(a) for a, b in zip(names, names[1:]))  # no shard contains another
     for s in names:  # each split was needed
         assert sum(n for k, n in size.items() if k.startswith(s[:-1])) > 4000
+    assert sorted(map(tuple, shard(frame(spark, [*texts, None]), max_bytes=4000).collect())) == sorted(map(tuple, got))  # wherever the directory starts
+    assert sorted(map(tuple, shard(frame(spark, [*texts, None]), max_bytes=4000, start_bits=1, step=1).collect())) == sorted(map(tuple, got))
     same = shard(frame(spark, ["y" * 100] * 9, [1] * 9), max_bytes=300)
     assert same.select("shard").distinct().count() == 1
+    odd = shard(frame(spark, ["z" * 400, "z" * 400, "", None], [None, None, 2, 3]), max_bytes=300).collect()
+    assert sorted(r.n_bytes for r in odd) == [0, 0, 400, 400] and len({r.shard for r in odd if r.doc_id is None}) == 1
+    assert shard(frame(spark, []), max_bytes=300).count() == 0
 
 
 def test_chat(spark):
