@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -74,3 +75,29 @@ def pick_label(labels: Column, prefer: Sequence[str] = ()) -> Column:
 def series_key(c: Column) -> Column:
     """A series title without its trailing punctuation, in lower case."""
     return F.lower(F.rtrim(c, F.lit(" ;:,.")))
+
+
+def tokens(c: Column) -> Column:
+    """Lower-case runs of ASCII letters and digits, in order."""
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def has_keywords(c: Column, keywords: str) -> Column:
+    """Whether the keyword's words follow one another in the text; a word of the text may add -s or -es. No words: false."""
+    words = [w for w in re.split("[^a-z0-9]+", keywords.lower()) if w]
+    if not words:
+        return F.lit(False)
+    return F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" ")).rlike(" " + " ".join(f"{w}(?:s|es)?" for w in words) + " ")
+
+
+def singular(w: Column) -> Column:
+    """A word without a plural ending: -ies to -y, -es, -s."""
+    n = F.octet_length(w)
+    cut = lambda k: F.left(w, F.length(w) - k)
+    return F.when((n > 3) & w.endswith("ies"), F.concat(cut(3), F.lit("y"))).when((n > 3) & w.endswith("es"), cut(2)).when((n > 2) & w.endswith("s"), cut(1)).otherwise(w)
+
+
+def plural_equal(a: Column, b: Column) -> Column:
+    """Whether two headings agree word by word, apart from plural endings on either side."""
+    of = lambda c: F.transform(F.filter(F.split(c, r"\s+"), lambda w: w != ""), singular)
+    return of(a) == of(b)

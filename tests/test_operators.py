@@ -1,8 +1,15 @@
 """Operators on small fixtures that the registered queries don't reach."""
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from folio_spark.functions import text as T
 from folio_spark.operators import graph as G
 from folio_spark.operators import relational as R
 from folio_spark.operators import vocabulary as V
+from folio_spark.operators import works as W
 from folio_spark.streaming.activity import live, upsert
 
 
@@ -49,3 +56,40 @@ def test_upsert_keeps_deleted_keys_deleted(spark, tmp_path):
     put(2, [(1, 3, "late", False), (3, 1, "d", False)])
     run()
     assert sorted((r.id, r.value) for r in live(spark.read.parquet(f"{target}/v2")).collect()) == [(2, "c"), (3, "d")]
+
+
+def test_near_duplicates_against_pairs(spark):
+    r = random.Random(4)
+    rows = [(i, r.choice("abc"), r.choice(["x", "y", "", None]), r.choice("pqr"), r.choice("mn")) for i in range(60)]
+    works = spark.createDataFrame(rows, "id int, a string, b string, c string, who string")
+    got = {}
+    for x in W.near_duplicates(works, "id", {"a": F.concat("a", "b"), "b": F.col("b"), "c": F.concat("c", "a"), "d": F.col("c")}, {"d": F.col("who")}).collect():
+        got.setdefault((x.tier, x.key), set()).add(x.id)
+    want, covered = {}, set()
+    for tier, key in [("a", lambda x: x[1] + x[2] if x[2] is not None else None), ("b", lambda x: x[2]), ("c", lambda x: x[3] + x[1]), ("d", lambda x: x[3])]:
+        groups: dict = {}
+        for x in rows:
+            if key(x):
+                groups.setdefault(key(x), []).append(x)
+        for k, g in groups.items():
+            pairs = {(p[0], q[0]) for p in g for q in g if p[0] < q[0]}
+            if tier == "d" and len({x[4] for x in g}) < 2:
+                continue
+            if pairs - covered:
+                want[tier, k] = {x[0] for x in g}
+            covered |= pairs
+    assert got == want
+    assert W.near_duplicates(works.limit(0), "id", {"a": F.col("a")}).count() == 0
+
+
+def test_pages_labels_and_headings(spark):
+    works = spark.createDataFrame([(i, i % 3 == 0, None if i % 2 else False) for i in range(12)], "id int, hit boolean, gone boolean")
+    page = W.works_page(works, F.col("hit"), F.col("gone"), ["id"], limit=0).collect()
+    assert [tuple(x) for x in page] == [(0, True, False, 12, 4)]
+    with pytest.raises(ValueError):
+        W.works_page(works, F.col("hit"), F.col("gone"), ["id"], mode="some")
+    labels = spark.createDataFrame([("u", "Cat  Food"), ("u", "cat"), ("v", None), ("w", "dog")], "uri string, label string")
+    assert [tuple(x) for x in W.prefix_hits(labels, " CAT").collect()] == [("u", "cat")] and W.prefix_hits(labels, " ").count() == 0
+    heads = spark.createDataFrame([("Drag queens (Fiction)", "stories", "story"), ("dragqueen", "boxes", "box"), (None, "plates", "plate"), ("x drag queenses", "glass", "glass")], "h string, a string, b string")
+    got = heads.select(T.has_keywords(F.col("h"), "drag-queen"), T.plural_equal(F.col("a"), F.col("b"))).collect()
+    assert [tuple(x) for x in got] == [(True, True), (False, True), (False, False), (False, True)]
