@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
 from .chat import format_chat, read_back
 from .common import table
 from .decontaminate import contaminated
@@ -75,6 +76,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_line_dedup, op2_html_extraction, op3_toxicity, op4_ngram_jaccard, op5_decontamination, op6_packing, op7_quality_rules, op8_sharding, op9_chat_format, op10_url_filters, pipeline]
+    own = [op1_line_dedup, op2_html_extraction, op3_toxicity, op4_ngram_jaccard, op5_decontamination, op6_packing, op7_quality_rules, op8_sharding, op9_chat_format, op10_url_filters, op11_cross_tokenizer_alignment, pipeline]
     return {f.__name__: f for f in own}
 
 
