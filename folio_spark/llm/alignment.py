@@ -10,16 +10,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 MARK = "▁"  # the second vocabulary's sign for a space
-SPLIT = "block long, doc_id long, seq array<int>, idx int, segment string, n long"
-ALIGNED = "segment string, n long, valid boolean, n_a long, n_b long, groups string, links_a array<int>, links_b array<int>"
+SPLIT = "block long, doc_id long, seq binary, idx int, segment string, n long"
+KNOWN = "block long, idx int, code binary, a int, b int, c long"
+PAIRS = "a int, b int, c long"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+# Signs in the code of a segment, a row of numbers: its groups are a,a BAR b,b and lie between SEMIs. In 16 bits their low halves stand for them.
+BAR, SEMI = (1 << 32) - 1, (1 << 32) - 2
+NARROW, WIDE = "<u2", "<u4"
 
 
 def unsafe_before_space(path_a: str, path_b: str) -> str:
@@ -62,11 +67,29 @@ def splitter(unsafe: str) -> Callable[[str], list[str]]:
     return split
 
 
+def batch(schema: str, **columns) -> pa.RecordBatch:
+    """A batch of the schema; columns that aren't given are null."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    size = len(next(iter(columns.values())))
+    named = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[n], kinds[t]) if n in columns else pa.nulls(size, kinds[t]) for n, t in named], names=[n for n, _ in named])
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """32-bit numbers in few bytes: their four bytes apart, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+
+
 def split_documents(docs: DataFrame, unsafe: str, block_bytes: int) -> DataFrame:
     """SPLIT rows: of each document its segments by number, of each block of documents its distinct segments and their counts.
 
-    A block is a run of one task's documents; the distinct segments of a block
-    are few against its text, so a frequent segment leaves its task once a block.
+    A block is a run of one task's documents; a segment, however frequent, leaves
+    its task once a block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,18 +101,15 @@ def split_documents(docs: DataFrame, unsafe: str, block_bytes: int) -> DataFrame
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal blocks, size
-            block, none = base + blocks, pa.nulls
+            block = base + blocks
             for at in range(0, len(ids), 1024):
-                part, k = seqs[at : at + 1024], len(ids[at : at + 1024])
-                yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), pa.array(ids[at : at + k], pa.int64()), pa.array(part, pa.list_(pa.int32())), none(k, pa.int32()), none(k, pa.string()), none(k, pa.int64())], names=NAMES)
-            counts = np.zeros(len(known), dtype=np.int64)
-            for s in seqs:
-                counts += np.bincount(s, minlength=len(known))
+                part = seqs[at : at + 1024]
+                yield batch(SPLIT, block=[block] * len(part), doc_id=ids[at : at + 1024], seq=[pack(s) for s in part])
+            counts = np.bincount(np.concatenate(seqs), minlength=len(known)) if known else np.zeros(0, dtype=np.int64)
             texts = list(known)
             for at in range(0, len(texts), 8192):
                 part = texts[at : at + 8192]
-                k = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), none(k, pa.int64()), none(k, pa.list_(pa.int32())), pa.array(np.arange(at, at + k, dtype=np.int32)), pa.array(part, pa.string()), pa.array(counts[at : at + k])], names=NAMES)
+                yield batch(SPLIT, block=[block] * len(part), idx=np.arange(at, at + len(part), dtype=np.int32), segment=part, n=counts[at : at + len(part)])
             blocks += 1
             size = 0
             known.clear(), ids.clear(), seqs.clear()
@@ -98,14 +118,13 @@ def split_documents(docs: DataFrame, unsafe: str, block_bytes: int) -> DataFrame
             for doc_id, text in zip(b.column(0), b.column(1), strict=True):
                 t = text.as_py() or ""
                 ids.append(doc_id.as_py())
-                seqs.append(np.array([known.setdefault(s, len(known)) for s in split(t)] if t else [], dtype=np.int32))
+                seqs.append(np.array([known.setdefault(s, len(known)) for s in split(t)] if t else [], dtype=np.int64))
                 size += len(t) + 64
                 if size >= block_bytes:
                     yield from flush()
         if ids:
             yield from flush()
 
-    NAMES = [c.split()[0] for c in SPLIT.split(", ")]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SPLIT)
 
 
@@ -132,65 +151,172 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.space = self.b.piece_to_id(MARK)
+        self.kind = NARROW if max(len(self.bytes_a), len(self.bytes_b)) < 0xFFFE else WIDE
 
-    def __call__(self, segments: list[str]) -> list[tuple[bool, int, int, str, list[int], list[int]]]:
-        """(valid, n_a, n_b, groups, linked ids of both) of each segment, all of them without the space that they begin with."""
-        left = [e.ids for e in self.a.encode_batch([f" {s}" for s in segments], add_special_tokens=False)]
+    def __call__(self, segments: list[str]) -> list[list[int] | None]:
+        """The code of each segment (given without the space that it begins with); None if a vocabulary doesn't give it back."""
+        left = self.a.encode_batch_fast([f" {s}" for s in segments], add_special_tokens=False)
         right = self.b.encode(segments, num_threads=1)
+        bytes_a, bytes_b = self.bytes_a, self.bytes_b
         out = []
-        for s, x, y in zip(segments, left, right, strict=True):
+        for s, e, y in zip(segments, left, right, strict=True):
+            x, whole = e.ids, f" {s}".encode()
             y = y if s else [self.space]  # an empty text gets no space of its own there
-            whole = f" {s}".encode()
-            parts_a, parts_b = [self.bytes_a[i] for i in x], [self.bytes_b[i] for i in y]
+            parts_a, parts_b = [bytes_a[i] for i in x], [bytes_b[i] for i in y]
             if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
-                out.append((False, 0, 0, "", [], []))
+                out.append(None)
                 continue
-            ends_a, ends_b = np.cumsum([len(p) for p in parts_a]), np.cumsum([len(p) for p in parts_b])
-            _, i, j = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-            groups, p, q = [], 0, 0
-            for u, v in zip((i + 1).tolist(), (j + 1).tolist(), strict=True):
-                groups.append(",".join(map(str, x[p:u])) + "|" + ",".join(map(str, y[q:v])))
-                p, q = u, v
-            out.append((True, len(x), len(y), ";".join(groups), [x[k] for k in i], [y[k] for k in j]))
+            code, p, u, v, at, j = [], 0, 0, 0, 0, 0
+            for i, t in enumerate(parts_a, 1):
+                u += len(t)
+                while v < u:
+                    v += len(parts_b[j])
+                    j += 1
+                if u == v:
+                    code += [SEMI, *x[p:i], BAR, *y[at:j]] if p else [*x[:i], BAR, *y[:j]]
+                    p, at = i, j
+            out.append(code)
         return out
 
 
-def align_segments(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """ALIGNED rows of (segment, n)."""
+class Codes:
+    """The codes of segments as one array, and what follows from them a segment; codes of no length are invalid."""
+
+    def __init__(self, codes: pa.Array, kind: str):
+        codes = codes.cast(pa.large_binary())
+        offsets = np.frombuffer(codes.buffers()[1], dtype=np.int64)[codes.offset : codes.offset + len(codes) + 1] if len(codes) else np.zeros(1, dtype=np.int64)
+        data, size = codes.buffers()[2], np.dtype(kind).itemsize
+        raw = np.frombuffer(data, dtype=kind)[offsets[0] // size : offsets[-1] // size] if data is not None and offsets[-1] else np.zeros(0, dtype=kind)
+        x = raw.astype(np.uint32)
+        for sign in (BAR, SEMI):
+            x[raw == sign & (256**size - 1)] = sign
+        self.x, self.at = x, (offsets - offsets[0]) // size
+        lengths = np.diff(self.at)
+        self.valid = lengths > 0
+        ends = np.zeros(len(x), dtype=bool)
+        ends[self.at[1:][self.valid] - 1] = True
+        self.bar, semi = x == BAR, x == SEMI
+        self.is_id, self.last = x < SEMI, ends | np.append(semi[1:], False)
+        # Behind the bar of its group, an id is of the second vocabulary.
+        second = np.cumsum(self.bar) - np.cumsum(semi) - np.repeat(np.arange(int(self.valid.sum())), lengths[self.valid]) == 1
+        self.goes_on = self.is_id & ~np.append(self.bar[1:], False) & ~self.last
+        self.a, self.b = x[np.flatnonzero(self.bar) - 1].astype(np.int64), x[self.last].astype(np.int64)
+        self.n_a, self.n_b, self.n_groups = (self.sums(v) for v in (self.is_id & ~second, self.is_id & second, self.bar))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of each segment the sum of values, one for each number of its code."""
+        return self.over(values, self.at[:-1][self.valid])
+
+    def over(self, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.valid), dtype=np.int64)
+        if len(starts):
+            out[self.valid] = np.add.reduceat(values.astype(np.int64), starts)
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align = Aligner(path_a, path_b)
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            valid, n_a, n_b, groups, la, lb = zip(*align(texts), strict=True) if texts else [[]] * 6
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(valid, pa.bool_()), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(groups, pa.string()), pa.array(la, ints), pa.array(lb, ints)], names=[c.split()[0] for c in ALIGNED.split(", ")])
+    def over_links(self, values: np.ndarray) -> np.ndarray:
+        """Of each segment the sum of values, one for each link."""
+        n = self.n_groups[self.valid]
+        return self.over(values, np.cumsum(n) - n)
 
-    return segments.select("segment", "n").mapInArrow(run, ALIGNED)
+    def texts(self) -> list[str]:
+        """Of each segment its groups as text."""
+        names: dict[int, str] = {BAR: "|", SEMI: ";"}
+        parts = [f"{names.get(v, v)}," if more else str(names.get(v, v)) for v, more in zip(self.x.tolist(), self.goes_on.tolist(), strict=True)]
+        return ["".join(parts[i:j]) for i, j in zip(self.at[:-1].tolist(), self.at[1:].tolist(), strict=True)]
 
 
-SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+def pair_counts(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (a << 32 | b) and their summed weights."""
+    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return keys, np.bincount(at, weights=np.concatenate([w for _, w in held]), minlength=len(keys)).astype(np.int64)
 
 
-def compose(docs: pa.Table, known: pa.Table) -> pa.Table:
-    """The RESULT rows of one block: docs (block, doc_id, seq) from its segments (block, idx, valid, groups, SUMS)."""
-    order = np.argsort(known.column("idx").to_numpy())
-    groups = known.column("groups").take(pa.array(order)).to_pylist()
-    sums = np.stack([known.column(c).to_numpy()[order] for c in SUMS]) if len(order) else np.zeros((len(SUMS), 0), dtype=np.int64)
-    valid = known.column("valid").to_numpy()[order]
-    rows = []
-    for doc_id, seq in zip(docs.column("doc_id").to_pylist(), docs.column("seq"), strict=True):
-        s = seq.values.to_numpy()
-        if not len(s) or not valid[s].all():
-            rows.append((doc_id, *[0] * len(SUMS), ""))
-        else:
-            rows.append((doc_id, *sums[:, s].sum(axis=1).tolist(), hashlib.sha256(";".join([groups[k] for k in s.tolist()]).encode()).hexdigest()))
-    columns = zip(*rows, strict=True) if rows else [[]] * (len(SUMS) + 2)
-    kinds = [pa.int64()] * (len(SUMS) + 1) + [pa.string()]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in RESULT.split(", ")])
+def weighted(codes: Codes, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return codes.a << 32 | codes.b, np.repeat(n, codes.n_groups)
 
 
-def align_documents(docs: DataFrame, path_a: str, path_b: str, *, block_bytes: int = 4_000_000) -> DataFrame:
+def align_segments(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """KNOWN rows: each row (segment, n, block, idx) with the code of its segment, and how often each pair of ids is linked.
+
+    Rows of a segment come one after another, so that it is tokenized once and its
+    code joined to all of them as they stream by. A task's pair counts are no more
+    than the vocabularies allow: of two tokens that end together one ends the other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        align, last, code = Aligner(path_a, path_b), None, None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            new = [t for t, before in zip(texts, [last, *texts], strict=False) if t != before]
+            fresh = iter(align(new))
+            codes = []
+            for t in texts:
+                if t != last:
+                    found = next(fresh)
+                    last, code = t, None if found is None else np.array(found, dtype="<u4").astype(align.kind).tobytes()
+                codes.append(code)
+            held.append(weighted(Codes(pa.array(codes, pa.binary()), align.kind), b.column(1).to_numpy()))
+            if len(held) >= 64:
+                held = [pair_counts(held)]
+            yield batch(KNOWN, block=b.column(2), idx=b.column(3), code=codes)
+        if held:
+            keys, counts = pair_counts(held)
+            yield batch(KNOWN, a=(keys >> 32).astype(np.int32), b=(keys & BAR).astype(np.int32), c=counts)
+
+    return segments.select("segment", "n", "block", "idx").repartition("segment").sortWithinPartitions("segment").mapInArrow(run, KNOWN)
+
+
+def of_lost(whole: DataFrame, known: DataFrame, kind: str) -> DataFrame:
+    """PAIRS rows: the links, taken off, of documents with a segment that isn't given back; their segments are few or none."""
+    bad = known.where("code is null").groupBy("block").agg(F.collect_set("idx").alias("bad"))
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, seq, ids in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                idx, k = np.unique(unpack(seq), return_counts=True)
+                if np.isin(idx, ids).any():
+                    yield batch("block long, idx int, k long", block=[block] * len(idx), idx=idx.astype(np.int32), k=k)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, counts = pair_counts([weighted(Codes(b.column(0), kind), b.column(1).to_numpy())])
+            yield batch(PAIRS, a=(keys >> 32).astype(np.int32), b=(keys & BAR).astype(np.int32), c=-counts)
+
+    lost = whole.join(bad, "block").select("block", "seq", "bad").mapInArrow(segments, "block long, idx int, k long")
+    return lost.join(known, ["block", "idx"]).select("code", "k").mapInArrow(links, PAIRS)
+
+
+def composer(pairs: list, kind: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """(documents, known segments) of a block -> RESULT rows; pairs: rows (a, b, c)."""
+    keys = np.array([r["a"] << 32 | r["b"] for r in pairs], dtype=np.int64)
+    order = np.argsort(keys)
+    keys, counts = keys[order], np.array([r["c"] for r in pairs], dtype=np.int64)[order]
+    most = np.zeros(int((keys & BAR).max()) + 1 if len(keys) else 1, dtype=np.int64)
+    np.maximum.at(most, keys & BAR, counts)
+    best = counts == most[keys & BAR]
+
+    def compose(docs: pa.Table, known: pa.Table) -> pa.Table:
+        order = np.argsort(known.column("idx").to_numpy())
+        codes = Codes(known.column("code").combine_chunks().take(pa.array(order)) if len(order) else pa.array([], pa.binary()), kind)
+        # A pair that only documents without tokens have isn't there; whatever stands in its place is never summed.
+        at = np.minimum(np.searchsorted(keys, codes.a << 32 | codes.b), max(0, len(keys) - 1))
+        c, b = (counts[at], best[at]) if len(keys) else (np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=bool))
+        sums = np.stack([codes.n_a, codes.n_b, codes.n_groups, codes.n_groups, codes.over_links(b), codes.over_links(c)])
+        texts, columns = codes.texts(), [c.split()[0] for c in RESULT.split(", ")]
+        rows = []
+        for doc_id, packed in zip(docs.column("doc_id").to_pylist(), docs.column("seq").to_pylist(), strict=True):
+            s = unpack(packed)
+            if len(s) and codes.valid[s].all():
+                rows.append((doc_id, *sums[:, s].sum(axis=1).tolist(), hashlib.sha256(";".join([texts[k] for k in s.tolist()]).encode()).hexdigest()))
+            else:
+                rows.append((doc_id, *[0] * len(sums), ""))
+        return pa.Table.from_batches([batch(RESULT, **dict(zip(columns, zip(*rows, strict=True) if rows else [[]] * len(columns), strict=True)))])
+
+    return compose
+
+
+def align_documents(docs: DataFrame, path_a: str, path_b: str, *, block_bytes: int = 32_000_000) -> DataFrame:
     """RESULT rows, one for each document: its tokens under two vocabularies, aligned at common byte offsets.
 
     path_a: a byte-level vocabulary, given a space and the text; path_b: a
@@ -198,39 +324,30 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, *, block_bytes: i
     sees special tokens in a text. Texts are split before spaces where neither
     vocabulary can merge across (unsafe_before_space()), so a document's tokens
     and groups are those of its segments in a row. A distinct segment is
-    tokenized and aligned once; what the corpus counts is counted over distinct
-    segments, weighted by their number.
+    tokenized and aligned once; blocks of about block_bytes of text bring their
+    distinct segments and get the alignments back, and documents are composed
+    block by block.
 
     A link is a pair of tokens that end together; a pair of ids counts as often
-    as links hold it in all documents. n_best: links whose pair is the commonest
-    of its second id (ties included); count_sum: the sum of the counts over links.
+    as links hold it in all documents. Of two such tokens one ends the other, so
+    the vocabularies bound the pairs, whatever the corpus: they go to all tasks.
+    n_best: links whose pair is the commonest of its second id (ties included);
+    count_sum: the sum of the counts over links.
 
     Null or empty text, or one that a vocabulary doesn't give back byte by byte
     (as those with U+2581): zeros and '', and no part in any count. Null doc_id:
     kept as null. Repeated rows: one result each, each counted. Long texts: whole,
     a block of their own at most. Empty table: no rows. Other columns are ignored.
     """
-    unsafe = unsafe_before_space(path_a, path_b)
+    unsafe, kind = unsafe_before_space(path_a, path_b), Aligner(path_a, path_b).kind
     scratch = Scratch(docs.sparkSession, "alignment")
-    split = scratch.save(split_documents(docs, unsafe, block_bytes), "split")
-    whole = split.where("idx is null").select("block", "doc_id", "seq")
-    held = scratch.load("split", split.schema).where("idx is not null").select("block", "idx", "segment", "n")
-    aligned = scratch.save(align_segments(held.groupBy("segment").agg(F.sum("n").alias("n")), path_a, path_b).withColumn("sid", F.monotonically_increasing_id()), "aligned")
-    # Documents with a segment that isn't given back count nowhere: their segments are taken off again.
-    bad = held.join(aligned.where("not valid").select("segment"), "segment").groupBy("block").agg(F.collect_set("idx").alias("bad"))
-    lost = whole.join(bad, "block").where(F.arrays_overlap("seq", "bad")).select("block", F.explode("seq").alias("idx")).groupBy("block", "idx").agg(F.count("*").alias("k"))
-    less = scratch.save(held.join(lost, ["block", "idx"]).groupBy("segment").agg(F.sum("k").alias("k")), "less")
-    good = aligned.where("valid").join(less, "segment", "left").withColumn("n", F.col("n") - F.coalesce("k", F.lit(0)))
-    links = good.select("sid", "n", F.explode(F.arrays_zip("links_a", "links_b")).alias("x")).select("sid", "n", F.col("x.links_a").alias("a"), F.col("x.links_b").alias("b"))
-    links = scratch.save(links.groupBy("sid", "a", "b").agg(F.first("n").alias("n"), F.count("*").alias("times")), "links")
-    pairs = links.groupBy("a", "b").agg(F.sum(F.col("n") * F.col("times")).alias("c"))
-    pairs = scratch.save(pairs.withColumn("best", F.col("c") == F.max("c").over(Window.partitionBy("b"))), "pairs")
-    sums = links.join(pairs, ["a", "b"]).groupBy("sid").agg(F.sum("times").alias("n_links"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("c")).alias("count_sum"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    each = aligned.join(sums, "sid", "left").select("segment", "valid", "groups", "n_a", "n_b", F.size("links_a").cast("long").alias("n_groups"), *[zero(c) for c in ("n_links", "n_best", "count_sum")])
-    each = scratch.save(each, "each")
-    known = held.select("block", "idx", "segment").join(each, "segment").drop("segment")
-    return whole.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(compose, RESULT)
+    split = scratch.save(split_documents(docs, unsafe, block_bytes), "split", compression="zstd")
+    whole = split.where("seq is not null").select("block", "doc_id", "seq")
+    known = scratch.save(align_segments(split.where("idx is not null"), path_a, path_b), "known", compression="zstd")
+    codes = scratch.load("known", known.schema).where("idx is not null").select("block", "idx", "code")
+    pairs = known.where("a is not null").select("a", "b", "c").unionByName(of_lost(whole, codes, kind))
+    counts = pairs.groupBy("a", "b").agg(F.sum("c").alias("c")).where("c > 0").collect()  # bounded by the vocabularies
+    return whole.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(composer(counts, kind), RESULT)
 
 
 def align(docs: DataFrame, name_a: str = "byte_bpe_50k.json", name_b: str = "piece_bpe_32k.model", **options) -> DataFrame:

@@ -80,8 +80,8 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.remove)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
+    def save(self, df: DataFrame, name: str, **options) -> DataFrame:
+        df.write.options(**options).parquet(f"{self.root}/{name}")
         return self.load(name, df.schema)
 
     def load(self, name: str, schema=None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 
 import public_tokenizers
 import pytest
@@ -18,7 +19,19 @@ ODD = [
 def brute(rows):
     """Whole texts, no segments."""
     whole, counts = Aligner(A, B), collections.Counter()
-    found = [whole([t])[0] if t else (False, 0, 0, "", [], []) for _, t in rows]
+
+    def aligned(text):
+        x, y = whole.a.encode(f" {text}", add_special_tokens=False).ids, whole.b.encode(text)
+        parts = [whole.bytes_a[i] for i in x], [whole.bytes_b[i] for i in y]
+        if any(b"".join(p) != f" {text}".encode() for p in parts):
+            return False, 0, 0, "", [], []
+        ends = [[sum(map(len, p[: k + 1])) for k in range(len(p))] if len(p) < 500 else list(itertools.accumulate(map(len, p))) for p in parts]
+        both = sorted(set(ends[0]) & set(ends[1]))
+        i, j = ([e.index(v) for v in both] for e in ends)
+        groups = ";".join(",".join(map(str, x[p + 1 : k + 1])) + "|" + ",".join(map(str, y[q + 1 : m + 1])) for p, k, q, m in zip([-1, *i], i, [-1, *j], j, strict=False))
+        return True, len(x), len(y), groups, [x[k] for k in i], [y[k] for k in j]
+
+    found = [aligned(t) if t else (False, 0, 0, "", [], []) for _, t in rows]
     for f in found:
         counts.update(zip(f[4], f[5], strict=True))
     best = collections.defaultdict(int)
