@@ -96,7 +96,8 @@ def split_documents(docs: DataFrame, unsafe: str, block_bytes: int) -> DataFrame
         split, base, blocks = splitter(unsafe), TaskContext.get().partitionId() << 32, 0
         known: dict[str, int] = {}
         ids: list[int | None] = []
-        seqs: list[np.ndarray] = []
+        seqs: list[bytes] = []
+        counts = np.zeros(1 << 16, dtype=np.int64)
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -104,21 +105,25 @@ def split_documents(docs: DataFrame, unsafe: str, block_bytes: int) -> DataFrame
             block = base + blocks
             for at in range(0, len(ids), 1024):
                 part = seqs[at : at + 1024]
-                yield batch(SPLIT, block=[block] * len(part), doc_id=ids[at : at + 1024], seq=[pack(s) for s in part])
-            counts = np.bincount(np.concatenate(seqs), minlength=len(known)) if known else np.zeros(0, dtype=np.int64)
+                yield batch(SPLIT, block=[block] * len(part), doc_id=ids[at : at + 1024], seq=part)
             texts = list(known)
             for at in range(0, len(texts), 8192):
                 part = texts[at : at + 8192]
                 yield batch(SPLIT, block=[block] * len(part), idx=np.arange(at, at + len(part), dtype=np.int32), segment=part, n=counts[at : at + len(part)])
             blocks += 1
             size = 0
+            counts[:] = 0
             known.clear(), ids.clear(), seqs.clear()
 
         for b in batches:
             for doc_id, text in zip(b.column(0), b.column(1), strict=True):
                 t = text.as_py() or ""
                 ids.append(doc_id.as_py())
-                seqs.append(np.array([known.setdefault(s, len(known)) for s in split(t)] if t else [], dtype=np.int64))
+                s = np.array([known.setdefault(x, len(known)) for x in split(t)] if t else [], dtype=np.int64)
+                if len(known) > len(counts):
+                    counts = np.concatenate([counts, np.zeros(len(known), dtype=np.int64)])
+                np.add.at(counts, s, 1)
+                seqs.append(pack(s))
                 size += len(t) + 64
                 if size >= block_bytes:
                     yield from flush()
@@ -218,11 +223,19 @@ class Codes:
         n = self.n_groups[self.valid]
         return self.over(values, np.cumsum(n) - n)
 
-    def texts(self) -> list[str]:
-        """Of each segment its groups as text."""
-        names: dict[int, str] = {BAR: "|", SEMI: ";"}
-        parts = [f"{names.get(v, v)}," if more else str(names.get(v, v)) for v, more in zip(self.x.tolist(), self.goes_on.tolist(), strict=True)]
-        return ["".join(parts[i:j]) for i, j in zip(self.at[:-1].tolist(), self.at[1:].tolist(), strict=True)]
+    def texts(self, most: int = 16_384) -> list[str]:
+        """Of each segment its groups as text; `most` segments at a time."""
+        ids = self.x[self.is_id]
+        names = [str(i) for i in range(int(ids.max()) + 1 if len(ids) else 0)]
+        before = [f"{n}," for n in names]  # an id that others of its part follow
+        signs, out = {BAR: "|", SEMI: ";"}, []
+        for k in range(0, len(self.valid), most):
+            at = self.at[k : k + most + 1]
+            x, more = self.x[at[0] : at[-1]].tolist(), self.goes_on[at[0] : at[-1]].tolist()
+            parts = [before[v] if m else signs.get(v) or names[v] for v, m in zip(x, more, strict=True)]
+            ends = (at - at[0]).tolist()
+            out += ["".join(parts[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+        return out
 
 
 def pair_counts(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -316,7 +329,7 @@ def composer(pairs: list, kind: str) -> Callable[[pa.Table, pa.Table], pa.Table]
     return compose
 
 
-def align_documents(docs: DataFrame, path_a: str, path_b: str, *, block_bytes: int = 32_000_000) -> DataFrame:
+def align_documents(docs: DataFrame, path_a: str, path_b: str, *, block_bytes: int = 16_000_000) -> DataFrame:
     """RESULT rows, one for each document: its tokens under two vocabularies, aligned at common byte offsets.
 
     path_a: a byte-level vocabulary, given a space and the text; path_b: a

@@ -14,11 +14,13 @@ from .decontaminate import contaminated
 from .html import extract_text
 from .jaccard import jaccard_components
 from .lines import dedup_lines
+from .minhash import minhash_components
 from .packing import pack_documents
 from .quality import quality_rules
 from .sharding import shard
-from .sql import CHAT_FORMAT, LINE_DEDUP, NGRAM_JACCARD, SHARDING, url_filters
+from .sql import CHAT_FORMAT, LINE_DEDUP, MINHASH, NGRAM_JACCARD, PREFIX_TRIE, SHARDING, url_filters
 from .toxicity import toxicity
+from .trie import prefix_trie
 from .urls import SECOND_LEVEL, filter_urls
 
 # The rules of op10 as (verdict, host, path).
@@ -80,6 +82,14 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return align(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_line_dedup, op2_html_extraction, op3_toxicity, op4_ngram_jaccard, op5_decontamination, op6_packing, op7_quality_rules, op8_sharding, op9_chat_format, op10_url_filters, op11_cross_tokenizer_alignment, pipeline]
+    own = [op1_line_dedup, op2_html_extraction, op3_toxicity, op4_ngram_jaccard, op5_decontamination, op6_packing, op7_quality_rules, op8_sharding, op9_chat_format, op10_url_filters, op11_cross_tokenizer_alignment, op12_minhash_near_dedup, op13_conversation_prefix_trie, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -99,4 +109,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_sharding": SHARDING.format(max_bytes=SHARD_BYTES),
         "op9_chat_format": CHAT_FORMAT.format(probe=PROBE),
         "op10_url_filters": url_filters(URL_RULES, SECOND_LEVEL),
+        "op12_minhash_near_dedup": MINHASH,
+        "op13_conversation_prefix_trie": PREFIX_TRIE,
     }

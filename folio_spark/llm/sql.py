@@ -92,3 +92,25 @@ def url_filters(rules: list[tuple[str, str, str]], second_level: list[str]) -> s
     cases = " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{h}{p}'" for _, h, p in longest_first)
     verdicts = " ".join(f"when rule = '{h}{p}' then '{v}'" for v, h, p in rules)
     return URL_FILTERS.format(cases=cases, verdicts=verdicts, second=", ".join(f"'{x}'" for x in second_level))
+
+# The same links as those of the join, but from 85 on; the first of a component stays.
+MINHASH = f"with found as ({NGRAM_JACCARD.replace('>= 75 *', '>= 85 *')}) select *, doc_id = component_id as kept from found"
+
+# The crc32 of an ASCII text, bit by bit: a number of 0 or more is xored in, -1 is a step of one bit.
+CRC32 = "xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split({0}, ''), lambda ch: [ascii(ch)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda x, o: case when o >= 0 then xor(x, o) when x % 2 = 1 then xor(x // 2, 3988292384::bigint) else x // 2 end), 4294967295::bigint)"
+
+# Prefixes as texts of digests; a node's subtree is found on the paths of the owners of all nodes.
+PREFIX_TRIE = rf"""
+with turns as (select conv_id c, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 pos from conversations where conv_id is not null),
+marked as (select c, pos, sha256(role || chr(10) || text) mark, len({WORDS.format('text')}) words from turns),
+convs as (select c, c - c % 20 base, {CRC32.format('c::varchar')} % 4 h from (select distinct c from turns)),
+parts as (select k.c, 0 part, pos, mark, words from convs k join marked m on m.c = k.base where pos < h union all select k.c, 1, pos, mark, words from convs k join marked m on m.c = k.c where pos >= h),
+paths as (select k.c, coalesce(list(mark order by part, pos) filter (mark is not null), []) marks, coalesce(list(words order by part, pos) filter (mark is not null), []) ws from convs k left join parts p on p.c = k.c group by k.c),
+prefixes as (select c, len(marks) length, d, array_to_string(marks[:d], ',') p, array_to_string(marks[:d - 1], ',') up, case when d = 0 then 0 else ws[d] end words from paths, lateral (select unnest(range(0, len(marks) + 1)) d)),
+nodes as (select d, p, any_value(up) up, min(c) owner, count(*) n, any_value(words) words from prefixes group by d, p),
+kids as (select d - 1 d, up p, count(*) kids from nodes where d > 0 group by all),
+every as (select n.*, coalesce(kids, 0) kids, m.owner parent from nodes n left join kids k on k.d = n.d and k.p = n.p left join nodes m on m.d = n.d - 1 and m.p = n.up),
+below as (select x.d, x.p, sum((e.kids = 0)::int) leaves, sum((e.n - 1) * e.words) saved from every e join prefixes x on x.c = e.owner and x.d <= e.d group by x.d, x.p),
+ends as (select d, p, sha256(string_agg(c::varchar, ',' order by c)) h from prefixes where d = length group by d, p)
+select owner::bigint conv_id, e.d::bigint depth, parent::bigint parent_conv_id, n::bigint n_convs, kids::bigint n_children, leaves::bigint n_leaves, saved::bigint saved_tokens, coalesce(h, sha256('')) ends_sha256
+from every e join below b on b.d = e.d and b.p = e.p left join ends on ends.d = e.d and ends.p = e.p"""
