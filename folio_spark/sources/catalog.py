@@ -4,24 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TERM = r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)'
-QUAD = rf"^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+{TERM}\s*(<[^>]*>|_:\S+)?\s*\.\s*$"
+# The terms of an N-Quads line; escapes are those of the format, without surrogates.
+ESCAPE = r"\\[tbnrf\"'\\]|\\u(?![dD][89a-fA-F])[0-9A-Fa-f]{4}|\\U00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4}"
+IRI = rf"<(?:[^\x00-\x20<>\"{{}}|^`\\]|{ESCAPE})*>"
+BLANK = r"_:[^\s<>\"]+"
+LITERAL = rf'"(?:[^"\\]|{ESCAPE})*"'
+TERM = rf"({IRI}|{BLANK}|{LITERAL}(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{IRI})?)"
+QUAD = rf"^\s*({IRI}|{BLANK})\s*({IRI})\s*{TERM}\s*({IRI}|{BLANK})?\s*\.\s*(?:#.*)?$"
+SHORT = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
 
 
-def read_quads(spark: SparkSession, path: str) -> DataFrame:
-    """(s, p, o, o_kind, o_lang, g, file) of N-Quads files; a malformed line fails the read, blank and comment lines are skipped."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.nq*").text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    lines = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+def unescaped(text: Column) -> Column:
+    """A term's text with its escapes decoded; a row without a backslash takes no part in that."""
+
+    def decoded(x: Column) -> Column:
+        sign = F.substring(x, 2, 1)
+        out = F.when(sign.isin("u", "U"), F.decode(F.unhex(F.lpad(F.substr(x, F.lit(3)), 8, "0")), "UTF-32"))
+        for k, v in SHORT.items():
+            out = out.when(sign == k, v)
+        return F.when(~x.startswith("\\"), x).otherwise(out.otherwise(sign))
+
+    parts = F.regexp_extract_all(text, F.lit(r"(\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+)"), 1)
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(parts, decoded), "")).otherwise(text)
+
+
+def parse_quads(lines: DataFrame) -> DataFrame:
+    """(s, p, o, o_kind, o_lang, o_type, g, and all other columns) of lines (value, ...).
+
+    Blank and comment lines are skipped. Any other line that isn't a quad fails
+    every query over the result, whatever columns it reads: validity is a filter.
+    IRIs stand without their brackets, blank nodes with their `_:`.
+    """
+    lines = lines.where(F.col("value").isNotNull() & ~F.col("value").rlike(r"^\s*(#.*)?$"))
+    valid = F.when(F.col("value").rlike(QUAD), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("malformed quad: "), F.col("value"))).cast("boolean"))
     part = lambda i: F.regexp_extract("value", QUAD, i)
-    raw = lines.select("file", F.when(F.col("value").rlike(QUAD), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("malformed quad: "), F.col("value")))).alias("value"))
-    o = part(3)
-    kind = F.when(o.startswith("<"), "iri").when(o.startswith("_:"), "blank").otherwise("literal")
-    bare = lambda c: F.regexp_replace(c, r"^<|>$", "")
-    value = F.when(kind == "literal", F.regexp_extract(o, r'^"((?:[^"\\]|\\.)*)"', 1)).otherwise(bare(o))
-    return raw.select(bare(part(1)).alias("s"), bare(part(2)).alias("p"), value.alias("o"), kind.alias("o_kind"), F.nullif(F.regexp_extract(o, r'"@([A-Za-z0-9-]+)$', 1), F.lit("")).alias("o_lang"), bare(part(4)).alias("g"), "file")
+    bare = lambda c: F.when(c.startswith("<"), unescaped(F.regexp_replace(c, r"^<|>$", ""))).otherwise(c)
+    rest = [c for c in lines.columns if c != "value"]
+    raw = lines.where(valid).select(*rest, part(1).alias("s"), part(2).alias("p"), part(3).alias("t"), part(4).alias("g"))
+    kind = F.when(F.col("t").startswith("<"), "iri").when(F.col("t").startswith("_:"), "blank").otherwise("literal")
+    inner = F.regexp_extract("t", r'(?s)^"(.*)"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?$', 1)
+    value = F.when(kind == "literal", unescaped(inner)).otherwise(bare(F.col("t")))
+    of = lambda pattern: F.when(kind == "literal", F.nullif(F.regexp_extract("t", pattern, 1), F.lit("")))
+    return raw.select(bare(F.col("s")).alias("s"), bare(F.col("p")).alias("p"), value.alias("o"), kind.alias("o_kind"), of(r'"@([A-Za-z0-9-]+)$').alias("o_lang"), unescaped(of(r'"\^\^<([^>]*)>$')).alias("o_type"), bare(F.col("g")).alias("g"), *rest)
+
+
+def read_quads(spark: SparkSession, path: str) -> DataFrame:
+    """parse_quads() of N-Quads files, with `file` and `ord`: (block, id), ascending in the order of a file's lines."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.nq*").text(path)
+    ord_ = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    return parse_quads(lines.select("value", F.col("_metadata.file_path").alias("file"), ord_.alias("ord")))
+
+
+def read_grains(spark: SparkSession, path: str, bulk: str = "catalog.nq") -> DataFrame:
+    """read_quads() of a tree with a file for each record, named in `grain`; files named `bulk` repeat them and are left out."""
+    quads = read_quads(spark, path)
+    return quads.where(F.substring_index("file", "/", -1) != bulk).withColumnRenamed("file", "grain")
 
 
 def read_mapped_csv(spark: SparkSession, path: str, mapping: Mapping[str, str], many: str = ";", sep: str = ",") -> DataFrame:
