@@ -280,9 +280,16 @@ def align_segments(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return segments.select("segment", "n", "block", "idx").repartition("segment").sortWithinPartitions("segment").mapInArrow(run, KNOWN)
 
 
-def of_lost(whole: DataFrame, known: DataFrame, kind: str) -> DataFrame:
-    """PAIRS rows: the links, taken off, of documents with a segment that isn't given back; their segments are few or none."""
-    bad = known.where("code is null").groupBy("block").agg(F.collect_set("idx").alias("bad"))
+def of_lost(scratch: Scratch, whole: DataFrame, known: DataFrame, kind: str) -> DataFrame | None:
+    """PAIRS rows: the links, taken off, of documents with a segment that isn't given back; None if there is none.
+
+    Such segments are rare. They are saved by themselves, so that the joins know
+    their size: where it is small, neither documents nor segments are shuffled.
+    """
+    saved = lambda df, name: df.sparkSession.read.schema(scratch.save(df, name).schema).parquet(f"{scratch.root}/{name}")
+    bad = saved(known.where("code is null").groupBy("block").agg(F.collect_set("idx").alias("bad")), "bad")
+    if bad.isEmpty():
+        return None
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -297,7 +304,8 @@ def of_lost(whole: DataFrame, known: DataFrame, kind: str) -> DataFrame:
             yield batch(PAIRS, a=(keys >> 32).astype(np.int32), b=(keys & BAR).astype(np.int32), c=-counts)
 
     lost = whole.join(bad, "block").select("block", "seq", "bad").mapInArrow(segments, "block long, idx int, k long")
-    return lost.join(known, ["block", "idx"]).select("code", "k").mapInArrow(links, PAIRS)
+    lost = saved(lost.groupBy("block", "idx").agg(F.sum("k").alias("k")), "lost")
+    return known.join(lost, ["block", "idx"]).select("code", "k").mapInArrow(links, PAIRS)
 
 
 def composer(pairs: list, kind: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -355,10 +363,12 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, *, block_bytes: i
     unsafe, kind = unsafe_before_space(path_a, path_b), Aligner(path_a, path_b).kind
     scratch = Scratch(docs.sparkSession, "alignment")
     split = scratch.save(split_documents(docs, unsafe, block_bytes), "split", compression="zstd")
-    whole = split.where("seq is not null").select("block", "doc_id", "seq")
+    read = lambda name, schema: docs.sparkSession.read.schema(schema).parquet(f"{scratch.root}/{name}")
     known = scratch.save(align_segments(split.where("idx is not null"), path_a, path_b), "known", compression="zstd")
-    codes = scratch.load("known", known.schema).where("idx is not null").select("block", "idx", "code")
-    pairs = known.where("a is not null").select("a", "b", "c").unionByName(of_lost(whole, codes, kind))
+    whole = read("split", split.schema).where("seq is not null").select("block", "doc_id", "seq")
+    codes = read("known", known.schema).where("idx is not null").select("block", "idx", "code")
+    pairs, lost = known.where("a is not null").select("a", "b", "c"), of_lost(scratch, whole, codes, kind)
+    pairs = pairs if lost is None else pairs.unionByName(lost)
     counts = pairs.groupBy("a", "b").agg(F.sum("c").alias("c")).where("c > 0").collect()  # bounded by the vocabularies
     return whole.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(composer(counts, kind), RESULT)
 
