@@ -25,13 +25,13 @@ def query(sql: str | None = None):
 
 
 def queries():
-    from . import vocabulary_queries, work_queries  # noqa: F401  they register their queries
+    from . import graph_queries, vocabulary_queries, work_queries  # noqa: F401  they register their queries
 
     return dict(QUERIES)
 
 
 def oracle_sql():
-    from . import vocabulary_queries, work_queries  # noqa: F401
+    from . import graph_queries, vocabulary_queries, work_queries  # noqa: F401
 
     return dict(SQL)
 

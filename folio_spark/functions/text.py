@@ -14,6 +14,11 @@ def norm_key(c: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(c, r"[^\p{L}\p{Nd}]+", " ")))
 
 
+def norm_label(c: Column) -> Column:
+    """Lower case, runs of any Unicode white space as one blank, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+
+
 def title_core(c: Column) -> Column:
     """The title before its first ': ', if something stands before it."""
     return F.when(F.locate(": ", c) > 1, F.substring_index(c, ": ", 1)).otherwise(c)

@@ -1,24 +1,44 @@
-"""Cutting the lineage of loops: each round is a checkpoint in the folder that the cluster shares."""
+"""Cutting the lineage of loops: each round is a table in the folder that the cluster shares."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to spark.checkpoint.dir: later rounds read it and never run earlier ones again, whatever executors are lost.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share (spark.checkpoint.dir).
 
     Only a session whose tasks all run in the driver's own process gets a folder
     of its own if none is named; on a cluster that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        if not (where := spark.conf.get("spark.checkpoint.dir", None)):
-            if not (sc.master == "local" or sc.master.startswith("local[")):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            where = tempfile.mkdtemp(prefix="folio-")
-        sc.setCheckpointDir(where)
-    return df.checkpoint()
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="folio-"))
+        root = sc.getCheckpointDir()
+    return root.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder: later rounds read it and never run earlier ones again, whatever executors are lost.
+
+    Results may read a round for as long as the driver runs; when it ends, its
+    rounds are removed.
+    """
+    spark = df.sparkSession
+    where = f"{shared_dir(spark)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    atexit.register(_remove, spark, where)
+    return spark.read.schema(df.schema).parquet(where)
+
+
+def _remove(spark: SparkSession, where: str) -> None:
+    if spark.sparkContext._jsc is not None:  # the session still runs
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

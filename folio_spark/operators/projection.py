@@ -54,6 +54,16 @@ def group_grains(quads: DataFrame, feed: str, editorial: str = "editorial:", own
     return grains.where(F.size("works") > 0).select("grain", F.explode("works").alias("work"), m.alias("m"), "extras")
 
 
+def graph_maps(quads: DataFrame) -> DataFrame:
+    """(grain, g, m, works, instances): each graph of a grain as a map, subject and predicate -> objects in order, and its nodes of both types."""
+    kind = F.col("o_kind").alias("kind")
+    lists = quads.repartition("grain").groupBy("grain", "g", "s", "p").agg(F.sort_array(F.collect_list(F.struct("ord", "o", kind))).alias("objects"))
+    plain = F.array_distinct(F.transform("objects", lambda x: F.struct(x["o"].alias("o"), x["kind"].alias("kind"))))
+    typed = lambda name: F.collect_list(F.when((F.col("p") == TYPE) & F.exists("objects", lambda x: x["o"] == BF + name), F.col("s")))
+    entry = F.struct(F.concat("s", F.lit(" "), "p"), plain)
+    return lists.groupBy("grain", "g").agg(F.map_from_entries(F.collect_list(entry)).alias("m"), typed("Work").alias("works"), typed("Instance").alias("instances"))
+
+
 class Paths:
     """Expressions over a row of group_grains(): objects, first literals, types."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canon_uri
+from ..functions.text import canon_uri, norm_label
 from .lineage import cut
 
 # The strength of a link; a pivot is as strong as its weaker link.
@@ -40,7 +40,7 @@ def equivalents(links: DataFrame) -> DataFrame:
 
 def match_labels(headings: DataFrame, labels: DataFrame) -> DataFrame:
     """(heading, id, confidence): equal labels; 0.9 by a preferred one, 0.75 by an alternative; the best, then the smallest id. labels: (id, label, alt)."""
-    norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+    norm = norm_label
     known = labels.select(norm(F.col("label")).alias("norm"), "id", F.when(F.col("alt"), 0.75).otherwise(0.9).alias("confidence")).where("norm <> ''")
     best = known.groupBy("norm").agg(F.min(F.struct(-F.col("confidence"), F.col("id"))).alias("m"))
     return headings.withColumn("norm", norm(F.col("heading"))).join(best, "norm").select("heading", "m.id", (-F.col("m.col1")).alias("confidence"))

@@ -8,19 +8,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .relational import closure
+from ..functions.text import norm_label
+from .lineage import cut
 
 
 def near_duplicates(works: DataFrame, work: str, tiers: Mapping[str, Column], differ: Mapping[str, Column] | None = None) -> DataFrame:
     """(tier, key, work): groups of works with one key, tier by tier; a group counts only if no earlier tier holds all its pairs.
 
     Each tier gives a work one key; null and empty keys group nothing. A tier
-    in `differ` takes only groups that have more than one value of that column.
+    in `differ` takes only groups that have more than one value of that column; null counts as ''.
     Pairs aren't formed: those that earlier tiers hold are counted from the
     sizes of the subgroups with keys in common, by inclusion and exclusion.
     """
     names, differ = list(tiers), dict(differ or {})
-    keyed = works.select(F.col(work).alias("id"), *[F.nullif(tiers[t], F.lit("")).alias(f"k{i}") for i, t in enumerate(names)], *[differ.get(t, F.lit(None)).cast("string").alias(f"d{i}") for i, t in enumerate(names)]).distinct()
+    keyed = works.select(F.col(work).alias("id"), *[F.nullif(tiers[t], F.lit("")).alias(f"k{i}") for i, t in enumerate(names)], *[F.coalesce(differ.get(t, F.lit(None)).cast("string"), F.lit("")).alias(f"d{i}") for i, t in enumerate(names)]).distinct()
     combos = keyed.groupBy(*[c for c in keyed.columns if c != "id"]).agg(F.count("*").alias("n"))
     subgroups = []
     for i in range(len(names)):
@@ -33,7 +34,7 @@ def near_duplicates(works: DataFrame, work: str, tiers: Mapping[str, Column], di
     every = combos.select("n", F.explode(F.array(*subgroups)).alias("x")).where("x is not null").select("n", "x.*")
     sizes = every.groupBy("tier", "key", "chosen", "over", "sign").agg(F.sum("n").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
     groups = sizes.groupBy("tier", "key").agg(F.sum(F.expr("sign * n * (n - 1) div 2")).alias("fresh"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    alike = F.col("tier").isin([i for i, t in enumerate(names) if t in differ]) & F.col("lo").eqNullSafe(F.col("hi"))
+    alike = F.col("tier").isin([i for i, t in enumerate(names) if t in differ]) & (F.col("lo") == F.col("hi"))
     good = groups.where((F.col("fresh") > 0) & ~alike).select("tier", "key")
     members = keyed.select("id", F.posexplode(F.array(*[f"k{i}" for i in range(len(names))])).alias("tier", "key"))
     found = members.join(good, ["tier", "key"])
@@ -55,20 +56,16 @@ def matches_facets(values: Mapping[str, Column], selected: Mapping[str, Sequence
 
 
 def works_page(works: DataFrame, match: Column, tombstoned: Column, order: Sequence[str], mode: str = "exclude", limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page of the matches, with total (works under the mode) and matched (those that match); limits are held to 1-500."""
+    """One page of the matches, with total (works under the mode) and matched (those that match); a limit outside of 1 to 500 gives 50."""
     live = ~F.coalesce(tombstoned, F.lit(False))
     keep = {"exclude": live, "include": F.lit(True), "only": ~live}.get(mode)
     if keep is None:
         raise ValueError(f"mode must be exclude, include or only, not {mode!r}")
     n = works.agg(F.count_if(keep).alias("total"), F.count_if(keep & match).alias("matched")).first()
-    page = works.where(keep & match).orderBy(*order).offset(max(offset, 0)).limit(min(max(limit, 1), 500))
+    page = works.where(keep & match).orderBy(*order).offset(max(offset, 0)).limit(limit if 1 <= limit <= 500 else 50)
     return page.withColumns({"total": F.lit(n.total).cast("long"), "matched": F.lit(n.matched).cast("long")})
 
 
-def norm_label(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-
-
 def prefix_hits(labels: DataFrame, prefix: str) -> DataFrame:
     """(uri, norm): terms with a label, in any language, that starts with the prefix; each once, by its smallest such label. A blank prefix finds nothing."""
     wanted = norm_label(F.lit(prefix))
@@ -84,9 +81,17 @@ def merge_hits(overlay: DataFrame, snapshot: DataFrame, limit: int) -> DataFrame
 
 
 def category_members(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """(category, uri): the roots (category, root) and all that is narrower, by edges (child, parent); cycles and several parents are fine."""
-    below = closure(edges).join(roots, F.col("ancestor") == F.col("root")).select("category", F.col("id").alias("uri"))
-    return roots.select("category", F.col("root").alias("uri")).unionByName(below).distinct()
+    """(category, uri): the roots (category, root) and all that is narrower, by edges (child, parent); cycles and several parents are fine.
+
+    Walks down from the roots alone: a round joins only what the one before has found.
+    """
+    edges = cut(edges.select("child", "parent").distinct())
+    seen = frontier = cut(roots.select("category", F.col("root").alias("uri")).distinct())
+    while not frontier.isEmpty():
+        step = frontier.join(edges, F.col("uri") == F.col("parent")).select("category", F.col("child").alias("uri")).distinct()
+        frontier = cut(step.join(seen, ["category", "uri"], "left_anti"))
+        seen = seen.unionByName(frontier)
+    return seen
 
 
 def usage_window(usage: DataFrame, scheme: str = "", least: int = 0, most: int = 0) -> DataFrame:

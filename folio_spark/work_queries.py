@@ -9,22 +9,24 @@ from .functions import text as T
 from .operators import works as W
 
 
-@query("""with w as (select p_partkey id, lower(p_name) core, replace(lower(p_brand), '#', ' ') author, lower(p_type) sub, (p_size % 3)::varchar lang, floor(p_retailprice)::bigint::varchar isbn from part),
-k as (select id, author, unnest([0, 1, 2, 3]) t, unnest([author || chr(31) || core || ' ' || sub || chr(31) || lang, concat_ws('/', core, author, lang), isbn, concat_ws('/', core, lang)]) key from w),
+@query("""with w as (select p_partkey id, lower(p_name) core, case when p_partkey % 10 = 0 then '' else replace(lower(p_brand), '#', ' ') end author, lower(p_type) sub, (p_size % 3)::varchar lang, floor(p_retailprice)::bigint::varchar isbn from part),
+k as (select id, author, unnest([0, 1, 2, 3]) t, unnest([author || chr(31) || core || ' ' || sub || chr(31) || lang, case when author <> '' then concat_ws('/', core, author, lang) end, isbn, concat_ws('/', core, lang)]) key from w),
 pairs as (select a.t, a.key, a.id x, b.id y from k a join k b on a.t = b.t and a.key = b.key and a.id < b.id),
 fresh as (select t, key from (select *, min(t) over (partition by x, y) as first from pairs) where t = first group by all),
 good as (select t, key from k join fresh using (t, key) group by all having t < 3 or count(distinct author) > 1)
 select ['exact', 'subtitle', 'identifier', 'contributor'][t + 1] tier, key, id work_id from k join good using (t, key)""")
 def near_dup(spark, d):
+    """A work without an author has no subtitle tier; among contributors none is a value like others."""
     p = table(spark, d, "part").withColumns({"work_id": F.col("p_partkey"), "title": F.concat("p_name", F.lit(": "), "p_type"), "lang": (F.col("p_size") % 3).cast("string")})
-    core, author = T.norm_key(T.title_core(F.col("title"))), T.norm_key(F.col("p_brand"))
+    author = F.when(F.col("p_partkey") % 10 != 0, F.col("p_brand"))
+    core, name = T.norm_key(T.title_core(F.col("title"))), T.norm_key(author)
     tiers = {
-        "exact": T.cluster_key(F.col("p_brand"), F.col("title"), F.array("lang")),
-        "subtitle": F.concat_ws("/", core, author, "lang"),
+        "exact": T.cluster_key(F.coalesce(author, F.lit("")), F.col("title"), F.array("lang")),
+        "subtitle": F.when(name != "", F.concat_ws("/", core, name, "lang")),
         "identifier": F.floor("p_retailprice").cast("long").cast("string"),
         "contributor": F.concat_ws("/", core, "lang"),
     }
-    return W.near_duplicates(p, "work_id", tiers, {"contributor": author})
+    return W.near_duplicates(p, "work_id", tiers, {"contributor": name})
 
 
 @query("select p_partkey from part where p_brand in ('Brand#1', 'Brand#2', 'Brand#11') and len(list_intersect(string_split(p_name, ' '), ['small', 'cold'])) > 0")

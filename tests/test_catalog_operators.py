@@ -60,7 +60,7 @@ def test_upsert_keeps_deleted_keys_deleted(spark, tmp_path):
 
 def test_near_duplicates_against_pairs(spark):
     r = random.Random(4)
-    rows = [(i, r.choice("abc"), r.choice(["x", "y", "", None]), r.choice("pqr"), r.choice("mn")) for i in range(60)]
+    rows = [(i, r.choice("abc"), r.choice(["x", "y", "", None]), r.choice("pqr"), r.choice(["m", "n", None])) for i in range(60)]
     works = spark.createDataFrame(rows, "id int, a string, b string, c string, who string")
     got = {}
     for x in W.near_duplicates(works, "id", {"a": F.concat("a", "b"), "b": F.col("b"), "c": F.concat("c", "a"), "d": F.col("c")}, {"d": F.col("who")}).collect():
@@ -73,7 +73,7 @@ def test_near_duplicates_against_pairs(spark):
                 groups.setdefault(key(x), []).append(x)
         for k, g in groups.items():
             pairs = {(p[0], q[0]) for p in g for q in g if p[0] < q[0]}
-            if tier == "d" and len({x[4] for x in g}) < 2:
+            if tier == "d" and len({x[4] or "" for x in g}) < 2:
                 continue
             if pairs - covered:
                 want[tier, k] = {x[0] for x in g}
@@ -82,14 +82,29 @@ def test_near_duplicates_against_pairs(spark):
     assert W.near_duplicates(works.limit(0), "id", {"a": F.col("a")}).count() == 0
 
 
+def test_no_author_is_a_value_of_its_own(spark):
+    works = spark.createDataFrame([(1, "t", None), (2, "t", "Byrd"), (3, "s", None), (4, "s", None)], "id int, t string, who string")
+    got = {(x.tier, x.key, x.id) for x in W.near_duplicates(works, "id", {"title": F.col("t")}, {"title": F.col("who")}).collect()}
+    assert got == {("title", "t", 1), ("title", "t", 2)}
+
+
+def test_category_members(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c"), ("z", "y"), ("d", "b")], "child string, parent string")
+    roots = spark.createDataFrame([("k", "a"), ("m", "b"), ("n", "lone")], "category string, root string")
+    got = {tuple(x) for x in W.category_members(roots, edges).collect()}
+    assert got == {(k, x) for k in "km" for x in "abcd"} | {("n", "lone")}
+
+
 def test_pages_labels_and_headings(spark):
     works = spark.createDataFrame([(i, i % 3 == 0, None if i % 2 else False) for i in range(12)], "id int, hit boolean, gone boolean")
-    page = W.works_page(works, F.col("hit"), F.col("gone"), ["id"], limit=0).collect()
-    assert [tuple(x) for x in page] == [(0, True, False, 12, 4)]
+    for limit in (0, 501, 50):  # outside of 1 to 500: 50
+        page = W.works_page(works, F.col("hit"), F.col("gone"), ["id"], limit=limit).collect()
+        assert [(x.id, x.total, x.matched) for x in page] == [(i, 12, 4) for i in (0, 3, 6, 9)]
+    assert [x.id for x in W.works_page(works, F.col("hit"), F.col("gone"), ["id"], limit=1).collect()] == [0]
     with pytest.raises(ValueError):
         W.works_page(works, F.col("hit"), F.col("gone"), ["id"], mode="some")
-    labels = spark.createDataFrame([("u", "Cat  Food"), ("u", "cat"), ("v", None), ("w", "dog")], "uri string, label string")
-    assert [tuple(x) for x in W.prefix_hits(labels, " CAT").collect()] == [("u", "cat")] and W.prefix_hits(labels, " ").count() == 0
+    labels = spark.createDataFrame([("u", "Cat  Food"), ("u", "cat"), ("v", None), ("w", "dog"), ("x", "Cat\u00a0\u2003nap")], "uri string, label string")
+    assert sorted(tuple(x) for x in W.prefix_hits(labels, " CAT").collect()) == [("u", "cat"), ("x", "cat nap")] and W.prefix_hits(labels, " ").count() == 0
     heads = spark.createDataFrame([("Drag queens (Fiction)", "stories", "story"), ("dragqueen", "boxes", "box"), (None, "plates", "plate"), ("x drag queenses", "glass", "glass")], "h string, a string, b string")
     got = heads.select(T.has_keywords(F.col("h"), "drag-queen"), T.plural_equal(F.col("a"), F.col("b"))).collect()
     assert [tuple(x) for x in got] == [(True, True), (False, True), (False, False), (False, True)]
