@@ -149,7 +149,8 @@ def links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, threshold: int, d
        with: that ties up groups of copies with one comparison each.
     3. Of each key, the nodes outside its largest cluster meet all others, if
        the tokens that each has in common with any other set leave room for the
-       threshold: a copy with too many edits of its own meets nobody.
+       threshold: a copy with too many edits of its own meets nobody. Two nodes
+       meet once, however many keys they share.
     In 2 and 3 the packed bits rule out pairs before whole sets are compared.
     """
     flat = nodes.where("bands is not null").select("node", F.explode("bands").alias("sig"))
@@ -180,12 +181,14 @@ def links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, threshold: int, d
     each = sets.select("node", F.explode("tokens").alias("token"))
     several = each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     room = each.join(several, "token", "left_semi").groupBy("node").agg(F.count("*").alias("m")).join(sizes, "node").where(100 * F.col("m") >= threshold * F.col("n"))
-    room = scratch.save(room.join(bits, "node"), "room")
+    room = scratch.save(room.join(nodes.select("node", "bits", "bands"), "node"), "room")
     rows = rows.join(room, "node")
     minor, other = named(rows.where("cluster <> major").drop("major"), "a"), named(rows.withColumn("main", F.col("cluster") == F.col("major")).drop("major"), "b")
     apart = (F.col("cluster_a") != F.col("cluster_b")) & (F.col("main_b") | (F.col("node_a") < F.col("node_b")))
     enough = (100 + threshold) * F.least("m_a", "m_b") >= threshold * (F.col("n_a") + F.col("n_b"))
-    met = minor.join(other, (F.col("sig_a") == F.col("sig_b")) & apart & fits & enough & near)
+    # Of the keys that two nodes share, the first alone brings them together.
+    once = F.get(F.array_intersect("bands_a", "bands_b"), 0) == F.col("sig_a")
+    met = minor.join(other, (F.col("sig_a") == F.col("sig_b")) & apart & fits & enough & near & once)
     pairs = scratch.save(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "pairs")
     if pairs.isEmpty():
         return found
