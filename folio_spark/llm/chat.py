@@ -50,43 +50,49 @@ def prefix_sums(turns: DataFrame, span: int) -> DataFrame:
     return joined.select("conv_id", "turn", "role", "text", "cost", (F.col("rows") + F.col("nth")).alias("ord"), (F.col("sum") + F.col("run") - F.col("cost")).alias("before"))
 
 
-def format_chat(conversations: DataFrame, *, budget: int = 1024, history: int = 2, history_budget: int = 256, system_budget: int = 256, span: int = 256) -> DataFrame:
-    """One row a window: conv_id, window_id, first_ord, n_context, n_fresh, formatted, loss_spans, tokens.
+def format_chat(conversations: DataFrame, *, budget: int = 1024, history: int = 2, history_budget: int = 256, least: int = 128, span: int = 256) -> DataFrame:
+    """One row a window: conv_id, window_id, n_context, n_fresh, formatted, loss_spans, tokens, over_budget.
 
     Turns get the token prefix sums of their conversation; new turns are cut
-    into spans where the prefix sum passes a multiple of half the room that
-    system turn and history leave in the budget. As a turn of at most that half
-    may start before the cut, a span never exceeds the room; a longer turn is
-    never cut but has a window of its own. Each window repeats the conversation's
-    first turn if it's a system turn of at most system_budget tokens, and up to
-    `history` turns of the window before it that together have at most
-    history_budget tokens. loss_spans (start from 1, length, in code points of
+    into spans where the prefix sum passes a multiple of half the room that the
+    conversation's own system turn and the history leave in the budget. As a turn
+    of at most that half may start before the cut, a span never exceeds the room;
+    a longer turn is never cut but has a window of its own. Every window holds the
+    conversation's first turn if it's a system turn, however long: its tokens are
+    taken from the room, of which `least` tokens stay in any case. A window also
+    repeats up to `history` turns of the window before it that together have at
+    most history_budget tokens. over_budget marks the windows that a long turn or
+    a long system turn takes beyond the budget. loss_spans (start from 1, length, in code points of
     formatted) mark the text of fresh assistant turns only: repeats are masked.
 
     Turns are ordered by (turn, role, text), nulls first. Null role or text: empty.
     Repeated rows: turns of their own. Null conv_id: one conversation. Empty
     table: no rows. Other columns are ignored.
     """
-    half = (budget - history_budget - system_budget) // 2
     turns = conversations.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     turns = prefix_sums(turns.withColumn("cost", tokens(F.col("text"))), span)
+    part = F.struct("ord", "role", "text", "cost")
+    leads = (F.col("ord") == 1) & (F.col("role") == "system")
+    system = turns.where(leads).select(F.col("conv_id").alias("c"), part.alias("lead"))
+    # The system turn is in every window, so it takes from the room of all and counts in none's span.
+    turns = turns.join(system.select("c", F.col("lead.cost").alias("lead")), F.col("conv_id").eqNullSafe(F.col("c")), "left").withColumn("lead", F.coalesce("lead", F.lit(0))).drop("c")
+    half = F.greatest(F.floor((F.lit(budget - history_budget) - F.col("lead")) / 2), F.lit(least // 2))
+    turns = turns.withColumns({"half": half, "before": F.when(F.col("ord") > 1, F.col("before") - F.col("lead")).otherwise(F.col("before"))})
     # A turn over half the room stands alone: the count of such turns so far keeps its neighbours apart.
-    long = turns.withColumn("long", (F.col("cost") > half).cast("int"))
-    by_half = F.floor(F.col("before") / half).cast("long")
+    long = turns.withColumn("long", (~leads & (F.col("cost") > F.col("half"))).cast("int"))
+    by_half = F.floor(F.col("before") / F.col("half")).cast("long")
     spans = long.withColumn("slot", F.when(F.col("long") == 1, F.struct(by_half.alias("s"), F.col("ord").alias("o"))).otherwise(F.struct(by_half.alias("s"), F.lit(0).cast("long").alias("o"))))
     # Within a slot, short turns behind a long one form a run of their own: the long one has ended the slot, since it's longer than a slot.
     w = Window.partitionBy("conv_id", "slot")
     fresh = spans.withColumns({"first_ord": F.min("ord").over(w), "last_ord": F.max("ord").over(w)})
     key = ["conv_id", "first_ord"]
-    part = F.struct("ord", "role", "text", "cost")
     # The last turns of a window are history of the one that starts behind it.
     back = fresh.where(F.col("last_ord") - F.col("ord") < history)
     tail = Window.partitionBy("conv_id", "first_ord").orderBy(F.desc("ord"))
-    back = back.withColumn("sum", F.sum("cost").over(tail)).where((F.col("sum") <= history_budget) & ~((F.col("ord") == 1) & (F.col("role") == "system")))
+    back = back.withColumn("sum", F.sum("cost").over(tail)).where((F.col("sum") <= history_budget) & ~leads)
     repeats = back.select("conv_id", (F.col("last_ord") + 1).alias("first_ord"), part.alias("part"))
-    system = turns.where((F.col("ord") == 1) & (F.col("role") == "system") & (F.col("cost") <= system_budget)).select(F.col("conv_id").alias("c"), part.alias("part"))
     starts = fresh.where(F.col("ord") == F.col("first_ord")).select(*key)
-    again = starts.where("first_ord > 1").join(system, F.col("conv_id").eqNullSafe(F.col("c"))).select(*key, "part")
+    again = starts.where("first_ord > 1").join(system, F.col("conv_id").eqNullSafe(F.col("c"))).select(*key, F.col("lead").alias("part"))
     every = fresh.select(*key, part.alias("part"), F.lit(1).alias("new")).unionByName(repeats.unionByName(again).withColumn("new", F.lit(0)))
     windows = every.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col("new"), F.col("part.ord").alias("ord"), F.col("part.role").alias("role"), F.col("part.text").alias("text"), F.col("part.cost").alias("cost")))).alias("parts"))
     windows = windows.where(F.exists("parts", lambda p: p["new"] == 1))  # a last window has no successor to repeat its turns in
@@ -101,6 +107,7 @@ def format_chat(conversations: DataFrame, *, budget: int = 1024, history: int =
         spans = F.when(target, F.concat(s["spans"], F.array(F.struct(start.alias("start"), F.length(p["t"]).alias("length"))))).otherwise(s["spans"])
         return F.struct((start + F.length(p["t"]) + len(END)).alias("at"), spans.alias("spans"))
 
+    total = F.aggregate("pieces", F.lit(0).cast("long"), lambda s, p: s + p["cost"])
     return windows.select(
         "conv_id",
         F.col("first_ord").alias("window_id"),
@@ -108,7 +115,8 @@ def format_chat(conversations: DataFrame, *, budget: int = 1024, history: int =
         F.size(F.filter("pieces", lambda p: p["new"] == 1)).alias("n_fresh"),
         formatted.alias("formatted"),
         F.aggregate("pieces", state, mask, lambda s: s["spans"]).alias("loss_spans"),
-        F.aggregate("pieces", F.lit(0).cast("long"), lambda s, p: s + p["cost"]).alias("tokens"),
+        total.alias("tokens"),
+        (total > budget).alias("over_budget"),
     )
 
 

@@ -48,11 +48,12 @@ CHAT_FORMAT = """
 with given as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select * from (values (-7, 0, 'user', '{probe}'), (-7, 1, 'assistant', '{probe}')) v),
 sized as (select *, ceil(strlen(text) / 4)::bigint + 8 cost, 11 + length(role || text) + length(regexp_replace(role || text, '[^\\\\<\\[\\]]', '', 'g')) chars from given),
 turns as (select *, row_number() over w as ord, sum(cost) over w - cost as before, count(*) over (partition by conv_id) n from sized window w as (partition by conv_id order by turn nulls first, role, text rows unbounded preceding)),
-slots as (select *, before // 256 slot, case when cost > 256 then ord else 0 end alone from turns),
+heads as (select conv_id, chars, cost from turns where ord = 1 and role = 'system'),
+room as (select t.*, coalesce(h.cost, 0) lead, greatest((1024 - 256 - coalesce(h.cost, 0)) // 2, 64) half from turns t left join heads h using (conv_id)),
+slots as (select *, (before - case when ord > 1 then lead else 0 end) // half slot, case when cost > half and not (ord = 1 and role = 'system') then ord else 0 end alone from room),
 fresh as (select *, min(ord) over s first_ord, max(ord) over s last_ord from slots window s as (partition by conv_id, slot, alone)),
 tails as (select *, sum(cost) over (partition by conv_id, first_ord order by ord desc) kept from fresh where last_ord - ord < 2 and last_ord < n),
 again as (select conv_id, sum(chars) chars from tails where kept <= 256 and not (ord = 1 and role = 'system') group by conv_id),
-heads as (select conv_id, chars from turns where ord = 1 and role = 'system' and cost <= 256),
 repeats as (select conv_id, count(*) filter (first_ord > 1 and ord = first_ord) windows from fresh group by conv_id)
 select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by ord)) turns_sha256,
  length(coalesce(string_agg(text, '' order by ord) filter (role = 'assistant'), '')) loss_chars, sha256(coalesce(string_agg(text, '' order by ord) filter (role = 'assistant'), '')) loss_sha256,
@@ -93,6 +94,7 @@ def url_filters(rules: list[tuple[str, str, str]], second_level: list[str]) -> s
     verdicts = " ".join(f"when rule = '{h}{p}' then '{v}'" for v, h, p in rules)
     return URL_FILTERS.format(cases=cases, verdicts=verdicts, second=", ".join(f"'{x}'" for x in second_level))
 
+
 # The same links as those of the join, but from 85 on; the first of a component stays.
 MINHASH = f"with found as ({NGRAM_JACCARD.replace('>= 75 *', '>= 85 *')}) select *, doc_id = component_id as kept from found"
 

@@ -400,10 +400,29 @@ def test_chat(spark):
         loss = "".join(s for _, o, s in mine if o == "assistant")
         assert x.n_turns == len(mine) and x.turns_sha256 == hashlib.sha256("".join(f"{o}\n{s}\n" for _, o, s in mine).encode()).hexdigest()
         assert (x.loss_chars, x.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    assert all(w.tokens <= 1024 or w.n_fresh == 1 for w in windows.collect())
+    # Only a long turn, alone but for the system turn, or a long system turn takes a window beyond the budget.
+    leads = {c for c, t, o, _ in rows if t == 0 and o == "system"}
+    assert all(w.over_budget == (w.tokens > 1024) and (w.tokens <= 1024 or w.n_fresh <= 1 + (w.window_id == 1 and w.conv_id in leads)) for w in windows.collect())
     assert windows.where("n_context > 0").count() > 0
 
 
+@pytest.mark.parametrize("size", [2_000, 8_000])
+def test_chat_system_turn_in_every_window(spark, size):
+    """However long it is; it takes from the room of the others, and windows that it takes beyond the budget say so."""
+    rows = [(1, 0, "system", "s" * size)] + [(1, t, ("user", "assistant")[t % 2], f"turn {t} " + "w" * 280) for t in range(1, 30)]
+    windows = format_chat(spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, lead string, half int"))
+    got = sorted(windows.collect(), key=lambda w: w.window_id)
+    assert len(got) > 5 and all(w.formatted.startswith("<s>[system]\n" + "s" * size) for w in got)
+    assert {w.over_budget for w in got} == {size == 8_000} and read_back(windows).first().n_turns == 30
+
+
+def test_chat_edges(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    assert format_chat(spark.createDataFrame([], schema)).count() == 0
+    alone = format_chat(spark.createDataFrame([(None, None, "system", None)], schema)).collect()
+    assert [(w.conv_id, w.n_context, w.n_fresh, w.loss_spans) for w in alone] == [(None, 0, 1, [])]
+
+
 def test_urls(spark):
     rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "com", "/fr/")]
     urls = ["https://A.Example.ORG/es/1?x#y", "http://example.org", "https://x.com/fr/2", "https://bad.net/1", None, "nothing", "http://notorg/"]
