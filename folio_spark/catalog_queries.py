@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import relational as R
+from .operators.similarity import Options, similar_works
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,10 +74,10 @@ w as (select rel, value, count(*) df from a group by all having count(*) > 1 and
 p as (select x.work_id, y.work_id other_id, round(sum(1 / log2(df + 2)), 6) score from a x join w using (rel, value) join a y using (rel, value) where x.work_id <> y.work_id group by all),
 r as (select *, row_number() over (partition by work_id order by score desc, other_id) rank from p) select work_id, other_id, score, rank from r where rank <= 8""")
 def similar_topk(spark, d):
-    """One relation has values that all works share: the cap leaves them out before the join."""
+    """Orders and suppliers in common, weighted alike; the commonest values have most of the pairs."""
     li = table(spark, d, "lineitem")
     pair = lambda rel, c: li.select(F.col("l_partkey").alias("work_id"), F.lit(rel).alias("rel"), F.col(c).alias("value")).distinct()
-    return R.similar_topk(pair("subject", "l_orderkey").unionAll(pair("contributor", "l_suppkey")))
+    return similar_works(pair("subject", "l_orderkey").unionAll(pair("contributor", "l_suppkey")), options=Options(weights={}))
 
 
 @query("""with g as (select *, case when ts - lag(ts) over w > interval 30 minute or lag(ts) over w is null then 1 else 0 end nw from events where user_id is not null window w as (partition by user_id order by ts, event_id)),

@@ -9,6 +9,7 @@ from .catalog_queries import query, table
 from .operators import identity as I
 from .operators import loading as L
 from .operators import projection as P
+from .operators import similarity as S
 
 FEED, EDITORIAL = "feed:parts", "editorial:"
 NAMES = {"bf": P.BF, "bflc": P.BFLC, "rdf": P.RDF, "rdfs": P.RDFS, "skos": P.SKOS, "own": P.OWN, "t": "http://terms.example/"}
@@ -299,3 +300,33 @@ select regexp_extract(s, '^#(.*)Work$', 1) work_id, case when title is null then
 def scan_identities(spark, d):
     prior, feeds = L.prior_state(quads(spark, d))
     return prior.works.join(feeds, "work_id").select("work_id", "cluster_key", "feed")
+
+
+# Parts as works; their brands, words of names and places, regions above places; tombstoned ones are out.
+SIMILAR = """live as (select * from part where p_partkey % 11 <> 0),
+edges as (select 'p' || n_nationkey child, 'r' || n_regionkey parent from nation union all select 'r' || r_regionkey, 'world' from region),
+attrs as (select p_partkey w, 'contributor' rel, p_brand v from live union select p_partkey, 'tag', unnest(string_split(p_name, ' ')) from live union select p_partkey, 'subject', 'p' || (p_size % 25) from live union select p_partkey, 'subject', 'r' || (p_partkey % 5) from live where p_partkey % 4 = 0 union select p_partkey, 'series', p_name || p_type from live where p_size % 3 = 0)"""
+
+
+@query(f"""with {SIMILAR},
+hops as (select w, v, 1.0 hop from attrs where rel = 'subject' union all select w, parent, 0.5 from attrs join edges on child = v where rel = 'subject' union all select w, b.parent, 0.25 from attrs join edges a on a.child = v join edges b on b.child = a.parent where rel = 'subject' union all select w, child, 0.5 from attrs join edges on parent = v where rel = 'subject'),
+asks as (select w, rel, v, 1.0 hop from attrs where rel <> 'subject' union all select w, 'subject', v, max(hop) from hops group by w, v),
+keys as (select rel, v, case rel when 'series' then 5 when 'contributor' then 3 when 'tag' then 2 else 1 end / log2(count(*) + 2) x from attrs group by rel, v having count(*) <= (select greatest(2, floor(count(*) * 0.2)) from live)),
+scored as (select a.w, b.w o, sum(x * hop) s from asks a join keys using (rel, v) join attrs b using (rel, v) where a.w <> b.w group by a.w, b.w),
+total as (select w, o, round(s + case when l.p_size % 3 = m.p_size % 3 then 20 else 0 end + case when m.p_partkey % 4 = 0 then 0.3 else 0 end, 6) score from scored join live l on l.p_partkey = w join live m on m.p_partkey = o),
+top as (select * from (select *, row_number() over (partition by w order by score desc, o) rank from total) where rank <= 8),
+shared as (select t.w, t.o, a.v, max(x * hop) x from top t join asks a on a.w = t.w join keys k on k.rel = a.rel and k.v = a.v join attrs b on b.w = t.o and b.rel = a.rel and b.v = a.v group by t.w, t.o, a.v),
+named as (select w, o, string_agg(v, ',' order by x desc, v) shared from (select *, row_number() over (partition by w, o order by x desc, v) n from shared) where n <= 5 group by w, o)
+select t.w work_id, t.o other_id, score, rank, shared from top t join named using (w, o)""")
+def similar_works(spark, d):
+    """Weights by relation, places through their regions, a bonus for the language and for what is held, and the values in common."""
+    p = table(spark, d, "part").where("p_partkey % 11 <> 0").withColumn("work_id", F.col("p_partkey"))
+    text = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    rel = lambda name, value, rows=p: rows.select("work_id", F.lit(name).alias("rel"), value.alias("value"))
+    attrs = rel("contributor", F.col("p_brand")).unionAll(rel("tag", F.explode(F.split("p_name", " ")))).unionAll(rel("subject", text("p", F.col("p_size") % 25)))
+    attrs = attrs.unionAll(rel("subject", text("r", F.col("p_partkey") % 5), p.where("p_partkey % 4 = 0"))).unionAll(rel("series", F.concat("p_name", "p_type"), p.where("p_size % 3 = 0"))).distinct()
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    edges = n.select(text("p", F.col("n_nationkey")).alias("child"), text("r", F.col("n_regionkey")).alias("parent")).unionAll(r.select(text("r", F.col("r_regionkey")), F.lit("world")))
+    languages = p.select("work_id", (F.col("p_size") % 3).cast("string").alias("language"))
+    found = S.similar_works(attrs, languages=languages, held=p.where("p_partkey % 4 = 0").select("work_id"), edges=edges, explain=5)
+    return found.withColumn("shared", F.array_join("shared", ","))

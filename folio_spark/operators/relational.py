@@ -8,7 +8,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import idf
 from .lineage import cut
 
 
@@ -40,21 +39,6 @@ def _all(columns) -> Column:
     return out.alias("ok")
 
 
-def similar_topk(attrs: DataFrame, k: int = 8, max_share: float = 0.2, n_works: Column | None = None) -> DataFrame:
-    """(work_id, other_id, score, rank): works by rarity-weighted shared attributes.
-
-    attrs: (work_id, rel, value), distinct. Values that over max(2, share of all
-    works) hold are left out, which also bounds the self-join's fan-out.
-    """
-    total = attrs.agg(F.count_distinct("work_id").alias("n")).select(F.greatest(F.lit(2), F.floor(F.col("n") * max_share))).scalar()
-    weights = attrs.groupBy("rel", "value").agg(F.count("*").alias("df")).where(F.col("df") > 1).where(F.col("df") <= total).withColumn("w", idf(F.col("df")))
-    rows = attrs.join(weights, ["rel", "value"]).select("rel", "value", "work_id", "w")
-    other = rows.select("rel", "value", F.col("work_id").alias("other_id"))
-    pairs = rows.join(other, ["rel", "value"]).where("work_id <> other_id").groupBy("work_id", "other_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("work_id").orderBy(F.desc("score"), "other_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """(user_id, started, ended, n): runs of events of one actor without a longer gap; a gap of exactly that length stays."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
