@@ -18,12 +18,17 @@ OUTSIDE = frozenset("nav header footer aside form fieldset button select datalis
 CLOSED_BY = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 # Words in class, id or role of elements that are not the article.
 BOILERPLATE = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist complementary consent contentinfo cookie cookies dialog disqus disclaimer dropdown footer footnav form gdpr header hidden infobar login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup popups promo promoted promotion recommended recommendations related replies reply respond search share sharebar sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar tracking widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist complementary consent contentinfo cookie cookies dialog disqus cookieconsent disclaimer dropdown footer footnav form gdpr header hidden infobar login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup popups privacy promo promoted promotion recommended recommendations related replies reply respond responses search share sharebar sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription tag tags teaser toolbar topbar tracking widget widgets".split()
 )
 # Words that only say where such an element stands or what it is made of (site-header, ad-slot-2).
-PLACE = frozenset("area bar block bottom box container content desktop fixed float global group inner item items left link links list main mobile module outer page panel post posts primary right secondary section site slot sticky top unit wrap wrapper".split())
+PLACE = frozenset("area article articles bar block bottom box buttons container content desktop fixed float global group inner item items js left link links list main mobile module news outer page panel post posts primary reader reading right secondary section site slot sticky stories thread top topics unit user videos wrap wrapper".split())
+# Words that mark such an element among any others (reader-comments-v2), unless one of the second kind denies it (has-comments).
+ALWAYS = frozenset("comments commentlist cookie cookieconsent cookies disqus".split())
+DENIED = frozenset("has no with without".split())
 HELD = frozenset("html body article main h1 h2 h3 h4 h5 h6 p b i em strong".split())  # never dropped for their class
 
+LISTS = frozenset("div dl ol section table ul".split())  # that may hold nothing but links
+
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
     r"|<(?P<raw>" + "|".join(sorted(RAW)) + r")(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|\Z)"
@@ -44,8 +49,8 @@ class Node:
         self.depth = parent.depth + 1 if parent else 0
 
 
-def outside(tag: str, attrs: str) -> bool:
-    """Whether an element is no part of an article by its name or its class, id or role."""
+def outside(tag: str, attrs: str, nested: bool = False) -> bool:
+    """Whether an element is no part of an article by its name or its class, id or role; nested: it lies in an article."""
     if tag in OUTSIDE:
         return True
     if not attrs or not attrs.strip():
@@ -53,15 +58,16 @@ def outside(tag: str, attrs: str) -> bool:
     low = attrs.lower()
     if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", low) and tag not in ("html", "body"):
         return True
-    for name, *values in ATTR.findall(low):
-        value = "".join(values)
+    for name, *values in ATTR.findall(attrs):
+        name, given = name.lower(), "".join(values)
+        value = given.lower()
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id", "role") and tag not in HELD:
-            for word in value.split():
-                parts = {x for x in re.split(r"[-_]+|(?<=\D)(?=\d)", word) if x and not x.isdigit()}
+        if name in ("class", "id", "role") and (tag not in HELD or tag == "article" and nested):
+            for word in given.split():
+                parts = {x.lower() for x in re.split(r"[-_]+|(?<=\D)(?=\d)|(?<=[a-z])(?=[A-Z])", word) if x and not x.isdigit()}
                 # related-posts is none of the article, related-work is: every part must fit.
-                if word in BOILERPLATE or BOILERPLATE & parts and parts <= BOILERPLATE | PLACE:
+                if word.lower() in BOILERPLATE or BOILERPLATE & parts and parts <= BOILERPLATE | PLACE or ALWAYS & parts and not DENIED & parts:
                     return True
     return False
 
@@ -154,7 +160,7 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
                     break
         if (m["attrs"] or "").endswith("/") and tag not in BLOCKS:
             continue
-        node = Node(tag, stack[-1], stack[-1].out or outside(tag, m["attrs"] or ""))
+        node = Node(tag, stack[-1], stack[-1].out or outside(tag, m["attrs"] or "", any(n.tag == "article" for n in stack)))
         nodes.append(node)
         stack.append(node)
         link = sum(n.tag == "a" for n in stack)
@@ -186,6 +192,8 @@ def container(blocks: list[tuple[Node, str]], nodes: list[Node]) -> tuple[Node,
     rated = lambda n: n.score * (1 - density(n))
     scored = [n for n in nodes if not n.out and n.score > 0]
     best = max(scored, key=lambda n: (rated(n), -n.depth))
+    if not rated(best):  # all text is links, as that of an article may be
+        best = max((n for n in scored if n.tag in ("article", "main")), key=lambda n: (n.score, n.depth), default=best)
     # A text dealt out over several containers: their parent holds it, if others in it come near the best.
     while best.parent is not None and best.parent.tag not in ("body", "html", "#"):
         near = [n for n in scored if n.parent is best.parent and n is not best and rated(n) >= 0.5 * rated(best) and density(n) < 0.25]
@@ -196,6 +204,36 @@ def container(blocks: list[tuple[Node, str]], nodes: list[Node]) -> tuple[Node,
     return best, {id(best)} | {id(n) for n in scored if n.parent is best.parent and n.parent is not None and rated(n) >= limit and density(n) < 0.25}
 
 
+def article_of(best: Node) -> Node | None:
+    """The nearest article that holds the container or is it, else the nearest main; None without either."""
+    for tag in ("article", "main"):
+        n: Node | None = best
+        while n is not None and n.tag != tag:
+            n = n.parent
+        if n is not None:
+            return n
+    return None
+
+
+def in_article(block: Node, top: Node, best: Node) -> bool:
+    """Whether a block lies in the article and in none of its lists of links; what lies in the container does anyway."""
+    above = set()
+    n: Node | None = best
+    while n is not None:
+        above.add(id(n))
+        n = n.parent
+    n = block
+    while n is not top:
+        if n is None:
+            return False
+        if n is best:
+            return True
+        if n.tag in LISTS and id(n) not in above and n.chars and n.links / n.chars >= 0.8:
+            return False
+        n = n.parent
+    return True
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the best container and of its siblings, one a line; empty if there is none."""
     if not page:
@@ -205,6 +243,8 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     best, kept = container(blocks, nodes)
+    if top := article_of(best):
+        return "\n".join(t for n, t in blocks if in_article(n, top, best))
     if best.chars and best.links == best.chars:  # nothing but links
         return ""
 
@@ -232,8 +272,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
     and 1 for each 100 characters (3 at most) to its holder, half of them to the
     next element up, a third to the one above; scores are discounted by link
     density. The best container is kept, with siblings of a fifth of its score;
-    it's the parent if a sibling has half of it. Names, classes and roles only
-    leave elements out, none of them earns points.
+    it's the parent if a sibling has half of it. A container in an article (else
+    in a main element) stands for all of that: leads, lists and closing sections
+    are kept however short, lists of nothing but links aren't. Names, classes and
+    roles leave elements out; none of them earns points.
 
     Null or empty html, or a page without text: empty text, 0. Very long pages:
     whole. Ties: the element nearer to the root, then the first. Null page_id or

@@ -167,6 +167,43 @@ def test_html_containers():
     assert main_text(f"<body><div><h1>Head</h1>{split}</div>{links}").split("\n")[0] == "Head"
 
 
+P3 = "".join(f"<p>{'Some words, of a paragraph, that goes on for a good while and has commas, too, so that it scores. ' * 1}{i}</p>" for i in "abc")
+T3 = "\n".join(f"Some words, of a paragraph, that goes on for a good while and has commas, too, so that it scores. {i}" for i in "abc")
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article><section>{P3}</section><section><p>Tiny end.</p></section></article>", f"{T3}\nTiny end."),
+        (f"<article><h1>Head</h1><p>Lead, short.</p><div>{P3}</div></article>", f"Head\nLead, short.\n{T3}"),
+        (f"<article><div>{P3}</div><ul><li>one</li><li>two</li></ul></article>", f"{T3}\none\ntwo"),
+        ("<article><p><a href=x>See the report</a></p></article>", "See the report"),
+        ("<article><p>aa</p><div class='related-work'><p>bb, cc</p></div></article>", "aa\nbb, cc"),
+        (f"<main><h1>Head</h1><div>{P3}</div><p>End <a href=x>here</a></p></main>", f"Head\n{T3}\nEnd here"),
+        (f"<main><article><div>{P3}</div><p>End</p></article><section><p>Of another, matter</p></section></main>", f"{T3}\nEnd"),
+        (f"<article><div>{P3}</div><ul><li><a href=x>More of it</a></li><li><a href=y>And more</a></li></ul></article>", T3),
+        (f"<article><section>{P3}<section><table><tr><td>1</td><td>2</td></tr></table></section></section><blockquote>Said</blockquote></article>", f"{T3}\n1\n2\nSaid"),
+        (f"<article>{P3}<div><article class='comment'><p>I, a reader, say, that</p></article></div></article>", T3),
+        (f"<article class='has-comments post'><div id='no-cookies'>{P3}</div></article>", T3),
+    ],
+)
+def test_html_whole_articles(page, want):
+    """Written by hand: nothing of an article is lost, however short."""
+    for before, behind in (("", ""), ("<body><nav><a href=x>menu</a></nav>", "<footer><p>end, of, the, page</footer>")):
+        assert main_text(before + page + behind) == want
+
+
+@pytest.mark.parametrize(
+    "name", ["reader-comments", "user-comments", "article-comments", "js-comments", "disqus_thread", "commentsSection", "comments-v2-thing", "responses", "share-buttons", "related-articles", "privacy-notice", "cookieNotice", "cookieconsent", "article-footer", "tag-list"]
+)
+def test_html_boilerplate_within(name):
+    """Comments and notices go, by class or id, wherever they lie in the article."""
+    odd = "<p>Not, of, the, article, though, it, has, many, commas, and, is, long, enough</p>" * 3
+    for attr in ("class", "id"):
+        assert main_text(f"<article>{P3}<div {attr}='{name}'>{odd}</div></article>") == T3
+        assert main_text(f"<body><div><div>{P3}</div><section {attr}='x {name}'>{odd}</section></div>" if attr == "class" else f"<body><div>{P3}<section id='{name}'>{odd}</section></div>") == T3
+
+
 def test_html_documents(spark):
     """The pages of the test tables give the text of the documents they show, word for word."""
     d = "/root/testdata/sf0.01"
