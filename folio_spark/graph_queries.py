@@ -1,11 +1,12 @@
-"""Registered queries over quads that are derived from the tables: projection, identity, selective load, preserved enrichment."""
+"""Registered queries over quads and records that are derived from the tables: projection, identity, loading, similarity, peers, drill-down."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog_queries import query, table
+from .catalog_queries import ATTRS, part_attrs, query, table
+from .operators import drilldown, peers
 from .operators import identity as I
 from .operators import loading as L
 from .operators import projection as P
@@ -330,3 +331,48 @@ def similar_works(spark, d):
     languages = p.select("work_id", (F.col("p_size") % 3).cast("string").alias("language"))
     found = S.similar_works(attrs, languages=languages, held=p.where("p_partkey % 4 = 0").select("work_id"), edges=edges, explain=5)
     return found.withColumn("shared", F.array_join("shared", ","))
+
+
+# Parts as works of one library, order lines as items of seven peers, whose authors are qualified and whose ISBNs name cover files.
+PEERS = r"""works as (select p_partkey work_id, p_name || ': ' || p_type title, '978' || p_partkey isbn, p_type || ' ' || p_name || ' ' || p_size contributor, 'u' || (p_partkey % 50) subject from part),
+items as (select distinct 'h' || (l_suppkey % 7) host, 'u' || (l_orderkey % 50) uri, case l_linenumber % 3 when 0 then '97-8' || l_partkey || '/SC.GIF' when 1 then '979' else '' end isbn, upper(p_name) || '!' title, case when l_linenumber % 5 = 0 then '' else split_part(p_name, ' ', 2) || ', ' || p_type || ' (Maker) 1950-' end author, 'k' || (l_orderkey % 3) link from lineitem join part on p_partkey = l_partkey),
+clean as (select *, replace(split_part(isbn, '/', 1), '-', '') code from items),
+sure as (select work_id, uri, host, 0 tier, code as key, link from clean join works on works.isbn = code),
+words as (select *, trim(regexp_replace(lower(split_part(title, ':', 1)), '[^a-z0-9]+', ' ', 'g')) fold, list_filter(list_distinct(string_split(trim(regexp_replace(lower(regexp_replace(author, '\([^)]*\)', ' ', 'g')), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda x: x <> '' and not regexp_matches(x, '^[0-9]+$')) want from clean where author <> '' and code not in (select isbn from works)),
+shelf as (select work_id, trim(regexp_replace(lower(split_part(title, ':', 1)), '[^a-z0-9]+', ' ', 'g')) fold, string_split(trim(regexp_replace(lower(contributor), '[^a-z0-9]+', ' ', 'g')), ' ') have from works),
+likely as (select work_id, uri, host, 1 tier, title || ' / ' || author as key, link from words join shelf using (fold) where len(want) > 0 and list_has_all(have, want)),
+per_host as (select work_id, uri, host, min((tier, key, link)) x from (select * from sure union all select * from likely) f where not exists (select 1 from works w where w.work_id = f.work_id and w.subject = f.uri) group by work_id, uri, host)"""
+
+
+@query(f"with {PEERS} select work_id, uri, case when min(x[1]) = 0 then 0.9 else 0.75 end::double confidence, count(*) n_hosts, string_agg(host || ':' || case when x[1] = 0 then 'isbn' else 'title+author' end || ':' || x[2] || ':' || x[3], ';' order by host) hosts from per_host group by work_id, uri")
+def consensus(spark, d):
+    p = table(spark, d, "part")
+    text = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    works = p.select(F.col("p_partkey").alias("work_id"), F.concat("p_name", F.lit(": "), "p_type").alias("title"), F.array(text("978", F.col("p_partkey"))).alias("isbns"), F.array(F.concat_ws(" ", "p_type", "p_name", F.col("p_size").cast("string"))).alias("contributors"), F.array(text("u", F.col("p_partkey") % 50)).alias("subjects"))
+    line = table(spark, d, "lineitem").join(p.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type"), "l_partkey")
+    isbn = F.when(F.col("l_linenumber") % 3 == 0, F.concat(text("97-8", F.col("l_partkey")), F.lit("/SC.GIF"))).when(F.col("l_linenumber") % 3 == 1, "979").otherwise("")
+    author = F.when(F.col("l_linenumber") % 5 != 0, F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(", "), "p_type", F.lit(" (Maker) 1950-")))
+    items = line.select(text("h", F.col("l_suppkey") % 7).alias("host"), text("u", F.col("l_orderkey") % 50).alias("uri"), isbn.alias("isbn"), F.concat(F.upper("p_name"), F.lit("!")).alias("title"), author.alias("author"), text("k", F.col("l_orderkey") % 3).alias("link"))
+    out = peers.peer_consensus(works, items)
+    host = F.transform("attributions", lambda a: F.concat_ws(":", a["source"], a["basis"], a["key"], a["ref"]))
+    return out.select("work_id", "uri", "confidence", "n_hosts", F.array_join(host, ";").alias("hosts"))
+
+
+CHOSEN = {"contributor": ["Brand#11", "Brand#3"], "tag": ["small", "cold"], "subject": []}
+
+
+@query(f"""with {ATTRS}, hit as (select work_id, bool_or(dim = 'contributor' and value in ('Brand#11', 'Brand#3')) c, bool_or(dim = 'tag' and value in ('small', 'cold')) t from attrs group by work_id)
+select dim, value, count(distinct work_id) n from attrs join hit using (work_id) where case dim when 'contributor' then t when 'tag' then c else c and t end group by dim, value""")
+def facets_drilldown(spark, d):
+    index = drilldown.facet_bits(part_attrs(spark, d).withColumnRenamed("work_id", "row"))
+    return drilldown.facets_drilldown(index, CHOSEN)
+
+
+@query(f"""with {ATTRS}, many as (select o_custkey % (select count(*) from part) work_id from orders where o_orderpriority = '1-URGENT' group by 1)
+select dim, value, count(distinct work_id) n from attrs join many using (work_id) where dim <> 'tag' and work_id in (select work_id from attrs where dim = 'tag' and value = 'small') or dim = 'tag' and work_id in (select work_id from many) group by dim, value""")
+def facets_ranked(spark, d):
+    """Counts in a searched set of works, with one choice on top."""
+    index = drilldown.facet_bits(part_attrs(spark, d).withColumnRenamed("work_id", "row"))
+    n = table(spark, d, "part").count()
+    hits = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select((F.col("o_custkey") % n).alias("row")).distinct()
+    return drilldown.facets_drilldown(index, {"tag": ["small"]}, among=hits)
