@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,16 +76,24 @@ def term_index(docs: DataFrame, key: str, text: Column) -> DataFrame:
 
 
 def query_hits(docs: DataFrame, key: str, text: Column, query: Sequence[str]) -> DataFrame:
-    """(key, len, hits: array of (term, tf)) of all documents with a word, in one narrow pass: no posting is shuffled; key is unique."""
-    terms = sorted(set(query))
-    tf = F.transform(F.array(*map(F.lit, terms)), lambda t: F.struct(t.alias("term"), F.size(F.filter("w", lambda x: x == t)).cast("long").alias("tf")))
-    rows = docs.select(key, words_of(text).alias("w")).where(F.size("w") > 0)
-    return rows.select(key, F.size("w").cast("long").alias("len"), F.filter(tf, lambda h: h["tf"] > 0).alias("hits"))
+    """(key, len, hits: array of (term, tf)) of all documents: a text is taken apart once, and no posting is shuffled; key is unique."""
+    terms = F.array(*map(F.lit, sorted(set(query))))
+
+    def counted(w: Column) -> Column:
+        tf = F.transform(terms, lambda t: F.struct(t.alias("term"), F.size(F.filter(w, lambda x: x == t)).cast("long").alias("tf")))
+        return F.struct(F.size(w).cast("long").alias("len"), F.filter(tf, lambda h: h["tf"] > 0).alias("hits"))
+
+    found = F.get(F.transform(F.array(F.coalesce(words_of(text), F.array().cast("array<string>"))), counted), 0)
+    return docs.select(key, found.alias("found")).select(key, "found.len", "found.hits")
 
 
 def bm25(docs: DataFrame, key: str, text: Column, query: Sequence[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of the k best documents for the query's terms; statistics cover all documents, and only hits leave their task."""
-    passed = query_hits(docs, key, text, query)
+    """(key, score) of the k best documents for the query's terms; statistics cover all documents with a word.
+
+    Lengths and hits are saved, a few bytes a document; statistics and scores
+    both read them, so that the texts themselves are read once.
+    """
+    passed = cut(query_hits(docs, key, text, query)).where("len > 0")
     terms = sorted(set(query))
     held = lambda t: F.sum(F.exists("hits", lambda h: h["term"] == t).cast("long"))
     row = passed.agg(F.count("*"), F.avg("len"), *[held(t) for t in terms]).first()  # one row
@@ -108,17 +119,56 @@ def trigram_search(rows: DataFrame, key: str, text: Column, query: str, missing:
     return rows.select(key, hits.cast("long").alias("hits")).where(F.col("hits") >= len(grams) - missing)
 
 
-def vector_topk(vectors: DataFrame, k: int = 5, every: int = 100) -> DataFrame:
-    """(query_id, vec_id, cosine, rank): the k nearest of all rows for each query row, by brute force.
+def vector_topk(vectors: DataFrame, k: int = 5, every: int = 100, block_bytes: int = 16_000_000) -> DataFrame:
+    """(query_id, vec_id, cosine, rank): the k nearest of all rows for each query row (vec_id divisible by `every`), by brute force.
 
-    The stated queries go to the tasks in blocks; each keeps its own best k.
+    Queries go to the tasks in blocks of at most block_bytes, one block after
+    another; a task multiplies its rows with the block and keeps the best k of
+    each query, so only those are shuffled. Rows of another length than a block's
+    queries, of length 0 or without a vector have no cosine with it and are left out.
     """
-    unit = vectors.where("embedding is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    q = unit.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"), F.lit(1).alias("block"))
-    pairs = unit.withColumn("block", F.lit(1)).join(F.broadcast(q), "block").where("vec_id <> query_id")
-    cosine = F.round(dot(F.col("e"), F.col("q")) / (F.sqrt(dot(F.col("e"), F.col("e"))) * F.sqrt(dot(F.col("q"), F.col("q")))), 6)
-    return top_per_group(pairs.select("query_id", "vec_id", cosine.alias("cosine")), ["query_id"], [F.desc("cosine"), F.col("vec_id")], k)
+    rows = vectors.where("embedding is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    asked = rows.where((F.col("vec_id") % every == 0) & (F.size("e") > 0)).withColumn("size", F.size("e"))
+    plan = asked.groupBy("size").agg(F.count("*").alias("n")).orderBy("size").collect()  # a row for each length of vectors
+    found = []
+    for size, n in plan:
+        many = -(-n // max(1, block_bytes // (8 * size)))
+        for i in range(many):
+            block = asked.where((F.col("size") == size) & (F.pmod(F.xxhash64("vec_id"), F.lit(many)) == i)).select("vec_id", "e").collect()
+            if block:
+                found.append(rows.where(F.size("e") == size).mapInArrow(_nearest([r["vec_id"] for r in block], np.array([r["e"] for r in block]), k), "query_id long, vec_id long, cosine double"))
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, cosine double, rank int")
+    return top_per_group(reduce(DataFrame.unionByName, found), ["query_id"], [F.desc("cosine"), F.col("vec_id")], k)
+
+
+def _nearest(ids: list[int], queries: np.ndarray, k: int):
+    """A function of a task's rows (vec_id, e) that gives the k nearest to each query of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.array(ids, dtype=np.int64)
+        unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+        best = np.zeros((0, 3))
+        for b in batches:
+            if not len(b):
+                continue
+            vec = b.column(0).to_numpy().astype(np.int64)
+            e = b.column(1).values.to_numpy(zero_copy_only=False)[b.column(1).offsets[0].as_py() : b.column(1).offsets[-1].as_py()].reshape(len(b), -1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                cosine = np.round(unit @ (e / np.linalg.norm(e, axis=1, keepdims=True)).T, 6)
+            for q in range(len(own)):
+                right = np.flatnonzero((vec != own[q]) & ~np.isnan(cosine[q]))
+                if len(right) > k:  # all that tie with the last one stay
+                    right = right[cosine[q][right] >= -np.partition(-cosine[q][right], k - 1)[k - 1]]
+                best = np.concatenate([best, np.stack([np.full(len(right), q), vec[right], cosine[q][right]], axis=1)])
+            order = np.lexsort((best[:, 1], -best[:, 2], best[:, 0]))
+            best = best[order]
+            first = np.searchsorted(best[:, 0], best[:, 0])
+            best = best[np.arange(len(best)) - first < k]
+        if len(best):
+            yield pa.RecordBatch.from_arrays([pa.array(own[best[:, 0].astype(np.int64)]), pa.array(best[:, 1].astype(np.int64)), pa.array(best[:, 2])], names=["query_id", "vec_id", "cosine"])
+
+    return run
 
 
 def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:

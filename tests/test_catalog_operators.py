@@ -1,5 +1,6 @@
 """Operators on small fixtures that the registered queries don't reach."""
 
+import math
 import random
 
 import pytest
@@ -108,3 +109,31 @@ def test_pages_labels_and_headings(spark):
     heads = spark.createDataFrame([("Drag queens (Fiction)", "stories", "story"), ("dragqueen", "boxes", "box"), (None, "plates", "plate"), ("x drag queenses", "glass", "glass")], "h string, a string, b string")
     got = heads.select(T.has_keywords(F.col("h"), "drag-queen"), T.plural_equal(F.col("a"), F.col("b"))).collect()
     assert [tuple(x) for x in got] == [(True, True), (False, True), (False, False), (False, True)]
+
+
+def test_vector_topk_in_blocks(spark):
+    """Blocks of a few queries give what all pairs give; ties by id; vectors of other lengths, of zeros or missing are left out."""
+    r = random.Random(2)
+    rows = [(i, [float(r.randint(-2, 2)) for _ in range(3)]) for i in range(60)] + [(100, [1.0, 0.0]), (110, [0.0, 2.0]), (61, None), (120, []), (70, [0.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    norm = lambda e: math.sqrt(sum(x * x for x in e))
+    want = {}
+    for q, e in rows:
+        if q % 10 == 0 and e and norm(e):
+            near = [(-round(sum(x * y for x, y in zip(e, f, strict=True)) / norm(e) / norm(f), 6), v) for v, f in rows if v != q and f and len(f) == len(e) and norm(f)]
+            want[q] = [v for _, v in sorted(near)[:4]]
+    for size in (50, 1 << 20):
+        got = {}
+        for x in R.vector_topk(table, 4, 10, size).orderBy("query_id", "rank").collect():
+            got.setdefault(x.query_id, []).append(x.vec_id)
+        assert got == want
+    assert R.vector_topk(table.limit(0)).count() == 0
+
+
+def test_bm25_counts_only_documents_with_words(spark):
+    docs = spark.createDataFrame([(1, "cat dog"), (2, "cat"), (3, None), (4, " !"), (5, "bird bird")], "id int, text string")
+    got = R.bm25(docs, "id", F.col("text"), ["cat", "none"], 5).collect()
+    idf = math.log(1 + (3 - 2 + 0.5) / 2.5)
+    want = [(2, round(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 1 / (5 / 3))), 6)), (1, round(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 2 / (5 / 3))), 6))]
+    assert [(x.id, x.score) for x in got] == want
+    assert [x.id for x in R.all_terms(docs, "id", F.col("text"), ["cat", "dog"]).collect()] == [1]
