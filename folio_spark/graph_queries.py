@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from .operators import identity as I
 from .operators import loading as L
 from .operators import projection as P
 from .operators import similarity as S
+from .streaming import coalesce
 
 FEED, EDITORIAL = "feed:parts", "editorial:"
 NAMES = {"bf": P.BF, "bflc": P.BFLC, "rdf": P.RDF, "rdfs": P.RDFS, "skos": P.SKOS, "own": P.OWN, "t": "http://terms.example/"}
@@ -376,3 +379,13 @@ def facets_ranked(spark, d):
     n = table(spark, d, "part").count()
     hits = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select((F.col("o_custkey") % n).alias("row")).distinct()
     return drilldown.facets_drilldown(index, {"tag": ["small"]}, among=hits)
+
+
+@query("""with recursive e as (select user_id, ts, row_number() over (partition by user_id order by ts, event_id) rn from events where user_id is not null),
+run as (select user_id, rn, ts first, ts last, 1 n, 1 burst from e where rn = 1 union all
+ select e.user_id, e.rn, case when o then e.ts else first end, e.ts, case when o then 1 else n + 1 end, case when o then burst + 1 else burst end from (select r.*, e.ts, e.rn next, e.ts >= least(last + interval 8 hour, first + interval 24 hour) o from run r join e on e.user_id = r.user_id and e.rn = r.rn + 1) x join e on e.user_id = x.user_id and e.rn = x.next)
+select user_id::varchar as key, arg_max(first, rn) started, max(last) ended, max(n) n, case when max(last) + interval 8 hour < arg_max(first, rn) + interval 24 hour then 'quiet' else 'max delay' end reason from run group by user_id, burst""")
+def coalesced_bursts(spark, d):
+    changes = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"))
+    out = coalesce.coalesce_changes(changes, timedelta(hours=8), 3)
+    return out.select("key", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "ended")], "n", "reason")
