@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog_queries import ATTRS, part_attrs, query, table
-from .operators import drilldown, peers
+from .operators import canonical, drilldown, peers
 from .operators import identity as I
 from .operators import loading as L
 from .operators import projection as P
 from .operators import similarity as S
 from .streaming import coalesce
+from .streaming.feed import signed_counts
 
 FEED, EDITORIAL = "feed:parts", "editorial:"
 NAMES = {"bf": P.BF, "bflc": P.BFLC, "rdf": P.RDF, "rdfs": P.RDFS, "skos": P.SKOS, "own": P.OWN, "t": "http://terms.example/"}
@@ -389,3 +390,22 @@ def coalesced_bursts(spark, d):
     changes = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"))
     out = coalesce.coalesce_changes(changes, timedelta(hours=8), 3)
     return out.select("key", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "ended")], "n", "reason")
+
+
+@query("""with n as (select o_orderpriority, o_orderstatus from orders where o_orderkey % 7 <> 0 union all select 'moved', o_orderstatus from orders where o_orderkey % 7 = 0 and o_orderkey % 2 = 0)
+select 'priority' dim, o_orderpriority as value, count(*) n from n group by 2 union all select 'status', o_orderstatus, count(*) from n group by 2""")
+def incremental_counts(spark, d):
+    """Counts of a table after changes: those from before, and signed differences of the changed rows alone."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    values = lambda rows: rows.select(F.explode(F.array(F.struct(F.lit("priority").alias("dim"), F.col("o_orderpriority").alias("value")), F.struct(F.lit("status").alias("dim"), F.col("o_orderstatus").alias("value")))).alias("x")).select("x.*")
+    changed = o.where("o_orderkey % 7 = 0")
+    after = changed.where("o_orderkey % 2 = 0").withColumn("o_orderpriority", F.lit("moved"))
+    before = values(o).groupBy("dim", "value").agg(F.count("*").alias("n"))
+    return before.unionByName(signed_counts(values(changed), values(after))).groupBy("dim", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+@query()
+def canonical_grains(spark, d):
+    """A digest of each work's grain in canonical form; SQL has no colour refinement."""
+    rows = quads(spark, d).withColumn("o_type", F.lit(None).cast("string"))
+    return canonical.canonical_grains(rows).select("grain", F.sha2("text", 256).alias("sha256"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
