@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog_queries import ATTRS, part_attrs, query, table
-from .operators import canonical, drilldown, peers
+from .operators import canonical, drilldown, peers, pivots
 from .operators import identity as I
 from .operators import loading as L
 from .operators import projection as P
@@ -409,3 +409,34 @@ def canonical_grains(spark, d):
     """A digest of each work's grain in canonical form; SQL has no colour refinement."""
     rows = quads(spark, d).withColumn("o_type", F.lit(None).cast("string"))
     return canonical.canonical_grains(rows).select("grain", F.sha2("text", 256).alias("sha256"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+
+
+# Parts as terms of three vocabularies, six to a node; their names' words are labels, some lie below others.
+PIVOTS = """terms as (select p_partkey k, ['a', 'b', 'c'][(p_partkey % 3 + 1)::int] as scheme, 'urn:' || ['a', 'b', 'c'][(p_partkey % 3 + 1)::int] || ':' || p_partkey id, split_part(p_name, ' ', 2) || case when p_size % 2 = 0 then 's' else '' end pref, split_part(p_name, ' ', 1) alt, p_size from part),
+links as (select a, b, max(w) w from (select id a, 'n:' || (k // 6) b, case when p_size % 4 = 0 then 1 else 2 end w from terms union all select t.id, u.id, 1 from terms t join terms u on u.k = t.k + 1 where t.k % 10 = 0) group by a, b),
+edges as (select t.id child, u.id parent from terms t join terms u on u.k = t.k - 3 where t.k % 6 >= 3 and t.k % 5 <> 0),
+told as (select id, pref as label, false alt from terms union all select id, alt, true from terms),
+forms as (select id, case when length(x) > 3 and ends_with(x, 'ies') then x[:-4] || 'y' when length(x) > 3 and ends_with(x, 'es') then x[:-3] when length(x) > 2 and ends_with(x, 's') then x[:-2] else x end form, min(alt::int) = 1 alt from (select id, lower(label) x, alt from told) group by id, form),
+pv as (select src, cand, via, max(w) w from (select x.a src, y.a cand, x.b via, least(x.w, y.w) w from links x join links y on x.b = y.b union all select x.b, y.b, x.a, least(x.w, y.w) from links x join links y on x.a = y.a union all select x.a, y.b, x.b, least(x.w, y.w) from links x join links y on x.b = y.a where x.b in (select id from terms)) where src <> cand and src in (select id from terms) group by src, cand, via),
+alike as (select src, cand, bool_or(not f.alt and g.alt = false) matched from (select distinct src, cand from pv) join forms f on f.id = src join forms g on g.id = cand and g.form = f.form group by src, cand),
+rows0 as (select pv.*, s.scheme src_scheme, c.scheme cand_scheme, coalesce(matched, false) matched, matched is not null exempt from pv join terms s on s.id = src join terms c on c.id = cand left join alike using (src, cand)),
+rows1 as (select *, not exempt and exists (select 1 from rows0 o join edges e on e.child = r.cand and e.parent = o.cand where o.src = r.src and o.via = r.via and o.cand_scheme = r.cand_scheme) gone, exists (select 1 from rows0 o join edges e on e.child = r.src and e.parent = o.cand where o.src = r.src and o.via = r.via and o.cand_scheme = r.src_scheme) narrow from rows0 r),
+partner as (select s.id src, t.scheme cand_scheme, min(t.id) partner from told s join (select told.*, scheme from told join terms using (id)) t on lower(t.label) = lower(s.label) and t.id <> s.id group by s.id, t.scheme),
+rows2 as (select r.*, partner, sum((not gone)::int) over (partition by r.src, via, r.cand_scheme) kept, count(*) over (partition by r.src, via) claims, exists (select 1 from links where a = partner and b = via) claims_via from rows1 r left join partner p on p.src = r.src and p.cand_scheme = r.cand_scheme),
+ruled as (select src, cand, case when gone or not exempt and narrow or not exempt and partner is not null and partner <> cand and not claims_via then null else w end w, not exempt and (kept >= 2 or claims >= 2 or partner is not null and partner <> cand) demote, exempt and not matched weak from rows2),
+ranked as (select src, cand dst, case when demote or weak or w = 1 then 4 else 3 end r from ruled where w is not null and not (demote and w = 1) union all select src, cand, case w when 2 then 3 else 4 end from pv where cand not in (select id from terms) union all select a, b, 3 - w from links union all select b, a, 3 - w from links where b in (select id from terms))"""
+
+
+@query(f"with {PIVOTS} select src, dst, ['exact', 'close', 'pivot-exact', 'pivot-close'][min(r)::int] strength from ranked group by src, dst")
+def guarded_equivalents(spark, d):
+    p, number = table(spark, d, "part"), F.col("p_partkey")
+    named = lambda k: F.concat(F.lit("urn:"), F.element_at(F.array(*map(F.lit, "abc")), (k % 3 + 1).cast("int")), F.lit(":"), k.cast("string"))
+    terms = p.select(named(number).alias("id"), F.substring(named(number), 5, 1).alias("scheme"), number.alias("k"), "p_size", "p_name")
+    word = lambda n: F.split_part("p_name", F.lit(" "), F.lit(n))
+    plural = F.when(F.col("p_size") % 2 == 0, "s").otherwise("")
+    labels = terms.select("id", F.concat(word(2), plural).alias("label"), F.lit(False).alias("alt")).unionAll(terms.select("id", word(1), F.lit(True)))
+    last = terms.agg(F.max("k")).scalar()
+    node = terms.select(F.col("id").alias("src"), F.concat(F.lit("n:"), F.floor(F.col("k") / 6).cast("string")).alias("dst"), F.when(F.col("p_size") % 4 == 0, "close").otherwise("exact").alias("rel"))
+    links = node.unionAll(terms.where((F.col("k") % 10 == 0) & (F.col("k") < last)).select("id", named(F.col("k") + 1), F.lit("close")))
+    edges = terms.where("k % 6 >= 3 and k % 5 <> 0").select(F.col("id").alias("child"), named(F.col("k") - 3).alias("parent"))
+    return pivots.guarded_equivalents(terms, labels, links, edges)
