@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog_queries import ATTRS, part_attrs, query, table
-from .operators import canonical, drilldown, peers, pivots
+from .operators import canonical, drilldown, peers, pivots, sets
 from .operators import identity as I
 from .operators import loading as L
 from .operators import projection as P
@@ -440,3 +440,12 @@ def guarded_equivalents(spark, d):
     links = node.unionAll(terms.where((F.col("k") % 10 == 0) & (F.col("k") < last)).select("id", named(F.col("k") + 1), F.lit("close")))
     edges = terms.where("k % 6 >= 3 and k % 5 <> 0").select(F.col("id").alias("child"), named(F.col("k") - 3).alias("parent"))
     return pivots.guarded_equivalents(terms, labels, links, edges)
+
+
+@query("""with pins as (select distinct l_partkey work_id, l_suppkey % 12 inst from lineitem where l_returnflag = 'R'), asked as (select distinct l_orderkey ask, l_suppkey % 12 inst from lineitem where l_returnflag <> 'R'),
+w as (select s, min(work_id) work_id from (select work_id, list_sort(list(inst)) s from pins group by work_id) group by s), a as (select ask, list_sort(list(inst)) s from asked group by ask) select ask, work_id from a join w using (s)""")
+def split_match(spark, d):
+    """Orders ask with the suppliers of what wasn't returned, parts are pinned to the suppliers of what was."""
+    line = table(spark, d, "lineitem").withColumn("instance_id", F.col("l_suppkey") % 12)
+    returned = F.col("l_returnflag") == "R"
+    return sets.split_match(line.where(returned).select("instance_id", F.col("l_partkey").alias("work_id")), line.where(~returned).select(F.col("l_orderkey").alias("ask"), "instance_id"))
