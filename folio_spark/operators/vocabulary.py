@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canon_uri, norm_label
@@ -57,14 +57,31 @@ def unambiguous(pairs: DataFrame, key: str, target: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.min(target).alias(target), F.max(target).alias("other")).where(F.col(target) == F.col("other")).select(key, target)
 
 
-def next_numbers(wanted: DataFrame, order: str, top: int) -> DataFrame:
-    """wanted with number: consecutive ones from top + 1 by order.
+def running_total(rows: DataFrame, order: list, value: Column, name: str) -> DataFrame:
+    """rows with the sum of value over all rows up to each, by order.
 
-    Rows are numbered within the ranges of a sort; the sizes of the ranges, one
-    row a task, are added up. The sort is saved, so that both read the same ranges.
+    Rows are added up within the ranges of a sort; the totals of the ranges, one
+    row a task, are added on. The sort is saved, so that both read the same ranges.
     """
-    part = cut(wanted.orderBy(order).withColumn("part", F.spark_partition_id()))
-    local = part.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(order)))
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
-    sizes = local.groupBy("part").agg(F.count("*").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
-    return local.join(sizes, "part").withColumn("number", F.col("before") + F.col("n") + top).drop("part", "n", "size", "before")
+    part = cut(rows.withColumn("value__", value).orderBy(*order).withColumn("part__", F.spark_partition_id()))
+    local = part.withColumn(name, F.sum("value__").over(Window.partitionBy("part__").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    ahead = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    totals = local.groupBy("part__").agg(F.sum("value__").alias("total__")).withColumn("before__", F.coalesce(F.sum("total__").over(ahead), F.lit(0)))
+    return local.join(totals, "part__").withColumn(name, F.col("before__") + F.col(name)).drop("part__", "value__", "total__", "before__")
+
+
+def next_numbers(wanted: DataFrame, order: str, top: int, used: DataFrame | None = None) -> DataFrame:
+    """wanted with number: the numbers from top + 1 on that aren't used (number), by order.
+
+    The n-th free number lies behind as many used ones as leave less than n free
+    before them; these are counted for all rows at once, in one more sort.
+    """
+    numbered = running_total(wanted, [order], F.lit(1), "number")
+    if used is None:
+        return numbered.withColumn("number", F.col("number") + top)
+    taken = used.select(F.col("number").cast("long").alias("number")).where(F.col("number") > top).distinct()
+    # With i used numbers up to u, u - top - i numbers before it are free.
+    free = running_total(taken, ["number"], F.lit(1), "i").select((F.col("number") - top - F.col("i")).alias("n"))
+    both = numbered.withColumnRenamed("number", "n").withColumn("taken__", F.lit(0)).unionByName(free.withColumn("taken__", F.lit(1)), allowMissingColumns=True)
+    shifted = running_total(both, ["n", "taken__"], F.col("taken__"), "shift__").where("taken__ = 0")
+    return shifted.withColumn("number", F.col("n") + F.col("shift__") + top).drop("n", "taken__", "shift__")

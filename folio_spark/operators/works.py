@@ -66,11 +66,17 @@ def works_page(works: DataFrame, match: Column, tombstoned: Column, order: Seque
     return page.withColumns({"total": F.lit(n.total).cast("long"), "matched": F.lit(n.matched).cast("long")})
 
 
-def prefix_hits(labels: DataFrame, prefix: str) -> DataFrame:
-    """(uri, norm): terms with a label, in any language, that starts with the prefix; each once, by its smallest such label. A blank prefix finds nothing."""
+def prefix_hits(labels: DataFrame, prefix: str, scheme: str = "", limit: int | None = None) -> DataFrame:
+    """(uri, norm): terms with a label, in any language, that starts with the prefix; each once, by its smallest such label. A blank prefix finds nothing.
+
+    With a scheme only its terms, from a column of that name; with a limit the
+    first by label, then uri.
+    """
     wanted = norm_label(F.lit(prefix))
-    found = labels.select("uri", norm_label(F.col("label")).alias("norm")).where((wanted != "") & F.startswith("norm", wanted))
-    return found.groupBy("uri").agg(F.min("norm").alias("norm"))
+    rows = labels.where(F.col("scheme") == scheme) if scheme else labels
+    found = rows.select("uri", norm_label(F.col("label")).alias("norm")).where((wanted != "") & F.startswith("norm", wanted))
+    best = found.groupBy("uri").agg(F.min("norm").alias("norm"))
+    return best if limit is None else best.orderBy("norm", "uri").limit(limit)
 
 
 def merge_hits(overlay: DataFrame, snapshot: DataFrame, limit: int) -> DataFrame:

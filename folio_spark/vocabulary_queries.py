@@ -100,15 +100,18 @@ def promote_tag(spark, d):
     return gained.unionByName(tags.where("value <> 'small'").select("work_id", F.lit("tag").alias("kind"), "value"))
 
 
-@query("select l_orderkey key, min(l_partkey) work_id from lineitem where l_quantity = 50 group by l_orderkey having count(distinct l_partkey) = 1")
+@query("select l_orderkey key, min(l_partkey) work_id from lineitem group by l_orderkey having count(distinct l_partkey) = 1")
 def isbn_index(spark, d):
-    pairs = table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("work_id"))
+    pairs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("work_id"))
     return V.unambiguous(pairs, "key", "work_id")
 
 
-@query("select o_orderkey, row_number() over (order by o_orderkey) + 9000 number from orders where o_orderstatus = 'P'")
+@query("""with w as (select o_orderkey, row_number() over (order by o_orderkey) n from orders where o_orderstatus = 'P'), used as (select distinct 9000 + (c_custkey * 3) % 997 u from customer where c_custkey > 0),
+free as (select x, row_number() over (order by x) n from (select unnest(range(9001, 9001 + (select count(*) from w) + 1000)) x) where x not in (select u from used)) select o_orderkey, x number from w join free using (n)""")
 def next_ids(spark, d):
-    return V.next_numbers(table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey"), "o_orderkey", 9000)
+    """Numbers behind 9000 but those that are in use."""
+    used = table(spark, d, "customer").where("c_custkey > 0").select((9000 + (F.col("c_custkey") * 3) % 997).alias("number"))
+    return V.next_numbers(table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey"), "o_orderkey", 9000, used)
 
 
 @query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")

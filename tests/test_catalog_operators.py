@@ -39,6 +39,10 @@ def test_root_paths_and_numbers(spark):
     assert {r.id: r.path for r in G.root_paths(edges).collect()} == {"a": ["a"], "b": ["b", "a"], "x": ["x", "a"], "c": ["c", "b", "a"]}
     wanted = spark.range(5, 400, 7).select("id")
     assert [r.number for r in V.next_numbers(wanted, "id", 100).orderBy("id").collect()] == list(range(101, 101 + wanted.count()))
+    used = {90, 100, 101, 102, 105, 106, 107, 300, 10**9, *range(120, 140, 2)}
+    free = [x for x in range(101, 1000) if x not in used][: wanted.count()]
+    got = V.next_numbers(wanted, "id", 100, spark.createDataFrame([(u,) for u in [*used, 105]], "number long"))
+    assert [r.number for r in got.orderBy("id").collect()] == free and got.columns == [*wanted.columns, "number"]
 
 
 def test_upsert_keeps_deleted_keys_deleted(spark, tmp_path):
@@ -106,6 +110,8 @@ def test_pages_labels_and_headings(spark):
         W.works_page(works, F.col("hit"), F.col("gone"), ["id"], mode="some")
     labels = spark.createDataFrame([("u", "Cat  Food"), ("u", "cat"), ("v", None), ("w", "dog"), ("x", "Cat\u00a0\u2003nap")], "uri string, label string")
     assert sorted(tuple(x) for x in W.prefix_hits(labels, " CAT").collect()) == [("u", "cat"), ("x", "cat nap")] and W.prefix_hits(labels, " ").count() == 0
+    more = spark.createDataFrame([("a", "x", "Cats"), ("b", "y", "catalog"), ("c", "x", "Cat"), ("d", "x", "cats")], "uri string, scheme string, label string")
+    assert [tuple(x) for x in W.prefix_hits(more, "cat", "x", 2).collect()] == [("c", "cat"), ("a", "cats")]
     heads = spark.createDataFrame([("Drag queens (Fiction)", "stories", "story"), ("dragqueen", "boxes", "box"), (None, "plates", "plate"), ("x drag queenses", "glass", "glass")], "h string, a string, b string")
     got = heads.select(T.has_keywords(F.col("h"), "drag-queen"), T.plural_equal(F.col("a"), F.col("b"))).collect()
     assert [tuple(x) for x in got] == [(True, True), (False, True), (False, False), (False, True)]
