@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog_queries import ATTRS, part_attrs, query, table
-from .operators import canonical, drilldown, peers, pivots, sets
+from .operators import canonical, drilldown, exports, peers, pivots, sets
 from .operators import identity as I
 from .operators import loading as L
 from .operators import projection as P
@@ -71,6 +71,9 @@ def _quads_sql() -> str:
         part(32, "w", "own:tombstoned", "'2024'", "literal", "p_partkey % 11 = 0", **ed),
         part(33, "w", "own:suppressed", "case when p_partkey % 2 = 0 then 'true' else 'false' end", "literal", "p_partkey % 13 = 0", **ed),
         part(34, "w", "own:withdrawnFromFeed", "'2024'", "literal", "p_partkey % 19 = 0", **ed),
+        part(36, "w", "own:extra/cover", f"'c' || {key}", where="p_partkey % 5 = 0"),
+        part(37, "w", "own:extra/sources", "'alpha, beta,' || p_brand", where="p_size % 2 = 0"),
+        part(38, "w", "own:extra/price", "cast(p_size as string)"),
         part(35, "w", "bf:hasPart", f"'#w' || cast(p_partkey + 1 as string) || 'Work'", "iri", "p_partkey % 8 = 0", **ed),
     ]
     inst = "(select l_partkey, l_returnflag, min(l_suppkey) as supplier, min(l_shipdate) as shipped from {lineitem} group by l_partkey, l_returnflag) x"
@@ -449,3 +452,12 @@ def split_match(spark, d):
     line = table(spark, d, "lineitem").withColumn("instance_id", F.col("l_suppkey") % 12)
     returned = F.col("l_returnflag") == "R"
     return sets.split_match(line.where(returned).select("instance_id", F.col("l_partkey").alias("work_id")), line.where(~returned).select(F.col("l_orderkey").alias("ask"), "instance_id"))
+
+
+@query(f"""with {QUADS_CTE}, hidden as (select distinct grain, s from quads where starts_with(s, '#') and (p = '{P.OWN}tombstoned' or p = '{P.OWN}suppressed' and o = 'true')),
+shown as (select distinct grain from quads where p = '{P.RDF}type' and o = '{P.BF}Work' and starts_with(s, '#') and grain not in (select grain from hidden)),
+named as (select * from quads where grain in (select grain from shown) and s not in (select s from hidden) and o not in (select s from hidden) and (not starts_with(p, '{P.OWN}extra/') or p in ('{P.OWN}extra/cover', '{P.OWN}extra/sources'))),
+cut as (select grain, ord, s, p, case when p = '{P.OWN}extra/sources' then array_to_string(list_filter(list_transform(string_split(o, ','), lambda x: trim(x)), lambda x: x in ('beta', 'Brand#11')), ', ') else o end o from named)
+select * from cut where p <> '{P.OWN}extra/sources' or o <> ''""")
+def public_quads(spark, d):
+    return exports.public_quads(quads(spark, d), extras=["cover"], sources=["beta", "Brand#11"]).select("grain", "ord", "s", "p", "o")
