@@ -87,8 +87,8 @@ def query_hits(docs: DataFrame, key: str, text: Column, query: Sequence[str]) ->
     return docs.select(key, found.alias("found")).select(key, "found.len", "found.hits")
 
 
-def bm25(docs: DataFrame, key: str, text: Column, query: Sequence[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of the k best documents for the query's terms; statistics cover all documents with a word.
+def bm25(docs: DataFrame, key: str, text: Column, query: Sequence[str], k: int, k1: float = 1.2, b: float = 0.75, least: int = 1) -> DataFrame:
+    """(key, score) of the k best documents with at least `least` of the query's terms; statistics cover all documents with a word.
 
     Lengths and hits are saved, a few bytes a document; statistics and scores
     both read them, so that the texts themselves are read once.
@@ -99,7 +99,7 @@ def bm25(docs: DataFrame, key: str, text: Column, query: Sequence[str], k: int,
     row = passed.agg(F.count("*"), F.avg("len"), *[held(t) for t in terms]).first()  # one row
     n, mean = row[0], row[1] or 1.0
     weight = {t: math.log(1 + (n - df + 0.5) / (df + 0.5)) for t, df in zip(terms, row[2:], strict=True) if df}
-    hits = passed.where(F.size("hits") > 0).select(key, "len", F.explode("hits").alias("h")).select(key, "len", "h.*")
+    hits = passed.where(F.size("hits") >= max(1, least)).select(key, "len", F.explode("hits").alias("h")).select(key, "len", "h.*")
     w = F.lit(0.0)
     for t, v in weight.items():
         w = F.when(F.col("term") == t, v).otherwise(w)

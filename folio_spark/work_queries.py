@@ -84,3 +84,14 @@ def keyword_match(spark, d):
 def usage_window(spark, d):
     usage = table(spark, d, "part").groupBy(F.col("p_type").alias("scheme"), F.col("p_brand").alias("term")).agg(F.count("*").alias("works"))
     return W.usage_window(usage, "ECONOMY", 2, 60)
+
+
+@query(r"""with t as (select doc_id, unnest(string_split(string_split(coalesce(text, ''), chr(10))[1], ' ')[1:4]) raw from documents), f as (select doc_id, lower(trim(regexp_replace(raw, '[\s\x{a0}]+', ' ', 'g'))) tag from t)
+select tag, count(distinct doc_id) n from f where length(tag) between 2 and 60 and not regexp_matches(tag, '://|www\.|<|>|&#|\\u|\{|\}|[\x00-\x1f]') group by tag""")
+def folk_tags(spark, d):
+    """The first words of documents as readers' tags; the table's letters are composed, so that SQL needs no Unicode form."""
+    from .functions.cleaning import folk_tag
+
+    words = F.slice(F.split(F.split(F.coalesce("text", F.lit("")), "\n")[0], " "), 1, 4)
+    tags = table(spark, d, "documents").select("doc_id", F.explode(words).alias("raw")).select("doc_id", folk_tag("raw").alias("tag"))
+    return tags.where("tag is not null").groupBy("tag").agg(F.count_distinct("doc_id").alias("n"))

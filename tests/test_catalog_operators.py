@@ -142,4 +142,5 @@ def test_bm25_counts_only_documents_with_words(spark):
     idf = math.log(1 + (3 - 2 + 0.5) / 2.5)
     want = [(2, round(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 1 / (5 / 3))), 6)), (1, round(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 2 / (5 / 3))), 6))]
     assert [(x.id, x.score) for x in got] == want
+    assert [x.id for x in R.bm25(docs, "id", F.col("text"), ["cat", "dog", "none"], 5, least=2).collect()] == [1]
     assert [x.id for x in R.all_terms(docs, "id", F.col("text"), ["cat", "dog"]).collect()] == [1]
