@@ -250,18 +250,23 @@ def project_works(quads: DataFrame, feed: str, *, editorial: str = "editorial:",
         targets("hasPart").alias("has_part"), targets("partOf").alias("part_of"), series(p, w).alias("series"),
     )
     works = works.withColumn("formats", F.sort_array(F.array_distinct(filled(F.transform("instances", lambda i: i["format"])))))
-    works = works.withColumn("held", F.exists("instances", lambda i: i["held"]))
-    return with_links(with_terms(works, term_index(quads, own), schemes))
+    # Saved once: subjects and links are looked up beside it, and the paths are walked one time only.
+    works = cut(works.withColumn("held", F.exists("instances", lambda i: i["held"])))
+    return with_links(with_terms(works, subjects_of(works, term_index(quads, own), schemes)), links_of(works))
 
 
-def with_terms(works: DataFrame, terms: DataFrame, schemes: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """works with subjects for subject_ids, and without the tags that they replace."""
+def subjects_of(works: DataFrame, terms: DataFrame, schemes: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """(work_id, subjects, aliases): what is told of the works' subject_ids, and the tags that they replace."""
     asked = works.select("work_id", F.explode("subject_ids").alias("uri")).join(terms, "uri", "left")
     subject = F.struct(F.col("uri").alias("id"), F.coalesce("labels", F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>"))).alias("labels"), F.coalesce("broader", F.array().cast("array<string>")).alias("broader"), scheme_of(F.col("uri"), schemes).alias("scheme"))
+    return asked.groupBy("work_id").agg(F.collect_list(subject).alias("subjects"), F.flatten(F.collect_list("aliases")).alias("aliases"))
+
+
+def with_terms(works: DataFrame, subjects: DataFrame) -> DataFrame:
+    """works with subjects for subject_ids, and without the tags that they replace."""
     # Maps have no order, so the rows are ordered by the id beside them.
-    per = asked.groupBy("work_id").agg(F.collect_list(subject).alias("subjects"), F.flatten(F.collect_list("aliases")).alias("aliases"))
     by_id = F.array_sort("subjects", lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
-    out = works.join(per, "work_id", "left")
+    out = works.join(subjects, "work_id", "left")
     return out.withColumn("subjects", F.coalesce(by_id, F.filter(F.array(subject_like()), lambda x: F.lit(False)))).withColumn("tags", F.array_except("tags", F.coalesce("aliases", F.array().cast("array<string>")))).drop("aliases", "subject_ids")
 
 
@@ -270,14 +275,19 @@ def subject_like() -> Column:
     return F.struct(F.lit("").alias("id"), F.create_map(F.lit(""), F.lit("")).alias("labels"), F.array(F.lit("")).alias("broader"), F.lit("").alias("scheme"))
 
 
-def with_links(works: DataFrame) -> DataFrame:
-    """works with the links of has_part and part_of that lead to a work of the result, as (id, title) by id."""
+def links_of(works: DataFrame) -> DataFrame:
+    """(work_id, met): the links of has_part and part_of that lead to a work of the result, as (kind, id, title)."""
     link = lambda kind: F.transform(kind, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("id")))
     asked = works.select("work_id", F.explode(F.concat(link("has_part"), link("part_of"))).alias("l")).select("work_id", "l.kind", "l.id")
     titles = works.select(F.col("work_id").alias("id"), "title")
-    met = asked.join(titles, "id").groupBy("work_id").agg(F.sort_array(F.collect_list(F.struct("kind", "id", "title"))).alias("met"))
-    of = lambda kind: F.transform(F.filter(F.coalesce("met", F.array().cast("array<struct<kind:string,id:string,title:string>>")), lambda x: x["kind"] == kind), lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title")))
-    return works.join(met, "work_id", "left").withColumns({k: of(k) for k in ("has_part", "part_of")}).drop("met")
+    return asked.join(titles, "id").groupBy("work_id").agg(F.sort_array(F.collect_list(F.struct("kind", "id", "title"))).alias("met"))
+
+
+def with_links(works: DataFrame, links: DataFrame) -> DataFrame:
+    """works with links in has_part and part_of, as (id, title) by id."""
+    none = F.array().cast("array<struct<kind:string,id:string,title:string>>")
+    of = lambda kind: F.transform(F.filter(F.coalesce("met", none), lambda x: x["kind"] == kind), lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title")))
+    return works.join(links, "work_id", "left").withColumns({k: of(k) for k in ("has_part", "part_of")}).drop("met")
 
 
 def term_sideband(works: DataFrame, terms: DataFrame, schemes: Sequence[tuple[str, str]] = ()) -> DataFrame:
