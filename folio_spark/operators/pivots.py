@@ -43,6 +43,12 @@ def hub_pivots(links: DataFrame, forms: DataFrame, limit: int) -> tuple[DataFram
     return calm, agreed
 
 
+def two_smallest(plain: DataFrame) -> DataFrame:
+    """Of (key, norm, scheme) the two smallest keys of each label in each scheme: the smallest but any one term is among them, however many share the label."""
+    order = Window.partitionBy("scheme", "norm").orderBy("key")
+    return plain.withColumn("nth", F.row_number().over(order)).where("nth <= 2").drop("nth")
+
+
 def guarded_equivalents(terms: DataFrame, labels: DataFrame, links: DataFrame, edges: DataFrame, *, depth: int = 12, hub: int = 1000) -> DataFrame:
     """(src, dst, strength) of every term: terms linked directly in either direction, and through one other as far as the rules let it.
 
@@ -92,7 +98,7 @@ def guarded_equivalents(terms: DataFrame, labels: DataFrame, links: DataFrame, e
     plain = told.select("key", norm_label(F.col("label")).alias("norm")).where("norm <> ''").distinct().join(terms.select("key", "scheme"), "key")
     wanted = rows.where(~F.col("exempt")).select("src", F.col("cand_scheme").alias("scheme")).distinct()
     own = told.select(F.col("key").alias("src"), norm_label(F.col("label")).alias("norm")).where("norm <> ''").distinct()
-    partner = wanted.join(own, "src").join(plain, ["scheme", "norm"]).where("key <> src").groupBy("src", F.col("scheme").alias("cand_scheme")).agg(F.min("key").alias("partner"))
+    partner = wanted.join(own, "src").join(two_smallest(plain), ["scheme", "norm"]).where("key <> src").groupBy("src", F.col("scheme").alias("cand_scheme")).agg(F.min("key").alias("partner"))
     linked = links.select(F.col("a").alias("partner"), F.col("b").alias("via")).withColumn("claims_via", F.lit(True))
     rows = rows.join(partner, ["src", "cand_scheme"], "left").join(linked, ["partner", "via"], "left")
     other = F.col("partner").isNotNull() & (F.col("partner") != F.col("cand"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from folio_spark.operators.pivots import guarded_equivalents
+from folio_spark.operators.pivots import guarded_equivalents, two_smallest
 
 TERMS = "id string, scheme string"
 A, B, G = "urn:a:", "urn:b:", "urn:g:"
@@ -75,3 +75,12 @@ def test_a_hub_stays_linear(spark):
 
 def test_empty(spark):
     assert found(spark, [("urn:a:x", "X")], [("urn:c:p", "urn:c:q")], [("p", "q")]) == {}
+
+
+def test_shared_labels_dont_meet_in_pairs(spark):
+    """Of 500 terms with one label two stand for it, and the smallest other one is still found."""
+    plain = spark.createDataFrame([(f"k{i:03}", "x", s) for i in range(500) for s in "ab"], "key string, norm string, scheme string")
+    assert sorted(map(tuple, two_smallest(plain).select("scheme", "norm", "key").collect())) == [(s, "x", k) for s in "ab" for k in ("k000", "k001")]
+    labels = [(f"{s}{i}", "Same") for s in (A, B) for i in range(3)]
+    links = [(A + "0", "n:1"), (B + "2", "n:1"), (A + "1", "n:1")]
+    assert found(spark, labels, links)[A + "0", "n:1"] == "exact"
