@@ -24,11 +24,23 @@ def root_paths(edges: DataFrame) -> DataFrame:
 
 
 def expand_concepts(seeds: DataFrame, ancestors: DataFrame, edges: DataFrame, decay: float = 0.5) -> DataFrame:
-    """(item_id, term, weight) from seeds (item_id, term): 1 for itself, decay ** hops for what lies above, decay for what lies one hop below; the best weight wins."""
-    own = seeds.select("item_id", "term", F.lit(1.0).alias("weight"))
-    up = seeds.join(ancestors, seeds.term == ancestors.id).select("item_id", F.col("ancestor").alias("term"), F.pow(F.lit(decay), F.col("hops")).alias("weight"))
-    down = seeds.join(edges, seeds.term == edges.parent).select("item_id", F.col("child").alias("term"), F.lit(decay).alias("weight"))
-    return own.unionByName(up).unionByName(down).groupBy("item_id", "term").agg(F.max("weight").alias("weight"))
+    """(item_id, term, weight) from seeds (item_id, term): 1 for itself, decay ** hops for what lies above, decay for what lies one hop below; the best weight wins.
+
+    Items with equal sets of terms have equal results, so each set is expanded
+    once, to one list; items only meet that list, and no row of theirs is shuffled.
+    """
+    parts = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A struct keeps null terms. As many parts as that, since small items may have long lists.
+    items = seeds.repartition(parts, "item_id").groupBy("item_id").agg(F.sort_array(F.collect_set(F.struct("term"))).alias("terms"))
+    asked = items.select("terms").distinct().select("terms", F.explode("terms").alias("t")).select("terms", "t.term")
+    own = asked.select("terms", "term", F.lit(1.0).alias("weight"))
+    up = asked.join(ancestors, asked.term == ancestors.id).select("terms", F.col("ancestor").alias("term"), F.pow(F.lit(decay), F.col("hops")).alias("weight"))
+    down = asked.join(edges, asked.term == edges.parent).select("terms", F.col("child").alias("term"), F.lit(decay).alias("weight"))
+    best = own.unionByName(up).unionByName(down).groupBy("terms", "term").agg(F.max("weight").alias("weight"))
+    # Long lists come in pieces.
+    piece = F.pmod(F.xxhash64("term"), F.lit(16))
+    lists = best.groupBy("terms", piece.alias("piece")).agg(F.collect_list(F.struct("term", "weight")).alias("found"))
+    return items.join(lists, "terms").select("item_id", F.explode("found").alias("f")).select("item_id", "f.term", "f.weight")
 
 
 def redirects(merges: DataFrame, depth: int = 60, cycles: bool = False) -> DataFrame:
