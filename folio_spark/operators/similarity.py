@@ -52,7 +52,7 @@ def expanded(attrs: DataFrame, edges: DataFrame | None, o: Options) -> DataFrame
 
 
 def best_in_block(k: int, bonus: float, held: float):
-    """A function of two blocks, rows (focus, key, weight) and (other, key), that gives the k best others of each focus.
+    """A function of two blocks, rows (focus, key, weight) and (other, key), that gives the k best others of each focus, itself among them.
 
     Keys whose weight is null are languages; key -1 stands by works that are
     held. Each focus adds its weights up over the lists of its keys.
@@ -82,7 +82,6 @@ def best_in_block(k: int, bonus: float, held: float):
         of, key = of[order], left.column("key").to_numpy()[order]
         weight = left.column("weight").to_numpy(zero_copy_only=False)[order]
         lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-        same = pc.index_in(focus, value_set=others).fill_null(-1).to_numpy()
         starts = np.searchsorted(of, np.arange(len(focus) + 1))
         rows: list[tuple[int, np.ndarray, np.ndarray]] = []
         for f in range(len(focus)):
@@ -93,8 +92,6 @@ def best_in_block(k: int, bonus: float, held: float):
                 continue
             hit = np.concatenate([at[i:j] for i, j in zip(a[told], b[told], strict=True)])
             score = np.bincount(hit, weights=np.repeat(w[told], (b - a)[told]), minlength=len(others))
-            if same[f] >= 0:
-                score[same[f]] = 0
             found = np.flatnonzero(score > 0)
             spoken = np.zeros(len(others), dtype=bool)
             for i, j in zip(a[np.isnan(w)], b[np.isnan(w)], strict=True):
@@ -122,10 +119,13 @@ def similar_works(attrs: DataFrame, k: int = 8, *, languages: DataFrame | None =
     in common and being held add to works that share something. Scores are
     rounded to 6 places; ties by other_id.
 
-    A common value's pairs are never formed as rows: works are dealt into blocks
-    of about block_rows attributes, each block meets each other once, adds up in
-    arrays and gives its k best. A task holds two blocks. With explain, `shared`:
-    that many values in common, the weightiest first, of the k best alone.
+    Works with equal attributes, languages and holding are one class: they have
+    equal scores, so classes meet by their first works, and their members come
+    back at the end. A common value's pairs are never formed as rows: classes lie
+    in blocks of about block_rows attributes, by ranges of their first works. Two
+    blocks meet once, with what is under keys that both have, add up in arrays and
+    give their best. A task holds two blocks. With explain, `shared`: that many
+    values in common, the weightiest first, of the k best alone.
 
     Null or empty values count nothing. Works without a shared value have no row.
     """
@@ -138,35 +138,63 @@ def similar_works(attrs: DataFrame, k: int = 8, *, languages: DataFrame | None =
         weight = F.when(F.col("rel") == rel, w).otherwise(weight)
     keys = attrs.groupBy("rel", "value").agg(F.count("*").alias("df")).where(F.col("df") <= most)
     keys = cut(keys.select("rel", "value", (weight * idf(F.col("df"))).alias("w")).withColumn("key", F.monotonically_increasing_id()))
-    blocks = max(1, -(-n["rows"] // block_rows))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    spoken = languages.select("work_id", "language").where("language <> ''").distinct() if languages is not None else None
+    available = held.select("work_id").distinct() if held is not None else None
+    members, reps = classes(attrs, spoken, available)
+    blocks = max(1, -(-(reps.agg(F.sum("size")).first()[0] or 0) // block_rows))
+    placed = cut(reps.select("work_id").repartitionByRange(blocks, "work_id").withColumn("block", F.spark_partition_id()))
+    own = cut(attrs.join(placed.select("work_id"), "work_id", "left_semi"))
+    lists = cut(own.join(keys, ["rel", "value"]).select("work_id", "key").join(placed, "work_id").select(F.col("work_id").alias("other"), "key", F.col("block").alias("j")))
+    asks = cut(expanded(own, edges, o).join(keys, ["rel", "value"]).select("work_id", "key", (F.col("w") * F.col("hop")).alias("weight")).join(placed, "work_id").select(F.col("work_id").alias("focus"), "key", "weight", F.col("block").alias("i")))
+    # What is under a key goes to the blocks that have the key, nowhere else.
+    left = asks.join(lists.select("key", "j").distinct(), "key").select(F.col("i").alias("i"), F.col("j").alias("j"), "focus", "key", "weight")
+    right = lists.join(asks.select("key", "i").distinct(), "key").select(F.col("i").alias("i"), F.col("j").alias("j"), "other", "key")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    lists = attrs.join(keys, ["rel", "value"]).select(F.col("work_id").alias("other"), "key")
-    asks = expanded(attrs, edges, o).join(keys, ["rel", "value"]).select(F.col("work_id").alias("focus"), "key", (F.col("w") * F.col("hop")).alias("weight"))
-    asked = asks = cut(asks)
-    if languages is not None:
-        spoken = languages.select("work_id", "language").where("language <> ''").distinct()
-        names = spoken.select("language").distinct().withColumn("key", F.lit(1 << 62) + F.monotonically_increasing_id())
-        spoken = cut(spoken.join(cut(names), "language"))
-        lists = lists.unionByName(spoken.select(F.col("work_id").alias("other"), "key"))
-        asked = asked.unionByName(spoken.select(F.col("work_id").alias("focus"), "key", F.lit(None).cast("double").alias("weight")))
-    if held is not None:
-        lists = lists.unionByName(held.select(F.col("work_id").alias("other"), F.lit(-1).cast("long").alias("key")).distinct())
-    left = asked.select(block("focus").alias("i"), every.alias("j"), "focus", "key", "weight")
-    right = lists.select(every.alias("i"), block("other").alias("j"), "other", "key")
+    if spoken is not None:
+        names = cut(spoken.select("language").distinct().withColumn("key", F.lit(1 << 62) + F.monotonically_increasing_id()))
+        said = cut(spoken.join(placed, "work_id").join(names, "language").select("work_id", "key", "block"))
+        left = left.unionByName(said.select(F.col("block").alias("i"), every.alias("j"), F.col("work_id").alias("focus"), "key", F.lit(None).cast("double").alias("weight")))
+        right = right.unionByName(said.select(every.alias("i"), F.col("block").alias("j"), F.col("work_id").alias("other"), "key"))
+    if available is not None:
+        right = right.unionByName(available.join(placed, "work_id").select(every.alias("i"), F.col("block").alias("j"), F.col("work_id").alias("other"), F.lit(-1).cast("long").alias("key")))
     kind = dict(attrs.dtypes)["work_id"]
-    parts = max(int(attrs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(blocks * blocks, 10_000))
+    parts = max(int(attrs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(8 * blocks, 10_000))
     left, right = left.repartition(parts, "i", "j"), right.repartition(parts, "i", "j")
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best_in_block(k, o.language, o.held), f"work_id {kind}, other_id {kind}, score double")
-    rank = F.row_number().over(Window.partitionBy("work_id").orderBy(F.desc("score"), "other_id"))
-    out = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    return explained(cut(out), attrs, asks, keys, explain) if explain else out
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best_in_block(k + 1, o.language, o.held), f"work_id {kind}, other_id {kind}, score double")
+    best = lambda rows, whose, other, most: rows.withColumn("rank", F.row_number().over(Window.partitionBy(whose).orderBy(F.desc("score"), other))).where(F.col("rank") <= most)
+    # Any of the k + 1 best works is in one of the k + 1 best classes; of these a class has its k + 1 smallest to offer. One more than k, for a work isn't like itself.
+    pairs = cut(best(found.select(F.col("work_id").alias("rep"), F.col("other_id").alias("other_rep"), "score"), "rep", "other_rep", k + 1).drop("rank"))
+    if explain:
+        pairs = explained(pairs, own, asks, keys, explain)
+    first = members.withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("work_id"))).where(F.col("nth") <= k + 1)
+    offered = pairs.join(first.select(F.col("rep").alias("other_rep"), F.col("work_id").alias("other_id")), "other_rep").drop("other_rep")
+    offered = best(offered, "rep", "other_id", k + 1).drop("rank")
+    return best(members.join(offered, "rep").where("work_id <> other_id").drop("rep"), "work_id", "other_id", k).select("work_id", "other_id", "score", "rank", *(["shared"] if explain else []))
+
+
+def classes(attrs: DataFrame, spoken: DataFrame | None, held: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """((work_id, rep), (work_id, size)): each work with the smallest one whose attributes, languages and holding are the same, and these with how many they have.
+
+    Sums of two hashes and the number stand for the set, so that a work with many attributes is counted in parts.
+    """
+    said = attrs.select("work_id", F.lit("a").alias("kind"), "rel", "value")
+    none = F.lit("").alias("rel")
+    if spoken is not None:
+        said = said.unionByName(spoken.select("work_id", F.lit("l").alias("kind"), none, F.col("language").alias("value")))
+    if held is not None:
+        said = said.unionByName(held.select("work_id", F.lit("h").alias("kind"), none, F.lit("").alias("value")))
+    total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)"))
+    own = F.count_if(F.col("kind") == "a")
+    prints = cut(said.groupBy("work_id").agg(total("kind", "rel", "value").alias("a"), total(F.lit(1), "value", "rel", "kind").alias("b"), F.count("*").alias("size"), own.alias("own")).where("own > 0"))
+    same = ["a", "b", "size", "own"]
+    reps = cut(prints.groupBy(*same).agg(F.min("work_id").alias("rep")))
+    return cut(prints.join(reps, same).select("work_id", "rep")), reps.select(F.col("rep").alias("work_id"), "size")
 
 
 def explained(pairs: DataFrame, attrs: DataFrame, asks: DataFrame, keys: DataFrame, most: int) -> DataFrame:
-    """pairs with `shared`: up to `most` distinct values in common, the weightiest first."""
-    mine = pairs.select("work_id", "other_id").join(asks.withColumnRenamed("focus", "work_id"), "work_id").join(keys.select("key", "rel", "value"), "key")
-    both = mine.join(attrs.withColumnRenamed("work_id", "other_id"), ["other_id", "rel", "value"])
-    values = both.groupBy("work_id", "other_id", "value").agg(F.max("weight").alias("weight"))
-    shared = values.groupBy("work_id", "other_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), "value"))), 1, most).alias("s"))
-    return pairs.join(shared, ["work_id", "other_id"]).withColumn("shared", F.transform("s", lambda x: x["value"])).drop("s")
+    """pairs (rep, other_rep, ...) with `shared`: up to `most` distinct values in common, the weightiest first."""
+    mine = pairs.select("rep", "other_rep").join(asks.withColumnRenamed("focus", "rep"), "rep").join(keys.select("key", "rel", "value"), "key")
+    both = mine.join(attrs.withColumnRenamed("work_id", "other_rep"), ["other_rep", "rel", "value"])
+    values = both.groupBy("rep", "other_rep", "value").agg(F.max("weight").alias("weight"))
+    shared = values.groupBy("rep", "other_rep").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), "value"))), 1, most).alias("s"))
+    return pairs.join(shared, ["rep", "other_rep"]).withColumn("shared", F.transform("s", lambda x: x["value"])).drop("s")

@@ -114,3 +114,20 @@ def test_common_values_and_ties(spark):
 def test_empty(spark):
     df, side = frames(spark, [])
     assert similar_works(df, **side).collect() == []
+
+
+def test_copies_are_one_class(spark, monkeypatch):
+    """Works with equal attributes meet others as one; each has its own list, and ties go by id."""
+    from folio_spark.operators import similarity
+
+    seen, real = [], similarity.classes
+    monkeypatch.setattr(similarity, "classes", lambda *a: seen.append(real(*a)) or seen[-1])
+    kinds = [[("tag", "a"), ("tag", "b")], [("tag", "b"), ("contributor", "c")], [("contributor", "c"), ("tag", "a")], [("tag", "z")]]
+    attrs = [(f"w{i:02}", rel, v) for i in range(40) for rel, v in kinds[i % 4]]
+    languages, held = [(f"w{i:02}", "en") for i in range(0, 40, 4)], [f"w{i:02}" for i in range(1, 40, 8)]
+    o = Options(max_share=0.9)
+    rows, more = frames(spark, attrs, languages, held)
+    del more["edges"]
+    close(found(similar_works(rows, options=o, block_rows=4, explain=5, **more)), all_pairs(attrs, languages, held, o=o))
+    members, reps = seen[0]
+    assert (members.count(), reps.count()) == (40, 5)
