@@ -41,6 +41,24 @@ def _rows(key: str, bursts: list[tuple[int, int, int, str]]) -> pd.DataFrame:
     return pd.DataFrame([(key, *b) for b in bursts], columns=COLUMNS)
 
 
+def bursts_by_key(batches: Iterator[pd.DataFrame], wait: int, most: int) -> Iterator[pd.DataFrame]:
+    """The bursts of rows (key, at) in order of both: one frame a batch, however many bursts end in it."""
+    key, burst = None, Burst(wait, most)
+    for b in batches:
+        out = []
+        for k, at in zip(b["key"].tolist(), b["at"].tolist(), strict=True):
+            if k != key:
+                if burst.held:
+                    out.append((key, *burst.held, burst.ends()[1]))
+                key, burst = k, Burst(wait, most)
+            if done := burst.add(at):
+                out.append((key, *done))
+        if out:
+            yield pd.DataFrame(out, columns=COLUMNS)
+    if burst.held:
+        yield pd.DataFrame([(key, *burst.held, burst.ends()[1])], columns=COLUMNS)
+
+
 def _timed(bursts: DataFrame) -> DataFrame:
     """Microseconds as timestamps, whatever the session's time zone."""
     return bursts.withColumns({c: F.timestamp_micros(c) for c in ("started", "ended")})
@@ -59,23 +77,9 @@ def coalesce_changes(changes: DataFrame, quiet: timedelta = QUIET, times: int =
     wait, most = _micros(quiet), times * _micros(quiet)
     rows = changes.where("key is not null and at is not null").select(F.col("key").cast("string").alias("key"), F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, burst = None, Burst(wait, most)
-        for b in batches:
-            out = []
-            for k, at in zip(b["key"], b["at"], strict=True):
-                if k != key:
-                    if burst.held:
-                        out.append(_rows(key, [(*burst.held, burst.ends()[1])]))
-                    key, burst = k, Burst(wait, most)
-                if done := burst.add(int(at)):
-                    out.append(_rows(key, [done]))
-            if out:
-                yield pd.concat(out)
-        if burst.held:
-            yield _rows(key, [(*burst.held, burst.ends()[1])])
-
-    return _timed(rows.repartition("key").sortWithinPartitions("key", "at").mapInPandas(run, BURST))
+    run = lambda batches: bursts_by_key(batches, wait, most)
+    parts = int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _timed(rows.repartition(parts, "key").sortWithinPartitions("key", "at").mapInPandas(run, BURST))
 
 
 def coalesce_stream(changes: DataFrame, delay: str = "0 seconds", quiet: timedelta = QUIET, times: int = TIMES) -> DataFrame:

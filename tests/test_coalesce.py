@@ -63,3 +63,15 @@ def test_stream_timer_without_later_changes_of_the_key(spark, tmp_path):
     stream = spark.readStream.schema("key string, at timestamp").json(f"{tmp_path}/in")
     coalesce_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
     assert seconds(spark.read.parquet(f"{tmp_path}/out").where(F.col("key") == "a").collect()) == [("a", 0, 0, 1, "quiet")]
+
+
+def test_one_frame_a_batch(monkeypatch):
+    """Bursts that end in one batch leave in one frame: none is a frame of its own."""
+    from folio_spark.streaming import coalesce
+
+    made, real = [], coalesce.pd.DataFrame
+    batches = [real({"key": ["a"] * 4 + ["b"] * 2, "at": [0, 1, 50, 100, 0, 3]}), real({"key": ["b", "c"], "at": [4, 9]})]
+    monkeypatch.setattr(coalesce.pd, "DataFrame", lambda *a, **k: made.append(1) or real(*a, **k))
+    rows = [tuple(r) for f in coalesce.bursts_by_key(iter(batches), 10, 30) for r in f.itertuples(index=False)]
+    assert rows == [("a", 0, 1, 2, "quiet"), ("a", 50, 50, 1, "quiet"), ("a", 100, 100, 1, "quiet"), ("b", 0, 4, 3, "quiet"), ("c", 9, 9, 1, "quiet")]
+    assert len(made) == 3
