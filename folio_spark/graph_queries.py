@@ -13,6 +13,7 @@ from .operators import identity as I
 from .operators import loading as L
 from .operators import projection as P
 from .operators import similarity as S
+from .operators.lineage import cut
 from .streaming import coalesce
 from .streaming.feed import signed_counts
 
@@ -26,6 +27,9 @@ def _quad(source: str, grain: str, ord_: str, s: str, p: str, o: str, kind: str
     return f"select {grain} as grain, cast({ord_} as bigint) as ord, {s} as s, '{NAMES[head]}{tail}' as p, {o} as o, '{kind}' as o_kind, {lang} as o_lang, '{g}' as g from {source} where {where}"
 
 
+INSTANCES = "select l_partkey, l_returnflag, min(l_suppkey) as supplier, min(l_shipdate) as shipped from {lineitem} group by l_partkey, l_returnflag"
+
+
 def _quads_sql() -> str:
     """SQL that Spark and DuckDB read alike: parts as works, their flags of return as instances, nations and regions as terms."""
     pt, term = "{part}", NAMES["t"]
@@ -76,7 +80,7 @@ def _quads_sql() -> str:
         part(38, "w", "own:extra/price", "cast(p_size as string)"),
         part(35, "w", "bf:hasPart", f"'#w' || cast(p_partkey + 1 as string) || 'Work'", "iri", "p_partkey % 8 = 0", **ed),
     ]
-    inst = "(select l_partkey, l_returnflag, min(l_suppkey) as supplier, min(l_shipdate) as shipped from {lineitem} group by l_partkey, l_returnflag) x"
+    inst = "{instances} x"
     ig, iw = "'w' || cast(l_partkey as string)", "'#i' || cast(l_partkey as string) || l_returnflag || 'Instance'"
     node = lambda n: f"'_:{n}' || l_returnflag"
     flag = "ascii(l_returnflag)"
@@ -124,15 +128,21 @@ def _quads_sql() -> str:
 
 TABLES = ("part", "lineitem", "nation", "region", "supplier")
 QUADS = _quads_sql()
-QUADS_CTE = "quads as (" + QUADS.format(**{t: t for t in TABLES}) + ")"
+QUADS_CTE = "quads as (" + QUADS.format(**{t: t for t in TABLES}, instances=f"({INSTANCES})".format(lineitem="lineitem")) + ")"
 
 
 def quads(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(QUADS, **{t: table(spark, d, t) for t in TABLES})
+    """The quads of the tables; instances are grouped once and saved, since many statements are made of each."""
+    of = {t: table(spark, d, t) for t in TABLES}
+    return spark.sql(QUADS, **of, instances=cut(spark.sql(INSTANCES, lineitem=of["lineitem"])))
 
 
 def works(spark: SparkSession, d: str) -> DataFrame:
-    return P.project_works(quads(spark, d), FEED, available=["lend"], schemes=SCHEMES)
+    return works_of(quads(spark, d))
+
+
+def works_of(q: DataFrame) -> DataFrame:
+    return P.project_works(q, FEED, available=["lend"], schemes=SCHEMES)
 
 
 # The view by joins: what the editorial graph claims hides the feed's statements; first values by graph, then order.
@@ -188,8 +198,8 @@ def subjects_tags(spark, d):
 @query(f"""with recursive {VIEW}, up(uri) as (select uri from subj union select o from up join quads on s = uri where p = '{P.SKOS}broader')
 select uri id, coalesce(en, '') label, (select coalesce(string_agg(distinct o, ',' order by o), '') from quads where s = uri and p = '{P.SKOS}broader') broader from up left join label using (uri) where en is not null or exists (select 1 from quads where s = uri and p = '{P.SKOS}broader')""")
 def term_sideband(spark, d):
-    terms = P.term_index(quads(spark, d))
-    out = P.term_sideband(works(spark, d), terms)
+    q = quads(spark, d)
+    out = P.term_sideband(works_of(q), P.term_index(q))
     return out.select("id", F.coalesce(F.try_element_at("labels", F.lit("en")), F.lit("")).alias("label"), F.array_join("broader", ",").alias("broader"))
 
 
