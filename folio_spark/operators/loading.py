@@ -34,11 +34,14 @@ def is_authority(g: Column, prefix: str = "authority:") -> Column:
 
 
 def reachable(quads: DataFrame, prefix: str = "authority:") -> DataFrame:
-    """(uri): the terms of vocabulary graphs that other graphs name, and all that lies above them by broader links of the vocabularies."""
+    """(uri): the terms that vocabulary graphs describe and other graphs name, and all that lies above them by broader links of the vocabularies."""
     edges = quads.where(is_authority(F.col("g"), prefix) & (F.col("p") == BROADER) & (F.col("o_kind") == "iri") & ~F.startswith("s", F.lit("_:"))).select(F.col("s").alias("child"), F.col("o").alias("parent"))
     own = quads.where(~is_authority(F.col("g"), prefix))
     ends = F.array(F.when(~F.startswith("s", F.lit("_:")), F.col("s")), F.when(F.col("o_kind") == "iri", F.col("o")))
-    named = own.select(F.explode(ends).alias("uri")).where("uri is not null").distinct()
+    terms = quads.where(is_authority(F.col("g"), prefix) & ~F.startswith("s", F.lit("_:"))).select(F.col("s").alias("uri"))
+    named = own.select(F.explode(ends).alias("uri")).where("uri is not null")
+    # What isn't described by a vocabulary leads nowhere: its names, most of all, end at the scan.
+    named = may_hold(named, "uri", cut(key_bits(terms, "uri"))).distinct().join(terms.distinct(), "uri", "left_semi")
     return closure_from(named, edges)
 
 
@@ -83,19 +86,26 @@ def prior_state(quads: DataFrame, *, own: str = OWN, editorial: str = "editorial
             out = out.when(label(node) == source, name)
         return out.otherwise("id")
 
-    minted = lambda kind: (F.col("node").startswith("#")) & F.col("node").endswith(kind) & (F.length("node") > len(kind) + 1)
-    node = F.col("node")
-    inst = graphs.select("grain", "g", "m", F.explode("instances").alias("node")).where(minted("Instance"))
-    of = F.coalesce(F.get(p.values(node, BF + "instanceOf"), 0), F.lit(""))
-    keys = F.transform(F.filter(p.values(node, BF + "identifiedBy"), lambda x: value(x) != ""), lambda x: F.concat(scheme(x), F.lit(":"), value(x)))
-    instances = cut(inst.select(at, fragment(node, "Instance").alias("instance_id"), fragment(of, "Work").alias("work_id"), keys.alias("keys")))
-    work = graphs.select("grain", "g", "m", F.explode("works").alias("node")).where(minted("Work"))
-    lead = F.filter(p.values(node, BF + "contribution"), lambda c: p.is_a(c, "http://id.loc.gov/ontologies/bflc/PrimaryContribution"))
-    names = F.filter(F.transform(lead, lambda c: F.get(F.transform(F.slice(p.values(c, BF + "agent"), 1, 1), lambda a: F.get(p.literals(a, LABEL), 0)), 0)), lambda x: x.isNotNull())
-    titles = F.filter(F.transform(p.values(node, BF + "title"), lambda t: F.get(p.literals(t, BF + "mainTitle"), 0)), lambda x: x.isNotNull())
-    langs = F.transform(p.values(node, BF + "language"), lambda x: F.regexp_extract(x, r"[^/#]*$", 0))
-    marks = F.transform(F.filter(p.values(node, BF + "identifiedBy"), lambda x: (value(x) != "") & label(x).isin(*anchor_sources)), lambda x: F.concat(label(x), F.lit(":"), value(x)))
-    named = work.select(at, "g", fragment(node, "Work").alias("work_id"), F.get(names, 0).alias("author"), F.get(titles, 0).alias("title"), langs.alias("langs"), marks.alias("marks"))
+    minted = lambda kind: lambda n: n.startswith("#") & n.endswith(kind) & (F.length(n) > len(kind) + 1)
+
+    def instance(node: Column) -> Column:
+        of = F.coalesce(F.get(p.values(node, BF + "instanceOf"), 0), F.lit(""))
+        keys = F.transform(F.filter(p.values(node, BF + "identifiedBy"), lambda x: value(x) != ""), lambda x: F.concat(scheme(x), F.lit(":"), value(x)))
+        return F.struct(fragment(node, "Instance").alias("instance_id"), fragment(of, "Work").alias("work_id"), keys.alias("keys"))
+
+    def work(node: Column) -> Column:
+        lead = F.filter(p.values(node, BF + "contribution"), lambda c: p.is_a(c, "http://id.loc.gov/ontologies/bflc/PrimaryContribution"))
+        names = F.filter(F.transform(lead, lambda c: F.get(F.transform(F.slice(p.values(c, BF + "agent"), 1, 1), lambda a: F.get(p.literals(a, LABEL), 0)), 0)), lambda x: x.isNotNull())
+        titles = F.filter(F.transform(p.values(node, BF + "title"), lambda t: F.get(p.literals(t, BF + "mainTitle"), 0)), lambda x: x.isNotNull())
+        langs = F.transform(p.values(node, BF + "language"), lambda x: F.regexp_extract(x, r"[^/#]*$", 0))
+        marks = F.transform(F.filter(p.values(node, BF + "identifiedBy"), lambda x: (value(x) != "") & label(x).isin(*anchor_sources)), lambda x: F.concat(label(x), F.lit(":"), value(x)))
+        return F.struct(fragment(node, "Work").alias("work_id"), F.get(names, 0).alias("author"), F.get(titles, 0).alias("title"), langs.alias("langs"), marks.alias("marks"))
+
+    # Both kinds of nodes in one pass over the grains: they meet by one shuffle.
+    found = lambda nodes, kind, one: F.transform(F.filter(nodes, minted(kind)), one).alias(nodes)
+    told = cut(graphs.select(at, "g", found("instances", "Instance", instance), found("works", "Work", work)))
+    instances = told.select("ord", F.explode("instances").alias("i")).select("ord", "i.*")
+    named = told.select("ord", "g", F.explode("works").alias("w")).select("ord", "g", "w.*")
     works = cut(named.select("ord", "g", "work_id", work_key(F.col("author"), F.col("title"), F.col("langs")).alias("cluster_key"), scoped_anchors(F.col("marks"), F.col("langs")).alias("anchors")))
     edited = quads.where((F.col("g") == editorial) & (F.col("o_kind") == "iri"))
     line = F.struct("grain", F.col("ord").cast("string").alias("at")) if "ord" not in quads.columns else F.struct("grain", F.col("ord").alias("at"))

@@ -3,6 +3,7 @@
 import pytest
 
 from folio_spark import graph_queries as Q
+from folio_spark.operators import loading as L
 
 DIR = "/root/testdata/sf0.001"
 QUADS = "grain string, ord long, s string, p string, o string, o_kind string, o_lang string, g string"
@@ -27,3 +28,14 @@ def some(spark):
 def test_instances_are_grouped_once(spark):
     """Statements of instances come from a saved table, so making quads shuffles nothing."""
     assert "Exchange" not in plan(Q.quads(spark, DIR))
+
+
+def test_names_without_a_vocabulary_end_at_the_scan(some):
+    assert {x.uri for x in L.reachable(some).collect()} == {"http://t/a", "http://t/b"}
+
+
+def test_prior_state_meets_grains_once(some, monkeypatch):
+    seen, cut = [], L.cut
+    monkeypatch.setattr(L, "cut", lambda df: seen.append(plan(df)) or cut(df))
+    L.prior_state(some)
+    assert sum("Exchange" in x for x in seen) == 1
