@@ -32,10 +32,14 @@ def public_quads(quads: DataFrame, *, extras: Collection[str] | None = None, sou
     shown = cut(works.join(hidden, "grain", "left_anti"))
     if shown.isEmpty() and not works.isEmpty():
         raise ValueError("all works are hidden: nothing is published")
-    rows = quads.join(shown, "grain", "left_semi")
-    named = hidden.select("iri").distinct()
-    for c in ("s", "o"):
-        rows = rows.join(named.withColumnRenamed("iri", c), c, "left_anti")
+    # Which hidden works a grain mentions is found from names of works alone; then all quads meet their grain's list once.
+    is_name = lambda c: c.startswith("#") & c.endswith("Work")
+    names = F.filter(F.array("s", "o"), lambda c: F.coalesce(is_name(c), F.lit(False)))
+    mentions = quads.where(is_name(F.col("s")) | is_name(F.col("o"))).select("grain", F.explode(names).alias("iri")).distinct()
+    mentions = mentions.join(hidden.select("iri").distinct(), "iri", "left_semi").groupBy("grain").agg(F.collect_set("iri").alias("hidden__"))
+    shown = cut(shown.join(mentions, "grain", "left"))
+    none = lambda c: F.coalesce(~F.array_contains("hidden__", F.col(c)), F.lit(True))
+    rows = quads.join(shown, "grain").where(none("s") & none("o"))
     key = F.when(F.startswith("p", F.lit(own + "extra/")), F.substr("p", F.lit(len(own) + 7)))
     if extras is not None:
         rows = rows.where(key.isNull() | (key == "") | key.isin("sources", *extras))

@@ -3,6 +3,7 @@
 import pytest
 
 from folio_spark import graph_queries as Q
+from folio_spark.operators import exports
 from folio_spark.operators import loading as L
 
 DIR = "/root/testdata/sf0.001"
@@ -39,3 +40,8 @@ def test_prior_state_meets_grains_once(some, monkeypatch):
     monkeypatch.setattr(L, "cut", lambda df: seen.append(plan(df)) or cut(df))
     L.prior_state(some)
     assert sum("Exchange" in x for x in seen) == 1
+
+
+def test_public_quads_meet_a_list_once(some):
+    found = exports.public_quads(some)
+    assert "LeftAnti" not in plan(found) and found.count() == 3
