@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 from math import ceil
 
 import numpy as np
@@ -22,16 +23,21 @@ def words(text: str | None) -> list[str]:
 def align(passage: list[str], item: list[str], match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int]:
     """(score, end) of the best local alignment; end: words of the passage up to where it stops."""
     code = {w: i for i, w in enumerate(dict.fromkeys(item))}
-    p = np.array([code.get(w, -1) for w in passage])
-    steps = np.arange(len(p) + 1) * -gap
-    row, best, end = np.zeros(len(p) + 1, dtype=np.int64), 0, 0
+    p = np.fromiter(map(code.get, passage, repeat(-1)), dtype=np.int64, count=len(passage))
+    # Cells carry the gaps to their left, so that gaps in the item are a running maximum; a zero cell holds those gaps alone.
+    zero = np.arange(len(p) + 1) * -gap
+    pay = np.where(p == np.arange(len(code))[:, None], match, mismatch) - gap
+    row, new, plain, best, end = zero.copy(), zero.copy(), np.zeros_like(zero), 0, 0
     for w in item:
-        new = np.zeros_like(row)
-        np.maximum(row[:-1] + np.where(p == code[w], match, mismatch), row[1:] + gap, out=new[1:])
-        new = np.maximum(np.maximum.accumulate(np.maximum(new, 0) + steps) - steps, 0)  # gaps in the item: the best of all cells to the left
-        row = new
-        if (top := int(row.max())) > best:
-            best, end = top, int(row.argmax())
+        np.add(row[:-1], pay[code[w]], out=new[1:])
+        row += gap
+        np.maximum(new[1:], row[1:], out=new[1:])
+        np.maximum(new, zero, out=new)
+        np.maximum.accumulate(new, out=new)
+        row, new = new, row
+        new[0] = 0
+        if (top := int(np.subtract(row, zero, out=plain).max())) > best:
+            best, end = top, int(plain.argmax())
     return best, end
 
 
@@ -61,6 +67,8 @@ class Seeds:
         held = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
         self.pairs, self.first = np.unique(held[:, 0], return_index=True)
         self.count, self.of = np.diff(np.append(self.first, len(held))), held[:, 1]
+        self.may = np.zeros(1 << 20, dtype=bool)  # by the low bits of a pair: most pairs of a text aren't looked up
+        self.may[self.pairs & (len(self.may) - 1)] = True
 
     def hits(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, place) of all seeds in coded words, sorted, each place once an item."""
@@ -71,6 +79,8 @@ class Seeds:
             places.append(at)
             pairs.append(a[at] * v + b[at])
         place, pair = np.concatenate(places), np.concatenate(pairs)
+        likely = self.may[pair & (len(self.may) - 1)]
+        place, pair = place[likely], pair[likely]
         if not len(pair) or not len(self.pairs):
             return place[:0], place[:0]
         k = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
@@ -86,8 +96,7 @@ class Seeds:
 
     def stretches(self, w: list[str]) -> Iterator[tuple[int, int, int, int]]:
         """(item, seeds, first word, end) of the parts of a text to align."""
-        get = self.code.get
-        p = np.array([get(x, -1) for x in w], dtype=np.int64)
+        p = np.fromiter(map(self.code.get, w, repeat(-1)), dtype=np.int64, count=len(w))
         for i in self.short:
             x = self.items[i]
             for k in range(len(w) - len(x) + 1):
