@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # The white space that separates words, as a regular expression and as characters.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+# Spark's own setting: a query's shuffle files go when it ends.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +86,15 @@ class Scratch:
         df.write.options(**options).parquet(f"{self.root}/{name}")
         return self.load(name, df.schema)
 
+    def save_alone(self, df: DataFrame, name: str) -> DataFrame:
+        """save(), and the shuffle files behind the table go at once: for plans that nothing else runs."""
+        before = self.spark.conf.get(FREE)
+        self.spark.conf.set(FREE, "true")
+        try:
+            return self.save(df, name)
+        finally:
+            self.spark.conf.set(FREE, before)
+
     def load(self, name: str, schema=None) -> DataFrame:
         """A saved table; joins with it sort both sides: it grows with the input, and loops of broadcasts would fill the driver."""
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read

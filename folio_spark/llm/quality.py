@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, Scratch, let, unused, words
@@ -12,6 +12,9 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 20, 8, 30
 # Log ratios are added up as whole numbers of this unit, so that no order of adding changes a sum.
 UNIT = 1e-4
+# One document in SAMPLE is looked at for frequent buckets; the others' counts are summed in PARTS tasks.
+# Both change the cost, no result: a document's sum leaves each of the PARTS once.
+SAMPLE, PARTS = 8, 24
 
 
 def pairs(hashes: Column, step: int) -> Column:
@@ -20,8 +23,13 @@ def pairs(hashes: Column, step: int) -> Column:
     return F.when(n > 0, F.zip_with(F.slice(hashes, 1, F.greatest(n, F.lit(0))), F.slice(hashes, step + 1, F.greatest(n, F.lit(0))), lambda x, y: F.xxhash64(x, y))).otherwise(F.array().cast("array<bigint>"))
 
 
+def runs(hashes: Column, k: int) -> Column:
+    """The hash of each k elements in a row, in one pass."""
+    return F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - k + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(hashes, i + j) for j in range(1, k)]))
+
+
 def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
-    """How many words lie in windows of so many words (a power of two) found twice or more in the text."""
+    """How many words lie in windows of so many words (an even number) found twice or more in the text."""
 
     def covered(h: Column) -> Column:
         def by_place(s: Column) -> Column:
@@ -35,11 +43,10 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
         s = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return let(s, lambda s: let(F.sort_array(F.transform(by_place(s), lambda x: x["i"])), union))
 
-    def doubled(a: Column, step: int, then) -> Column:
-        return then(a) if step == window else let(pairs(a, step), lambda b: doubled(b, 2 * step, then))
-
-    found = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h))
-    return let(hashes, lambda h: F.when(F.size(h) < window, 0).otherwise(doubled(h, 1, found))).cast("long")
+    # Texts in which no half window is found twice, most of them, end there.
+    half, once = window // 2, lambda a: F.size(F.array_distinct(a)) == F.size(a)
+    found = lambda b: F.when(once(b), 0).otherwise(let(pairs(b, half), lambda a: F.when(once(a), 0).otherwise(covered(a))))
+    return let(hashes, lambda h: F.when(F.size(h) < window, 0).otherwise(let(runs(h, half), found))).cast("long")
 
 
 def grams(rows: DataFrame, *keys: str) -> DataFrame:
@@ -59,37 +66,66 @@ def n_buckets_of(docs: DataFrame, least: int, bucket_bytes: int) -> int:
     return max(least, 1 << max(0, -(-size // bucket_bytes) - 1).bit_length())
 
 
-def log_ratios(scratch: Scratch, marked: DataFrame, n_buckets: int, alpha: float, slots: int) -> tuple[DataFrame, Column, Column]:
-    """(ratios, ids, values): log p(bucket | trusted) - log p(bucket | corpus) in units of UNIT.
+def frequent(scratch: Scratch, sample: DataFrame, slots: int) -> DataFrame:
+    """(bucket): about `slots` buckets, those found most often in a sample of rows (bucket); of the last step as many as there is room for."""
+    seen = sample.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # Steps of about 4 % hold the number of distinct steps, which the driver reads, under 1,100.
+    seen = scratch.save_alone(seen.select("bucket", F.floor(16 * F.log2("n")).cast("int").alias("step")), "seen")
+    least, share, room = 0, 1.0, slots
+    for step, n in seen.groupBy("step").count().orderBy(F.desc("step")).collect():
+        least, share, room = step, room / n, room - n
+        if room <= 0:
+            break
+    lot = F.pmod(F.xxhash64("bucket"), F.lit(1 << 20)) < int(min(share, 1.0) * (1 << 20))
+    return seen.where((F.col("step") > least) | ((F.col("step") == least) & lot)).select("bucket")
 
-    Both sides count every n-gram. ratios (bucket, ratio) is a table in the
-    shared folder, of as many rows as there are buckets with n-grams. ids and
-    values are constant arrays of `slots` entries: slot k has the most frequent
-    bucket that is k modulo slots, so that common n-grams needn't be joined.
-    """
-    counts = grams(marked, "hit").groupBy(bucket_of(F.col("gram"), n_buckets).alias("bucket")).agg(F.count("*").alias("raw"), F.sum("hit").alias("aim"))
-    counts = scratch.save(counts, "counts")
-    raws, aims = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("aim"), F.lit(0))).first()
+
+def log_ratio(raw: Column, aim: Column, raws: int, aims: int, alpha: float, n_buckets: int) -> Column:
+    """log p(bucket | trusted) - log p(bucket | corpus) in units of UNIT, of a bucket with raw n-grams, aim of them trusted."""
     add = alpha * n_buckets
-    ratio = F.log((F.col("aim") + alpha) / (aims + add)) - F.log((F.col("raw") + alpha) / (raws + add)) if aims else F.lit(0.0)
-    ratios = counts.select("bucket", F.round(ratio / UNIT).cast("int").alias("ratio"), "raw")
-    top = ratios.groupBy(F.pmod("bucket", F.lit(slots)).alias("slot")).agg(F.max(F.struct("raw", "bucket", "ratio")).alias("t"))
-    held = {r["slot"]: r["t"] for r in top.collect()}  # `slots` rows at most
-    listed = lambda field, none: ",".join(str(held[i][field] if i in held else none) for i in range(slots))
-    ids, values = (F.from_json(F.lit(f"[{listed(*x)}]"), f"array<{t}>") for *x, t in (("bucket", -1, dict(counts.dtypes)["bucket"]), ("ratio", 0, "int")))
-    return ratios.select("bucket", "ratio"), ids, values
+    ratio = F.log((aim + alpha) / (aims + add)) - F.log((raw + alpha) / (raws + add)) if aims else F.lit(0.0)
+    return F.round(ratio / UNIT).cast("int")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 16, bucket_bytes: int = 32, slots: int = 1 << 16, alpha: float = 1.0, min_score: float = -0.25, max_trusted: int = 50_000) -> DataFrame:
+def score(scratch: Scratch, marked: DataFrame, n_buckets: int, alpha: float, slots: int) -> tuple[DataFrame, DataFrame]:
+    """(key, near: struct of sum and n) and (key, far) from rows (key, hit, w): sums of log ratios over frequent and other n-grams, and how many n-grams there are.
+
+    Both sides count every n-gram. The counts of about `slots` frequent
+    buckets are a table that goes to all tasks. Any other n-gram is shuffled
+    once, with its document, to where its bucket is counted; its ratio is added
+    up there.
+    """
+
+    def each(rows: DataFrame) -> DataFrame:
+        return grams(rows, "key", "hit").select("key", "hit", bucket_of(F.col("gram"), n_buckets).alias("bucket"))
+
+    common = frequent(scratch, each(marked.where(F.pmod("key", F.lit(SAMPLE)) == 0)).select("bucket"), slots)
+    found = each(marked).join(F.broadcast(common.select("bucket", F.col("bucket").alias("known"))), "bucket", "left")
+    counts = scratch.save_alone(found.groupBy("known").agg(F.count("*").alias("raw"), F.sum("hit").alias("aim")), "counts")
+    scratch.drop("seen")
+    raws, aims = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("aim"), F.lit(0))).first()
+    ratio = log_ratio(F.col("raw"), F.col("aim"), raws, aims, alpha, n_buckets)
+    common = F.broadcast(counts.where("known is not null").select(F.col("known").alias("bucket"), ratio.alias("ratio")))
+    found = each(marked).join(common, "bucket", "left")
+    near = found.groupBy("key").agg(F.struct(F.coalesce(F.sum("ratio"), F.lit(0)).alias("sum"), F.count("*").alias("n")).alias("near"))
+    same = Window.partitionBy("bucket")
+    code = F.col("bucket").cast("bigint") * 2 + F.col("hit")  # one number instead of two: smaller shuffles
+    rest = found.where("ratio is null").select("key", code.alias("code")).repartition(PARTS, F.shiftright("code", 1))
+    rest = rest.select("key", F.shiftright("code", 1).alias("bucket"), F.col("code").bitwiseAND(F.lit(1)).alias("hit"))
+    rest = rest.select("key", F.count("*").over(same).alias("raw"), F.sum("hit").over(same).alias("aim"))
+    return near, rest.groupBy("key").agg(F.sum(ratio).alias("far"))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 16, bucket_bytes: int = 32, slots: int = 1 << 21, alpha: float = 1.0, min_score: float = -0.25, max_trusted: int = 50_000) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept.
 
     Method: words and word pairs are hashed into n_buckets, or into as many more
     as leave bucket_bytes of text a bucket, so that a verdict doesn't fade with
     the size of the corpus; llr is the mean over a document's n-grams of
     log p(trusted) - log p(corpus) under two smoothed multinomials, so it doesn't
-    depend on length. Of each of `slots` residues the most frequent bucket is
-    looked up in place; the other n-grams of a document are joined with the table
-    of ratios and summed (`slots` changes the cost, no result). The trusted one is fit on at
+    depend on length. The ratios of about `slots` frequent buckets are looked
+    up in place; the other n-grams meet by bucket, are counted and summed there
+    (`slots` changes the cost, no result). The trusted one is fit on at
     most max_trusted documents with label quality = 1 (those with the smallest
     hash of doc_id); the corpus one counts all documents. Every document gets
     the same threshold: kept if no base rule fails and llr >= min_score.
@@ -108,17 +144,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 1
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("hit"))), "doc_id", "left")
     marked = marked.select(row_key.alias("key"), F.coalesce("hit", F.lit(0)).alias("hit"), words(F.col("text")).alias("w"))
     n_buckets = n_buckets_of(docs, n_buckets, bucket_bytes)
-    ratios, ids, values = log_ratios(Scratch(docs.sparkSession, "quality"), marked, n_buckets, alpha, slots)
-    slot = lambda x: F.pmod(x, F.lit(slots))
-    held = lambda x: F.get(ids, slot(x)) == x
-    each = grams(docs.select(row_key.alias("key"), words(F.col("text")).alias("w")), "key").select(F.col("key").alias(key), bucket_of(F.col("gram"), n_buckets).alias("bucket"))
-    in_place = F.when(held(F.col("bucket")), F.get(values, slot(F.col("bucket")))).otherwise(0)
-    sums = each.groupBy(key).agg(F.struct(F.sum(in_place).alias("sum"), F.count("*").alias("n")).alias(near))
-    if n_buckets > slots:  # else every bucket has a slot of its own
-        rest = each.where(~held(F.col("bucket"))).hint("merge").join(ratios.hint("merge"), "bucket").groupBy(key).agg(F.sum("ratio").alias(far))
-        sums = sums.join(rest, key, "left")
-    else:
-        sums = sums.withColumn(far, F.lit(None).cast("long"))
+    sums, rest = score(Scratch(docs.sparkSession, "quality"), marked, n_buckets, alpha, slots)
+    sums = sums.join(rest, "key", "left").select(F.col("key").alias(key), F.col("near").alias(near), F.col("far").alias(far))
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     out = docs.select(*own, words(F.col("text")).alias(w)).withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))

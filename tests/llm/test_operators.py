@@ -10,11 +10,12 @@ import pytest
 
 from folio_spark.llm import jaccard
 from folio_spark.llm.chat import format_chat, read_back
+from folio_spark.llm.common import FREE, Scratch
 from folio_spark.llm.decontaminate import align, contaminated, decontaminate
 from folio_spark.llm.html import extract_text, main_text
 from folio_spark.llm.lines import dedup_lines
 from folio_spark.llm.packing import pack_documents, pack_group
-from folio_spark.llm.quality import quality_rules
+from folio_spark.llm.quality import frequent, quality_rules
 from folio_spark.llm.sharding import shard
 from folio_spark.llm.toxicity import toxicity
 from folio_spark.llm.urls import filter_urls
@@ -378,6 +379,20 @@ def test_quality_size(spark):
     assert all(kept == (i < 150) for i, _, kept in scores[0])
 
 
+def test_quality_plan(spark):
+    """The frequent buckets are a table: no list of them is part of the plan; there are about as many as asked for."""
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    found = quality_rules(frame(spark, [f"a b c{i % 7} d" * 9 for i in range(40)]), labels)
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    before = spark.conf.get(FREE)
+    rows = spark.range(1000).selectExpr("id % floor(1 + sqrt(id)) bucket")
+    counts = collections.Counter(r.bucket for r in rows.collect())
+    for slots in (0, 5, 1 << 20):
+        got = {r.bucket for r in frequent(Scratch(spark, "frequent"), rows, slots).collect()}
+        assert len(got) <= slots + 5 and (slots < len(counts) or got == {b for b, n in counts.items() if n > 1})
+    assert spark.conf.get(FREE) == before
+
+
 def test_quality_llr(spark):
     """llr and verdict against counts made word by word, with buckets enough that no two n-grams share one."""
     import math
