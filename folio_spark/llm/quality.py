@@ -116,7 +116,7 @@ def score(scratch: Scratch, marked: DataFrame, n_buckets: int, alpha: float, slo
     return near, rest.groupBy("key").agg(F.sum(ratio).alias("far"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 16, bucket_bytes: int = 32, slots: int = 1 << 21, alpha: float = 1.0, min_score: float = -0.25, max_trusted: int = 50_000) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 16, bucket_bytes: int = 32, slots: int = 1_000_000, alpha: float = 1.0, min_score: float = -0.25, max_trusted: int = 50_000) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept.
 
     Method: words and word pairs are hashed into n_buckets, or into as many more
