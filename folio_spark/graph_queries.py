@@ -452,7 +452,7 @@ def guarded_equivalents(spark, d):
     node = terms.select(F.col("id").alias("src"), F.concat(F.lit("n:"), F.floor(F.col("k") / 6).cast("string")).alias("dst"), F.when(F.col("p_size") % 4 == 0, "close").otherwise("exact").alias("rel"))
     links = node.unionAll(terms.where((F.col("k") % 10 == 0) & (F.col("k") < last)).select("id", named(F.col("k") + 1), F.lit("close")))
     edges = terms.where("k % 6 >= 3 and k % 5 <> 0").select(F.col("id").alias("child"), named(F.col("k") - 3).alias("parent"))
-    return pivots.guarded_equivalents(terms, labels, links, edges)
+    return pivots.guarded_equivalents(terms, labels, links, edges, hub=None)
 
 
 @query("""with pins as (select distinct l_partkey work_id, l_suppkey % 12 inst from lineitem where l_returnflag = 'R'), asked as (select distinct l_orderkey ask, l_suppkey % 12 inst from lineitem where l_returnflag <> 'R'),

@@ -2,6 +2,7 @@
 
 import pytest
 
+from folio_spark.operators import pivots as operator
 from folio_spark.operators.pivots import guarded_equivalents, two_smallest
 
 TERMS = "id string, scheme string"
@@ -84,3 +85,41 @@ def test_shared_labels_dont_meet_in_pairs(spark):
     labels = [(f"{s}{i}", "Same") for s in (A, B) for i in range(3)]
     links = [(A + "0", "n:1"), (B + "2", "n:1"), (A + "1", "n:1")]
     assert found(spark, labels, links)[A + "0", "n:1"] == "exact"
+
+
+def test_the_registered_query_leaves_no_pair_out(spark, monkeypatch):
+    """Not even at nodes that the operator by itself would take for hubs: its six terms a node equal those found without a bound."""
+    from folio_spark.graph_queries import guarded_equivalents as registered
+
+    rows = lambda: sorted(map(tuple, registered(spark, "/root/testdata/sf0.001").collect()))
+    want = rows()
+    monkeypatch.setitem(guarded_equivalents.__kwdefaults__, "hub", 3)
+    assert len(want) > 400 and rows() == want
+
+
+def test_without_a_hub_all_pairs_are_judged(spark, monkeypatch):
+    """45 terms at a node, no label shared: each pair is there, and dealing the node's links over pieces changes nothing."""
+    labels = [(f"urn:{'ab'[i % 2]}:{i}", f"Label {i}x") for i in range(45)]
+    links = [(i, "n:hub", "exact") for i, _ in labels]
+    whole = found(spark, labels, links, [("p", "q")], hub=None)
+    assert len(whole) == 45 + 45 * 44 and {s for (_, d), s in whole.items() if d != "n:hub"} == {"pivot-close"}
+    monkeypatch.setattr(operator.pivots, "__defaults__", (4,))
+    assert found(spark, labels, links, [("p", "q")], hub=None) == whole
+
+
+def test_dealt_links_meet_as_one_by_one(spark):
+    """All three ways through a node, links to terms and nodes of several pieces among them."""
+    links = {(f"t{i}", f"{'nt'[i % 2]}{i * 7 % 3}"): 1 + i % 2 for i in range(40)} | {("t1", f"x{i}"): 2 for i in range(9)}
+    links = {k: w for k, w in links.items() if k[0] != k[1]}
+    known = {a for a, _ in links}
+    want = {}
+    for (a, b), w in links.items():
+        for (x, y), v in links.items():
+            for hit, src, cand, via in ((b == y, a, x, b), (a == x, b, y, a), (b == x and b in known, a, y, b)):
+                if hit and src != cand and src in known:
+                    want[src, cand, via] = max(min(w, v), want.get((src, cand, via), 0))
+    terms = spark.createDataFrame([(k,) for k in known], "key string")
+    rows = spark.createDataFrame([(*k, w) for k, w in links.items()], "a string, b string, w int")
+    for deal in (3, 1000):
+        got = [((r.src, r.cand, r.via), r.w) for r in operator.pivots(terms, rows, deal).collect()]
+        assert dict(got) == want and len(got) == len(want)
