@@ -75,9 +75,11 @@ p as (select x.work_id, y.work_id other_id, round(sum(1 / log2(df + 2)), 6) scor
 r as (select *, row_number() over (partition by work_id order by score desc, other_id) rank from p) select work_id, other_id, score, rank from r where rank <= 8""")
 def similar_topk(spark, d):
     """Orders and suppliers in common, weighted alike; the commonest values have most of the pairs."""
-    li = table(spark, d, "lineitem")
-    pair = lambda rel, c: li.select(F.col("l_partkey").alias("work_id"), F.lit(rel).alias("rel"), F.col(c).alias("value")).distinct()
-    return similar_works(pair("subject", "l_orderkey").unionAll(pair("contributor", "l_suppkey")), options=Options(weights={}))
+    # Lines are dealt by part once; equal rows of a part meet there.
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("work_id"), "l_orderkey", "l_suppkey").repartition("work_id")
+    one = lambda rel, c: F.struct(F.lit(rel).alias("rel"), F.col(c).alias("value"))
+    attrs = li.select("work_id", F.explode(F.array(one("subject", "l_orderkey"), one("contributor", "l_suppkey"))).alias("a")).select("work_id", "a.rel", "a.value").distinct()
+    return similar_works(attrs, options=Options(weights={}))
 
 
 @query("""with g as (select *, case when ts - lag(ts) over w > interval 30 minute or lag(ts) over w is null then 1 else 0 end nw from events where user_id is not null window w as (partition by user_id order by ts, event_id)),

@@ -131,3 +131,32 @@ def test_copies_are_one_class(spark, monkeypatch):
     close(found(similar_works(rows, options=o, block_rows=4, explain=5, **more)), all_pairs(attrs, languages, held, o=o))
     members, reps = seen[0]
     assert (members.count(), reps.count()) == (40, 5)
+
+
+@pytest.mark.parametrize("hits", [7, 250_000])
+def test_blocks_meet_without_a_shuffle(spark, monkeypatch, hits):
+    """Many blocks that share all their values, in several tasks: as all pairs, and the only exchange deals the blocks that ask."""
+    from folio_spark.operators import lineage, similarity
+
+    plans, save, best = [], lineage.Rounds.save, similarity.best_of_blocks
+    monkeypatch.setattr(lineage.Rounds, "save", lambda self, df, **conf: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(self, df, **conf))
+    monkeypatch.setattr(similarity, "best_of_blocks", lambda k, bonus, held: best(k, bonus, held, hits))
+    r = random.Random(hits)
+    works = [f"w{i:03}" for i in range(150)]
+    attrs = list({(w, rel, f"{rel[0]}{r.randrange(n)}") for w in works for rel, n in (("contributor", 9), ("tag", 12), ("subject", 12)) for _ in range(r.randint(1, 3))})
+    edges = [(f"s{i}", f"s{(i * 5 + 1) % 12}") for i in range(12)]
+    languages, held = [(w, f"l{r.randrange(90)}") for w in works for _ in range(3)], r.sample(works, 50)
+    df, side = frames(spark, attrs, languages, held, edges)
+    close(found(similar_works(df, 4, block_rows=10, task_rows=300, explain=5, **side)), all_pairs(attrs, languages, held, edges, 4))
+    meeting = [p for p in plans if "CartesianProduct" in p]
+    assert len(meeting) == 1 and meeting[0].count("Exchange") == 1
+
+
+def test_too_common_values_are_counted_exactly(spark):
+    from folio_spark.operators.similarity import too_common
+
+    attrs = [(f"w{i}", rel, v) for i in range(9) for rel, v in (("tag", "all"), ("subject", "all"), ("tag", f"t{i // 3}"), ("tag", f"u{i}"))] + [("w9", "tag", "all")]
+    df = spark.createDataFrame(attrs, ATTRS)
+    for most in (0, 1, 2, 3, 8, 9, 10):
+        want = {k for k in {a[1:] for a in attrs} if sum(a[1:] == k for a in attrs) > most}
+        assert {tuple(r) for r in too_common(df, most).collect()} == want
