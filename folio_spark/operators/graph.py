@@ -23,24 +23,35 @@ def root_paths(edges: DataFrame) -> DataFrame:
         out = out.unionByName(step)
 
 
-def expand_concepts(seeds: DataFrame, ancestors: DataFrame, edges: DataFrame, decay: float = 0.5) -> DataFrame:
+def expand_concepts(seeds: DataFrame, ancestors: DataFrame, edges: DataFrame, decay: float = 0.5, task_rows: int = 4_000_000) -> DataFrame:
     """(item_id, term, weight) from seeds (item_id, term): 1 for itself, decay ** hops for what lies above, decay for what lies one hop below; the best weight wins.
 
     Items with equal sets of terms have equal results, so each set is expanded
     once, to one list; items only meet that list, and no row of theirs is shuffled.
+    What meets is small however long the result, so it is dealt by the rows that
+    come of it: a set's items lie in slots, each with its copy of the list, and a
+    task gets slots of about task_rows rows of the result.
     """
     parts = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # A struct keeps null terms. As many parts as that, since small items may have long lists.
     items = seeds.repartition(parts, "item_id").groupBy("item_id").agg(F.sort_array(F.collect_set(F.struct("term"))).alias("terms"))
-    asked = items.select("terms").distinct().select("terms", F.explode("terms").alias("t")).select("terms", "t.term")
+    sets = cut(items.groupBy("terms").agg(F.count("*").alias("n")))
+    asked = sets.select("terms", F.explode("terms").alias("t")).select("terms", "t.term")
     own = asked.select("terms", "term", F.lit(1.0).alias("weight"))
     up = asked.join(ancestors, asked.term == ancestors.id).select("terms", F.col("ancestor").alias("term"), F.pow(F.lit(decay), F.col("hops")).alias("weight"))
     down = asked.join(edges, asked.term == edges.parent).select("terms", F.col("child").alias("term"), F.lit(decay).alias("weight"))
     best = own.unionByName(up).unionByName(down).groupBy("terms", "term").agg(F.max("weight").alias("weight"))
     # Long lists come in pieces.
     piece = F.pmod(F.xxhash64("term"), F.lit(16))
-    lists = best.groupBy("terms", piece.alias("piece")).agg(F.collect_list(F.struct("term", "weight")).alias("found"))
-    return items.join(lists, "terms").select("item_id", F.explode("found").alias("f")).select("item_id", "f.term", "f.weight")
+    lists = cut(best.groupBy("terms", piece.alias("piece")).agg(F.collect_list(F.struct("term", "weight")).alias("found")))
+    sizes = sets.join(lists.groupBy("terms").agg(F.sum(F.size("found")).alias("size")), "terms").withColumn("rows", F.col("n") * F.col("size"))
+    slots = cut(sizes.select("terms", "rows", F.least(F.col("n"), F.ceil(F.col("rows") * 4 / task_rows)).cast("int").alias("slots")))
+    tasks = max(parts, min(-(-(slots.agg(F.sum("rows")).first()[0] or 0) // task_rows), 100_000))
+    slots = slots.select("terms", "slots")
+    dealt = items.join(slots, "terms").select("item_id", "terms", F.pmod(F.xxhash64("item_id"), F.col("slots")).cast("int").alias("slot"))
+    copies = lists.join(slots, "terms").select("terms", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "found")
+    met = dealt.repartition(tasks, "terms", "slot").join(copies.repartition(tasks, "terms", "slot"), ["terms", "slot"])
+    return met.select("item_id", F.explode("found").alias("f")).select("item_id", "f.term", "f.weight")
 
 
 def redirects(merges: DataFrame, depth: int = 60, cycles: bool = False) -> DataFrame:

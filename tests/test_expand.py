@@ -30,3 +30,25 @@ def test_no_expanded_row_is_shuffled(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Join")]
     assert "Aggregate" not in above and "Generate" in above
+
+
+def test_long_results_are_dealt_over_tasks(spark):
+    """600 items of one term with 300 rows each are small, but no task gets more than a few times its share of the 180,000 rows."""
+    from pyspark.sql import functions as F
+
+    e = spark.createDataFrame([(f"c{i}", "t") for i in range(299)], "child string, parent string")
+    seeds = spark.range(600).select(F.col("id").alias("item_id"), F.lit("t").alias("term"))
+    out = expand_concepts(seeds, closure(e), e, task_rows=6_000)
+    tasks = out.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(t["count"] for t in tasks) == 180_000 == out.select("item_id", "term").distinct().count()
+    assert len(tasks) >= 15 and max(t["count"] for t in tasks) < 36_000
+
+
+def test_by_default_results_use_all_parts(spark):
+    """However small the rows that meet, one task doesn't give the whole result."""
+    from pyspark.sql import functions as F
+
+    e = spark.createDataFrame([(f"c{i}", f"t{i % 25}") for i in range(2_500)], "child string, parent string")
+    seeds = spark.range(5_000).select(F.col("id").alias("item_id"), F.concat(F.lit("t"), F.col("id") % 25).alias("term"))
+    tasks = expand_concepts(seeds, closure(e), e).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(t["count"] for t in tasks) == 5_000 * 101 and len(tasks) == 4
